@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark.functions import unicode_tables as ut
+from kbspark.functions.unicode_tables import ascii_fold_py, strip_marks_py
 
 # Python's str.isspace / str.split() whitespace: Unicode White_Space plus the
 # four information separators U+001C..U+001F.
@@ -59,12 +60,12 @@ def normalize_text(c) -> Column:
 # ---------------------------------------------------------------- F3 / F4
 @F.pandas_udf(T.StringType())
 def _strip_marks_udf(s: pd.Series) -> pd.Series:
-    return s.map(ut.strip_marks_py, na_action="ignore")
+    return s.map(strip_marks_py, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
 def _ascii_fold_udf(s: pd.Series) -> pd.Series:
-    return s.map(ut.ascii_fold_py, na_action="ignore")
+    return s.map(ascii_fold_py, na_action="ignore")
 
 
 def _needs_fallback(c: Column, ranges) -> Column:

@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from kbspark.plans.oracle_views import norm, token_sort, with_views
 
-ORACLE: dict[str, str] = {}
-
-
 def fuzzy_scores_sql(q: str, c: str, qid: str, cid: str, threshold: int = 90, prefix: str = "fz") -> str:
     """CTEs ``{prefix}_scores(qid, cid, match_score)``: exact token-sort ratio
     >= threshold for every pair of ``q(qid, qn)`` x ``c(cid, cn)`` (pairs
@@ -67,18 +64,3 @@ def topk_sql(k: int = 5) -> str:
 top AS (SELECT * FROM ranked WHERE rank <= {k})"""
 
 
-ORACLE["m2_match_score"] = with_views(
-    "fx_questions", "fx_catalog",
-    extra=match_scores_sql("fx_questions", "question_id", "question", "fx_catalog", "image_row", "description"),
-    recursive=True) + """
-SELECT s.question_id, s.image_row, s.match_score, c.filename FROM scores s JOIN fx_catalog c ON c.image_row = s.image_row"""
-
-ORACLE["m4_topk"] = with_views(
-    "fx_questions", "fx_catalog",
-    extra=match_scores_sql("fx_questions", "question_id", "question", "fx_catalog", "image_row", "description")
-    + ",\n" + topk_sql(), recursive=True) + """
-SELECT t.question_id, t.image_row, t.match_score, t.rank, c.filename FROM top t JOIN fx_catalog c ON c.image_row = t.image_row"""
-
-ORACLE["m4_topk_documents"] = "WITH RECURSIVE " + match_scores_sql(
-    "benchmark", "item_id", "text", "documents", "doc_id", "text").lstrip() + ",\n" + topk_sql() + """
-SELECT question_id, image_row AS doc_id, match_score, rank FROM top"""

@@ -1,51 +1,4 @@
-"""Registered queries: one per operator of the inventory, each over the whole
-driver tables (through the fixture views).  ``QUERIES[name](spark, sf_dir)``
-returns a DataFrame; ``kbspark.plans.oracle.ORACLE[name]`` is its DuckDB twin.
-"""
+"""All checked queries; importing the area modules fills the registry."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from kbspark.operators import match
-from kbspark.sources.fixtures import Fixtures
-from kbspark.session import ensure_checkpoint_dir
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def register(name: str):
-    def deco(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_checkpoint_dir(spark)
-            return fn(Fixtures(spark, sf_dir))
-        run.__name__ = name
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
-        return run
-    return deco
-
-
-# ---------------------------------------------------------------- M: matching
-@register("m2_match_score")
-def m2_match_score(fx: Fixtures) -> DataFrame:
-    """M2: every (question, catalogue row) pair scoring >= 90."""
-    s = match.match_scores(fx.questions(), fx.catalog())
-    return s.join(fx.catalog().select("image_row", "filename"), "image_row")
-
-
-@register("m4_topk")
-def m4_topk(fx: Fixtures) -> DataFrame:
-    """M4: best five catalogue rows per question, score >= 90, ties in catalogue order."""
-    top = match.top_matches(fx.questions(), fx.catalog())
-    return top.join(fx.catalog().select("image_row", "filename"), "image_row")
-
-
-@register("m4_topk_documents")
-def m4_topk_documents(fx: Fixtures) -> DataFrame:
-    """Flagship: best five documents for each benchmark passage (score >= 90)."""
-    return match.top_matches(fx.table("benchmark"), fx.table("documents"), q_id="item_id", q_text="text",
-                             c_id="doc_id", c_text="text").withColumnRenamed("item_id", "question_id")
+from kbspark.plans import matching, text_functions  # noqa: F401
+from kbspark.plans.registry import ORACLE, QUERIES  # noqa: F401
