@@ -158,7 +158,7 @@ def stored_images(fx: Fixtures) -> DataFrame:
 
 
 @register("f14_resolve_images", with_views("fx_catalog", "fx_tool_calls", extra="""
-st AS (SELECT filename, encode(coalesce(arg_min(title, image_row), filename)) AS content FROM fx_catalog GROUP BY filename),
+st AS (SELECT filename, encode(coalesce(arg_min_null(title, image_row), filename)) AS content FROM fx_catalog GROUP BY filename),
 rq AS (SELECT call_id, json_extract_string(arguments, '$.filename') AS filename FROM fx_tool_calls)""") + """
 SELECT rq.call_id, rq.filename, CASE WHEN st.content IS NULL THEN 'Image not found' ELSE 'ok' END AS status,
   base64(st.content) AS content_b64 FROM rq LEFT JOIN st ON st.filename = rq.filename""")

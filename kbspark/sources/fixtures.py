@@ -58,6 +58,7 @@ class Fixtures:
                 F.concat(F.col("source"), F.lit("_image_rId"), (did % 40).cast("string"), F.lit(".png")).alias("filename"),
                 title.alias("title"),
                 F.when(did % 2 == 0, F.lit("png")).otherwise(F.lit("jpg")).alias("ext"),
+                F.when(did % 2 == 0, F.lit("image/png")).otherwise(F.lit("image/jpeg")).alias("content_type"),
                 F.when(did % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("description"),
                 (F.substring("source", 4, 1 << 20).cast("bigint") + 1).alias("assistant_id"))
         return self._get("catalog", build)
@@ -133,7 +134,65 @@ class Fixtures:
                              F.zip_with("embedding", "e2", lambda x, y: x + y).alias("q_vec")))
         return self._get("vec_questions", build)
 
+    # ------------------------------------------------------------ ingest
+    def filepaths(self) -> DataFrame:
+        """(doc_id, filepath): each manual is ingested into its source folder."""
+        return self._get("filepaths", lambda: self.table("documents").select("doc_id", F.col("source").alias("filepath")))
+
+    def new_images(self) -> DataFrame:
+        """C4 input: extracted images named by F5 -> F6 -> F2, per manual."""
+        def build():
+            from kbspark.functions import text as tx
+            from kbspark.operators.rewrite import image_filename
+            i = self.doc_images()
+            return i.select("doc_id", "img_idx", F.col("source").alias("filepath"), image_filename(i).alias("filename"),
+                            "content_type", tx.alt_text_fallback("descr", "name", "img_idx").alias("title"),
+                            F.concat(F.lit("asst_"), F.col("source")).alias("assistant_key"))
+        return self._get("new_images", build)
+
+    def captions(self) -> DataFrame:
+        """Captions supplied by an outside captioner for the odd-numbered
+        images, keyed by stored filename (first image wins on a shared name)."""
+        def build():
+            n = self.new_images().where(F.col("img_idx") % 2 == 1)
+            return (n.select(F.concat(F.col("filepath"), F.lit("_"), F.col("filename")).alias("filename"),
+                             F.concat(F.lit("Legenda: "), F.col("title")).alias("description"), "doc_id", "img_idx")
+                     .groupBy("filename").agg(F.min_by("description", F.struct("doc_id", "img_idx")).alias("description")))
+        return self._get("captions", build)
+
+    def kb_catalog(self) -> DataFrame:
+        """The catalogue after ingesting every manual's images with captions (C4)."""
+        def build():
+            from kbspark.operators.catalog import append_images
+            return append_images(self.catalog(), self.new_images(), self.assistants(), self.captions())
+        return self._get("kb_catalog", build)
+
+    def kb_catalog_v1(self) -> DataFrame:
+        """v1 projection: filenames without the ``{filepath}_`` prefix."""
+        return self._get("kb_catalog_v1", lambda: self.kb_catalog().withColumn(
+            "filename", F.regexp_replace("filename", "^[^_]*_", "")))
+
     # ------------------------------------------------------------ manuals
+    def doc_images(self) -> DataFrame:
+        """Inline images extracted from the manuals: one per drawing run whose
+        relation resolves (a drawing with ``(para_idx + run_idx) % 3 = 2`` has
+        none and yields no image, so drawings and images drift apart as in a
+        real manual).  ``img_idx`` numbers the images of a document (D8)."""
+        def build():
+            from kbspark.operators.rewrite import image_ordinals
+            r = self.doc_runs().where(F.col("kind") == "drawing")
+            r = r.where((F.col("para_idx") + F.col("run_idx")) % 3 != 2)
+            r = image_ordinals(r)
+            emb = F.concat(F.lit("rId"), (F.col("doc_id") % 20 + 20 * ((F.col("para_idx") + F.col("run_idx")) % 3)).cast("string"))
+            return r.select("doc_id", "source", "img_idx", "para_idx", "run_idx",
+                            F.col("text").alias("descr"),
+                            F.concat(F.lit("Imagem "), F.col("img_idx").cast("string")).alias("name"),
+                            emb.alias("embed_id"),
+                            F.when((F.col("para_idx") + F.col("run_idx")) % 2 == 0, F.lit("png")).otherwise(F.lit("")).alias("ext"),
+                            F.lit("image/png").alias("content_type"),
+                            F.encode(F.col("text"), "UTF-8").alias("content"))
+        return self._get("doc_images", build)
+
     def doc_runs(self) -> DataFrame:
         """(doc_id, source, para_idx, run_idx, kind, text): every document
         split into paragraphs (newline) and runs ('. '); one run in seven is a
