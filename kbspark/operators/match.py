@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.fuzzy import ratio_at_least_udf, token_sort_key
 from kbspark.functions.text import normalize_text
-from kbspark.operators.joins import materialize, maybe_broadcast
+from kbspark.operators.joins import materialize, maybe_broadcast  # noqa: F401 (re-exported)
 
 # Fixed defaults of the reference: fuzzy threshold, maximum results, cosine
 # threshold; URL prefix of a hit.
