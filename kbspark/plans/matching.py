@@ -139,8 +139,9 @@ def _tok_sql(x: str) -> str:
     return f"string_split({norm(x)}, ' ')"
 
 
-@register("m9_tfidf_best", f"""
-WITH d AS (SELECT doc_id, {_tok_sql('text')} AS toks FROM documents),
+def m9_ctes() -> str:
+    """CTEs ending in ``m9(question_id, doc_id, score)``: TF-IDF best match (> 0.6)."""
+    return f"""d AS (SELECT doc_id, {_tok_sql('text')} AS toks FROM documents),
 q AS (SELECT item_id AS question_id, {_tok_sql('text')} AS toks FROM benchmark),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
 dtf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS token FROM d) WHERE token <> '' GROUP BY ALL),
@@ -152,17 +153,25 @@ dw AS (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS
 qw0 AS (SELECT question_id, token, tf * (ln((1 + n.n) / (1 + coalesce(df.df, 0))) + 1) AS w FROM qtf LEFT JOIN df USING (token), n),
 qw AS (SELECT question_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY question_id)) AS w FROM qw0),
 s AS (SELECT question_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (token) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rk FROM s WHERE score > 0.6)
-SELECT b.item_id AS question_id, r.doc_id, round(r.score, 6) AS score FROM benchmark b
-LEFT JOIN r ON r.question_id = b.item_id AND r.rk = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rk FROM s WHERE score > 0.6),
+m9 AS (SELECT b.item_id AS question_id, r.doc_id, r.score FROM benchmark b LEFT JOIN r ON r.question_id = b.item_id AND r.rk = 1)"""
+
+
+@register("m9_tfidf_best", "WITH " + m9_ctes() + "\nSELECT question_id, doc_id, round(score, 6) AS score FROM m9")
 def m9_tfidf_best(fx: Fixtures) -> DataFrame:
     """M9: TF-IDF cosine best document per benchmark passage (> 0.60)."""
     from pyspark.sql import functions as F
+    b = tfidf_best(fx)
+    return b.select("question_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def tfidf_best(fx: Fixtures) -> DataFrame:
+    """(question_id, doc_id, score): M9 over benchmark x documents."""
+    from pyspark.sql import functions as F
 
     from kbspark.functions.text import normalize_text
     from kbspark.operators.vectors import tfidf_best_match
     q = fx.table("benchmark").select(F.col("item_id").alias("question_id"),
                                      F.split(normalize_text("text"), " ").alias("toks"))
     d = fx.table("documents").select("doc_id", F.split(normalize_text("text"), " ").alias("toks"))
-    b = tfidf_best_match(q, d, q_id="question_id", q_tokens="toks", d_id="doc_id", d_tokens="toks")
-    return b.select("question_id", "doc_id", F.round("score", 6).alias("score"))
+    return tfidf_best_match(q, d, q_id="question_id", q_tokens="toks", d_id="doc_id", d_tokens="toks")

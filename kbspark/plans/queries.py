@@ -1,4 +1,4 @@
 """All checked queries; importing the area modules fills the registry."""
 
-from kbspark.plans import catalog_checks, matching, rewrite_checks, text_functions  # noqa: F401
+from kbspark.plans import catalog_checks, matching, rewrite_checks, text_functions, thread_checks  # noqa: F401
 from kbspark.plans.registry import ORACLE, QUERIES  # noqa: F401
