@@ -199,8 +199,8 @@ def image_mime(filename) -> Column:
 
 
 def to_base64(content) -> Column:
-    """F15."""
-    return F.base64(_col(content))
+    """standard base64 on one line (Spark may wrap lines at 76 characters)."""
+    return F.regexp_replace(F.base64(_col(content)), "[\r\n]", "")
 
 
 REGISTRY_NAME = r'"assistantName": "([^"]*)"'
