@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.operators.vectors import scored_pairs
+from kbspark.operators.vectors import best_scores
 
 # Fixed value of the reference's written procedure: the accuracy goal.
 ACCURACY_GOAL = 0.90
@@ -22,12 +22,10 @@ def accuracy(checklist: DataFrame, group: str = "assistant_name", correct: str =
 def knowledge_gaps(questions: DataFrame, catalog: DataFrame, threshold: float, q_id: str = "question_id",
                    **cols) -> DataFrame:
     """Questions whose best score is not above the threshold, with that
-    best score; like the reference's running best, it starts at 0, so only
-    positive scores are carried through the join."""
-    pairs = scored_pairs(questions, catalog, q_id=q_id, threshold=0.0, **cols)
-    best = pairs.groupBy(q_id).agg(F.max("score").alias("best"))
+    best score; like the reference's running best it starts at 0."""
+    best = best_scores(questions, catalog, q_id=q_id, **cols)
     return (questions.select(q_id).join(best, q_id, "left")
-                     .select(q_id, F.coalesce(F.col("best"), F.lit(0.0)).alias("best_score"))
+                     .select(q_id, F.greatest(F.coalesce(F.col("best"), F.lit(0.0)), F.lit(0.0)).alias("best_score"))
                      .where(F.col("best_score") <= F.lit(threshold)))
 
 

@@ -1,18 +1,23 @@
 """Vector and TF-IDF similarity (M6-M9).
 
-The question side of every similarity join is small and measured: it is
-broadcast, and the catalogue is streamed past it once with the similarity
-predicate (``score > threshold``) inside the join, so only passing pairs
-leave the join and the per-question arg-max / top-k is a partial aggregate
-(map-side) ahead of a tiny shuffle.  A question set above the broadcast bound
-is hash-split into bounded chunks, each joined the same way (exact; the
-catalogue is read once per chunk).
+Vector search (M7, M8, E2, E3) is exact and block-wise: the catalogue is
+hash-split into bounded blocks, the question set (measured; above the
+broadcast bound it is hash-split into bounded chunks) is cogrouped into every
+block, and each task scores its block with one BLAS matrix product per
+sub-chunk, keeping only its per-question winners (best row, top k or best
+score) in the final (score desc, id asc) order.  So no pair list is ever
+materialised or shuffled: the shuffle carries k rows per question per block,
+then a partial aggregate / group-limited window merges the blocks.
+
+TF-IDF (M9) is an equi-join on tokens with exact prefix pruning.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +48,7 @@ def cosine(a, b, na=None, nb=None) -> Column:
 
 
 def _chunks(q: DataFrame, key: str) -> list[DataFrame]:
-    """Split a measured question frame into broadcastable chunks."""
+    """Split a measured question frame into broadcast-sized chunks."""
     size = measure(q)
     n = max(1, math.ceil(size.bytes / BROADCAST_MAX_BYTES))
     if n == 1:
@@ -51,11 +56,113 @@ def _chunks(q: DataFrame, key: str) -> list[DataFrame]:
     return [q.where(F.pmod(F.xxhash64(F.col(key)), F.lit(n)) == i) for i in range(n)]
 
 
+# Catalogue rows per cogroup block (bounds the pandas frame of one task) and
+# rows per matrix product inside a block (bounds the score matrix).
+BLOCK_ROWS = 65536
+SUB_ROWS = 4096
+
+
+def _stack(values, dim: int) -> np.ndarray:
+    out = np.full((len(values), dim), np.nan)
+    for i, v in enumerate(values):
+        if v is not None:
+            out[i] = np.asarray(v, dtype=np.float64)
+    return out
+
+
+def _cos(m: np.ndarray, q: np.ndarray, qn: np.ndarray) -> np.ndarray:
+    """Cosine of every row of ``m`` with every question; a zero norm gives 0,
+    a missing vector -inf (it never wins)."""
+    missing = np.isnan(m).any(axis=1)
+    mm = np.where(missing[:, None], 0.0, m)
+    mn = np.linalg.norm(mm, axis=1)
+    dots = mm @ q.T
+    den = mn[:, None] * qn[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(den == 0, 0.0, dots / den)
+    s[missing, :] = -np.inf
+    return s
+
+
+def _block_scorer(mode: str, k: int, threshold: float, q_id: str, c_id: str):
+    """cogroup function: one catalogue block x all questions -> per question
+    the block's best row (``best``), its top k (``topk``) or its best score
+    (``max``); rows ordered by (score desc, id asc) as the final result is."""
+    def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        cols = [q_id, c_id, "score"]
+        if cpdf.empty or qpdf.empty:
+            return pd.DataFrame({c: pd.Series(dtype="int64" if c != "score" else "float64") for c in cols})
+        dim = len(next(v for v in qpdf["_qv"] if v is not None))
+        qv = _stack(qpdf["_qv"].tolist(), dim)
+        qv = np.where(np.isnan(qv), 0.0, qv)
+        qn = np.linalg.norm(qv, axis=1)
+        qids = qpdf[q_id].to_numpy()
+        cpdf = cpdf.sort_values(c_id, kind="stable")
+        cids = cpdf[c_id].to_numpy()
+        cand_q, cand_c, cand_s = [], [], []
+        for a in range(0, len(cpdf), SUB_ROWS):
+            part = cpdf.iloc[a:a + SUB_ROWS]
+            s = np.maximum(_cos(_stack(part["_tv"].tolist(), dim), qv, qn),
+                           _cos(_stack(part["_dv"].tolist(), dim), qv, qn))
+            ids = cids[a:a + SUB_ROWS]
+            if mode == "max":
+                cand_q.append(qids)
+                cand_c.append(np.zeros(len(qids), dtype=np.int64))
+                cand_s.append(s.max(axis=0))
+                continue
+            take = 1 if mode == "best" else k
+            if s.shape[0] > take:
+                kth = np.partition(s, s.shape[0] - take, axis=0)[s.shape[0] - take]
+                mask = (s >= kth[None, :]) & (s > threshold)
+            else:
+                mask = s > threshold
+            r, c = np.nonzero(mask)
+            cand_q.append(qids[c])
+            cand_c.append(ids[r])
+            cand_s.append(s[r, c])
+        q = np.concatenate(cand_q) if cand_q else np.array([], dtype=np.int64)
+        c = np.concatenate(cand_c) if cand_c else np.array([], dtype=np.int64)
+        sc = np.concatenate(cand_s) if cand_s else np.array([], dtype=np.float64)
+        if mode == "max":
+            df = pd.DataFrame({q_id: q, c_id: c, "score": sc})
+            return df.groupby(q_id, as_index=False).agg({c_id: "first", "score": "max"})[cols]
+        order = np.lexsort((c, -sc, q))
+        q, c, sc = q[order], c[order], sc[order]
+        first = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        keep = rank < (1 if mode == "best" else k)
+        return pd.DataFrame({q_id: q[keep], c_id: c[keep], "score": sc[keep]})[cols]
+    return fn
+
+
+def _blocked(questions: DataFrame, catalog: DataFrame, mode: str, *, q_id: str, q_vec: str, c_id: str,
+             title_vec: str, desc_vec: str, k: int, threshold: float) -> DataFrame:
+    """Exact question x catalogue scoring by numpy blocks.  The catalogue is
+    hash-split into blocks of at most ``BLOCK_ROWS`` rows; the (measured,
+    bounded) question set is cogrouped into every block.  Only each block's
+    per-question winners leave the task."""
+    q = materialize(questions.select(F.col(q_id).cast("long").alias(q_id), F.col(q_vec).alias("_qv")))
+    c = catalog.select(F.col(c_id).cast("long").alias(c_id), F.col(title_vec).alias("_tv"), F.col(desc_vec).alias("_dv"))
+    n_rows = c.select(c_id).count()
+    spark = catalog.sparkSession
+    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / BLOCK_ROWS))
+    cb = c.withColumn("_blk", F.pmod(F.xxhash64(F.col(c_id)), F.lit(n_blocks)))
+    schema = f"{q_id} long, {c_id} long, score double"
+    out = None
+    for part in _chunks(q, q_id):
+        qb = part.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        r = (cb.groupBy("_blk").cogroup(qb.groupBy("_blk"))
+               .applyInPandas(_block_scorer(mode, k, threshold, q_id, c_id), schema))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def scored_pairs(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", q_vec: str = "q_vec",
                  c_id: str = "image_row", title_vec: str = "title_vec", desc_vec: str = "desc_vec",
                  threshold: float = COSINE_THRESHOLD) -> DataFrame:
-    """(q_id, c_id, score) with score = max(cos(q, title), cos(q, description))
-    > threshold; a NULL vector side scores through the other one."""
+    """(q_id, c_id, score) for every pair with score = max(cos(q, title),
+    cos(q, description)) > threshold, as a size-checked broadcast theta join
+    (JVM expressions; for small inputs and as a plain reference plan)."""
     q = materialize(questions.select(q_id, F.col(q_vec).alias("_qv"), norm(q_vec).alias("_qn")))
     c = catalog.select(c_id, F.col(title_vec).alias("_tv"), norm(title_vec).alias("_tn"),
                        F.col(desc_vec).alias("_dv"), norm(desc_vec).alias("_dn"))
@@ -68,27 +175,40 @@ def scored_pairs(questions: DataFrame, catalog: DataFrame, *, q_id: str = "quest
     return out
 
 
+_VEC_COLS = dict(q_vec="q_vec", title_vec="title_vec", desc_vec="desc_vec")
+
+
 def best_match(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", c_id: str = "image_row",
                threshold: float = COSINE_THRESHOLD, **cols) -> DataFrame:
     """M7: per question the first catalogue row of maximal score, kept only
     when the score is above the threshold (strict); NULL otherwise."""
-    pairs = scored_pairs(questions, catalog, q_id=q_id, c_id=c_id, threshold=threshold, **cols)
-    best = (pairs.groupBy(q_id)
-                 .agg(F.max_by(F.struct(F.col(c_id), F.col("score")), F.struct(F.col("score"), -F.col(c_id))).alias("_b"))
-                 .select(q_id, F.col(f"_b.{c_id}").alias(c_id), F.col("_b.score").alias("score")))
+    v = {**_VEC_COLS, **cols}
+    wins = _blocked(questions, catalog, "best", q_id=q_id, c_id=c_id, k=1, threshold=threshold, **v)
+    best = (wins.groupBy(q_id)
+                .agg(F.max_by(F.struct(F.col(c_id), F.col("score")), F.struct(F.col("score"), -F.col(c_id))).alias("_b"))
+                .select(q_id, F.col(f"_b.{c_id}").alias(c_id), F.col("_b.score").alias("score")))
     return questions.select(q_id).join(best, q_id, "left")
 
 
 def nearest(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", c_id: str = "image_row",
             k: int = MAX_RESULTS, threshold: float = COSINE_THRESHOLD, **cols) -> DataFrame:
     """M8: the k best catalogue rows per question above the threshold (score
-    desc, ties in catalogue order); ``row_number() <= k`` gets a partial
-    per-partition limit before its shuffle."""
-    pairs = scored_pairs(questions, catalog, q_id=q_id, c_id=c_id, threshold=threshold, **cols)
+    desc, ties in catalogue order): per-block top k, then ``row_number() <= k``
+    (planned with a partial per-partition limit before its shuffle)."""
+    v = {**_VEC_COLS, **cols}
+    pairs = _blocked(questions, catalog, "topk", q_id=q_id, c_id=c_id, k=k, threshold=threshold, **v)
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(c_id).asc())
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_scores(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", c_id: str = "image_row",
+                **cols) -> DataFrame:
+    """(q_id, best): each question's highest score over the whole catalogue."""
+    v = {**_VEC_COLS, **cols}
+    m = _blocked(questions, catalog, "max", q_id=q_id, c_id=c_id, k=1, threshold=-math.inf, **v)
+    return m.groupBy(q_id).agg(F.max("score").alias("best"))
+
+
 # ---------------------------------------------------------------- M9: TF-IDF
 def tfidf(docs: DataFrame, doc_id: str, tokens: str, idf: DataFrame) -> DataFrame:
     """Long form (doc_id, token, w) with L2-normalised tf*idf weights;
