@@ -24,7 +24,7 @@ def token_sort_key(c) -> Column:
     """The processed, token-sorted form of a string."""
     t = F.regexp_replace(_col(c), r"[\x{80}-\x{FF}]", "")
     t = F.trim(F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_]", " ")))
-    toks = F.filter(F.split(t, " +"), lambda x: x != "")
+    toks = F.array_remove(F.split(t, " +"), "")
     return F.array_join(F.array_sort(toks), " ")
 
 

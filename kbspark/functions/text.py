@@ -69,8 +69,13 @@ def _ascii_fold_udf(s: pd.Series) -> pd.Series:
 
 
 def _needs_fallback(c: Column, ranges) -> Column:
-    cls = ut.ranges_to_class(ranges) + r"\x{10000}-\x{10FFFF}"
-    return c.rlike(f"[{cls}]")
+    """Rows holding a character whose rewritten form is longer than one
+    character, or any supplementary-plane character: deleting the listed
+    characters with ``translate`` (a hash lookup per character) shortens the
+    string, or the one-range regex finds a surrogate pair."""
+    listed = "".join(chr(x) for a, b in ranges for x in range(a, b + 1))
+    shorter = F.length(F.translate(c, listed, "")) < F.length(c)
+    return shorter | c.rlike("[\\x{10000}-\\x{10FFFF}]")
 
 
 def strip_accents(c) -> Column:

@@ -52,7 +52,7 @@ def _grams(s: Column, k: int) -> Column:
 
 
 def _tokens(c: Column, sep: str) -> Column:
-    return F.filter(F.array_distinct(F.split(c, sep)), lambda t: t != "")
+    return F.array_remove(F.array_distinct(F.split(c, sep)), "")
 
 
 def _inner_runs(needle: Column, sep: str) -> Column:
