@@ -216,8 +216,10 @@ def tfidf(docs: DataFrame, doc_id: str, tokens: str, idf: DataFrame) -> DataFram
     tf = (docs.select(doc_id, F.explode(tokens).alias("token")).where(F.col("token") != "")
               .groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("tf")))
     w = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    n = w.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return w.join(n, doc_id).select(doc_id, "token", (F.col("w") / F.col("_n")).alias("w"))
+    # the norm as a window over the document (one row per distinct token of
+    # it), not a self-join that would tokenise the documents twice
+    n = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
+    return w.select(doc_id, "token", (F.col("w") / n).alias("w"))
 
 
 def tfidf_best_match(questions: DataFrame, corpus: DataFrame, *, q_id: str, q_tokens: str, d_id: str, d_tokens: str,
@@ -232,7 +234,10 @@ def tfidf_best_match(questions: DataFrame, corpus: DataFrame, *, q_id: str, q_to
     high-idf tokens, so the postings it probes are short."""
     n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
     dtok = corpus.select(d_id, F.explode(F.array_distinct(d_tokens)).alias("token")).where(F.col("token") != "")
-    df = dtok.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # partial aggregation absorbs hot tokens
+    # the vocabulary table is written once and read by both the question and
+    # the candidate-document weights; it grows with the vocabulary, not the
+    # corpus (partial aggregation absorbs hot tokens before the shuffle)
+    df = materialize(dtok.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
 
     def idf(c: Column) -> Column:
         return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.coalesce(c, F.lit(0)))) + F.lit(1.0)
