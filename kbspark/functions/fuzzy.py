@@ -92,7 +92,9 @@ def ratio_at_least_udf(threshold: int):
     @F.pandas_udf(T.IntegerType())
     def _udf(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio_at_least_py(x, y, threshold) for x, y in zip(a, b)], dtype="Int32")
-    return _udf
+    # the function is deterministic; the flag only stops the optimizer from
+    # copying the call into the filter on its result (two Python passes)
+    return _udf.asNondeterministic()
 
 
 def token_sort_ratio(a, b) -> Column:

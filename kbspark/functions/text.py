@@ -48,6 +48,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def explode_computed(arr) -> Column:
+    """``explode`` of an array built by an expensive expression (tokenising
+    whole texts).  For a plain explode Spark infers ``size(arr) > 0 AND arr IS
+    NOT NULL`` and pushes it below the projection, and below an exchange, so
+    the expression runs twice per row; ``explode_outer`` infers nothing.  It
+    gives one NULL element for an empty or NULL array: callers drop it."""
+    return F.explode_outer(_col(arr))
+
+
 # ---------------------------------------------------------------- F1
 def normalize_text(c) -> Column:
     """lower, runs of non-word characters to one space, strip.

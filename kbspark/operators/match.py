@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.fuzzy import ratio_at_least_udf, token_sort_key
-from kbspark.functions.text import normalize_text
+from kbspark.functions.text import explode_computed, normalize_text
 from kbspark.operators.joins import materialize, maybe_broadcast  # noqa: F401 (re-exported)
 
 # Fixed defaults of the reference: fuzzy threshold, maximum results, cosine
@@ -41,6 +41,7 @@ HIT_URL_PREFIX = "/api/images/"
 
 GRAM = 3
 FUZZY_SALT = 16
+EMPTY_BUCKET = -(1 << 40)
 _QK = "_qk"
 
 
@@ -83,7 +84,8 @@ def containment_candidates(qa: DataFrame, cat: DataFrame, c_id: str, hay: str, s
                                  .otherwise("every"))
     prof = qa.groupBy("_kind").agg(F.collect_set(F.least(F.length("_word"), F.lit(GRAM))).alias("ks")).collect()
     kinds = {r["_kind"]: sorted(r["ks"]) for r in prof}
-    ctok = cat.select(c_id, F.explode(_tokens(F.col(hay), sep)).alias("token"))
+    ctok = (cat.select(c_id, explode_computed(_tokens(F.col(hay), sep)).alias("token"))
+               .where(F.col("token").isNotNull()))
 
     def bc(df):
         return F.broadcast(df) if small else df
@@ -132,10 +134,10 @@ def containment_candidates(qa: DataFrame, cat: DataFrame, c_id: str, hay: str, s
         _s, small = maybe_broadcast(anchors)
     if small:
         side = F.broadcast(anchors.join(F.broadcast(payload), _QK))
-        probe = cat.select(c_id, hay, F.explode(row_tokens).alias("token"))
+        probe = cat.select(c_id, hay, explode_computed(row_tokens).alias("token")).where(F.col("token").isNotNull())
         cand = probe.join(side, "token").where(verify(F.col(hay))).select(_QK, c_id)
     else:
-        ctok_all = cat.select(c_id, F.explode(row_tokens).alias("token"))
+        ctok_all = cat.select(c_id, explode_computed(row_tokens).alias("token")).where(F.col("token").isNotNull())
         pairs = ctok_all.join(anchors, "token").select(_QK, c_id).distinct()
         cand = (pairs.join(cat.select(c_id, hay), c_id).join(payload, _QK)
                      .where(verify(F.col(hay))).select(_QK, c_id))
@@ -150,15 +152,23 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
         raise ValueError("fuzzy blocking needs a positive threshold")
     rho = min(r / (2.0 - r), 1.0)
     width = math.log(1.0 / rho) if rho < 1.0 else 1.0
-    qs = q.select(_QK, token_sort_key(F.col(q_norm)).alias("qs")).withColumn("lq", F.length("qs"))
-    cs = cat.select(c_id, token_sort_key(F.col(c_norm)).alias("cs")).withColumn("lc", F.length("cs"))
+    # lengths and buckets are non-nullable on purpose: a nullable join key
+    # makes Spark infer an IS NOT NULL filter and push it below the scan-side
+    # exchange, which would evaluate the token-sort chain twice per row
+    qs = q.select(_QK, token_sort_key(F.col(q_norm)).alias("qs")).withColumn("lq", F.coalesce(F.length("qs"), F.lit(0)))
+    cs = cat.select(c_id, token_sort_key(F.col(c_norm)).alias("cs")).withColumn("lc", F.coalesce(F.length("cs"), F.lit(0)))
 
     def bucket(c: Column) -> Column:
-        return F.floor(F.log(c.cast("double")) / F.lit(width)).cast("long")
-
-    qb = (qs.where(F.col("lq") > 0).withColumn("b0", bucket(F.col("lq")))
-            .select(_QK, "qs", "lq", F.explode(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1)).alias("bucket")))
-    cb = cs.where(F.col("lc") > 0).withColumn("bucket", bucket(F.col("lc")))
+        # an empty processed string gets its own bucket: it meets only empty
+        # strings (equal, score 100); every other pair with an empty side is 0
+        return F.coalesce(F.when(c == 0, F.lit(EMPTY_BUCKET)).otherwise(
+            F.floor(F.log(c.cast("double")) / F.lit(width)).cast("long")), F.lit(EMPTY_BUCKET))
+
+    qb = (qs.withColumn("b0", bucket(F.col("lq")))
+            .select(_QK, "qs", "lq", F.explode(
+                F.when(F.col("lq") == 0, F.array(F.col("b0")))
+                 .otherwise(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1))).alias("bucket")))
+    cb = cs.withColumn("bucket", bucket(F.col("lc")))
     if small:
         qb_side, keys = F.broadcast(qb), ["bucket"]
     else:
@@ -168,13 +178,8 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
         keys = ["bucket", "salt"]
     pairs = (cb.join(qb_side, keys)
                .where(F.lit(400) * F.least("lq", "lc") >= F.lit(2 * threshold - 1) * (F.col("lq") + F.col("lc"))))
-    scored = (pairs.select(_QK, c_id, ratio_at_least_udf(threshold)(F.col("qs"), F.col("cs")).alias("match_score"))
-                   .where(F.col("match_score") >= threshold))
-    # both sides empty after processing: equal strings, score 100 (equi-join on the empty key)
-    qe = qs.where(F.col("lq") == 0).select(_QK, F.col("qs").alias("key"))
-    ce = cs.where(F.col("lc") == 0).select(c_id, F.col("cs").alias("key"))
-    both_empty = ce.join(F.broadcast(qe) if small else qe, "key").select(_QK, c_id, F.lit(100).alias("match_score"))
-    return scored.unionByName(both_empty)
+    return (pairs.select(_QK, c_id, ratio_at_least_udf(threshold)(F.col("qs"), F.col("cs")).alias("match_score"))
+                 .where(F.col("match_score") >= threshold))
 
 
 def _question_keys(questions: DataFrame, q_id: str, q_text: str):

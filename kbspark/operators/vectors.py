@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.functions.text import explode_computed
 from kbspark.operators.joins import BROADCAST_MAX_BYTES, materialize, maybe_broadcast, measure
 from kbspark.operators.match import COSINE_THRESHOLD, MAX_RESULTS
 
@@ -213,7 +214,7 @@ def best_scores(questions: DataFrame, catalog: DataFrame, *, q_id: str = "questi
 def tfidf(docs: DataFrame, doc_id: str, tokens: str, idf: DataFrame) -> DataFrame:
     """Long form (doc_id, token, w) with L2-normalised tf*idf weights;
     ``idf`` is (token, idf)."""
-    tf = (docs.select(doc_id, F.explode(tokens).alias("token")).where(F.col("token") != "")
+    tf = (docs.select(doc_id, explode_computed(tokens).alias("token")).where(F.col("token") != "")
               .groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("tf")))
     w = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     # the norm as a window over the document (one row per distinct token of
@@ -233,7 +234,7 @@ def tfidf_best_match(questions: DataFrame, corpus: DataFrame, *, q_id: str, q_to
     exceed the threshold (Cauchy-Schwarz).  The prefix holds the rare,
     high-idf tokens, so the postings it probes are short."""
     n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
-    dtok = corpus.select(d_id, F.explode(F.array_distinct(d_tokens)).alias("token")).where(F.col("token") != "")
+    dtok = corpus.select(d_id, explode_computed(F.array_distinct(d_tokens)).alias("token")).where(F.col("token") != "")
     # the vocabulary table is written once and read by both the question and
     # the candidate-document weights; it grows with the vocabulary, not the
     # corpus (partial aggregation absorbs hot tokens before the shuffle)
@@ -254,7 +255,8 @@ def tfidf_best_match(questions: DataFrame, corpus: DataFrame, *, q_id: str, q_to
     cand = dtok.join(prefix_side, "token").select(q_id, d_id).distinct()
     cand = materialize(cand)
     # exact dot product of the candidates over all shared tokens
-    docs = corpus.join(cand.select(d_id).distinct(), d_id, "left_semi")
+    cand_docs, _ = maybe_broadcast(cand.select(d_id).distinct())
+    docs = corpus.join(cand_docs, d_id, "left_semi")
     dw = tfidf(docs, d_id, d_tokens, df.select("token", idf(F.col("df")).alias("idf")))
     scores = (cand.join(qw_side, q_id)
                   .join(dw.withColumnRenamed("w", "_dw"), [d_id, "token"])

@@ -39,3 +39,20 @@ def test_column_pruning_reaches_scan(spark):
     p = plan(QUERIES["i4_catalog_scan"](spark, SF_SMALL))
     scan = [line for line in p.splitlines() if "ReadSchema" in line]
     assert scan and "lang" not in scan[0] and "n_chars" not in scan[0]
+
+
+def test_fuzzy_udf_runs_once_and_text_work_is_not_duplicated(spark):
+    """The LCS UDF is evaluated in one Python pass, and no inferred filter
+    re-evaluates the token-sort chain below the catalogue scan."""
+    p = plan(QUERIES["m3_token_sort_pairs"](spark, SF_SMALL))
+    assert p.count("ArrowEvalPython") == 2  # one node: tree line + its detail section
+    filters = [line for line in p.splitlines() if line.startswith("Condition") and "array_sort" in line]
+    assert not filters, filters
+
+
+def test_token_explodes_infer_no_size_filter(spark):
+    """explode over tokenised whole texts must not get an inferred
+    ``size(...) > 0`` filter (it would tokenise every document twice)."""
+    p = plan(QUERIES["m9_tfidf_best"](spark, SF_SMALL))
+    conds = [line for line in p.splitlines() if line.startswith("Condition") and "size(split" in line]
+    assert not conds, conds
