@@ -182,10 +182,17 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
                  .where(F.col("match_score") >= threshold))
 
 
+def _non_null(c: Column) -> Column:
+    """A derived text column of rows already filtered to non-NULL input, typed
+    non-nullable: otherwise Spark infers ``IS NOT NULL`` on it from the joins
+    and pushes that below the scan-side exchange, running the regex twice."""
+    return F.coalesce(c, F.lit(""))
+
+
 def _question_keys(questions: DataFrame, q_id: str, q_text: str):
     """(q_id, _qk, _qn): questions keyed by a representative id per distinct
     normalised text; returns (mapping, distinct keys, small?)."""
-    qn = questions.where(F.col(q_text).isNotNull()).select(q_id, normalize_text(q_text).alias("_qn"))
+    qn = questions.where(F.col(q_text).isNotNull()).select(q_id, _non_null(normalize_text(q_text)).alias("_qn"))
     reps = qn.groupBy("_qn").agg(F.min(q_id).alias(_QK))
     reps = materialize(reps)
     _side, small = maybe_broadcast(reps)
@@ -194,7 +201,7 @@ def _question_keys(questions: DataFrame, q_id: str, q_text: str):
 
 
 def _scores_by_key(reps: DataFrame, catalog: DataFrame, c_id: str, c_text: str, threshold: int, small: bool) -> DataFrame:
-    cat = catalog.where(F.col(c_text).isNotNull()).select(c_id, normalize_text(c_text).alias("_cn"))
+    cat = catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(normalize_text(c_text)).alias("_cn"))
     qa = reps.select(_QK, "_qn", F.array("_qn").alias("needles"))
     sub = containment_candidates(qa, cat, c_id, "_cn", " ", lambda hay: hay.contains(F.col("_qn")), small)
     sub = sub.withColumn("match_score", F.lit(100))
@@ -243,7 +250,7 @@ def like_matches(questions: DataFrame, catalog: DataFrame, *, q_id: str = "quest
         F.split(fold(F.col(q_text)), "[%_]").alias("needles"))
     q = materialize(q)
     _s, small = maybe_broadcast(q)
-    cat = catalog.where(F.col(c_text).isNotNull()).select(c_id, fold(F.col(c_text)).alias("_hay"))
+    cat = catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(fold(F.col(c_text))).alias("_hay"))
     hits = containment_candidates(q, cat, c_id, "_hay", r"[^\p{L}\p{N}]+",
                                   lambda hay: F.expr("_hay LIKE _pat"), small)
     return hits.select(F.col(_QK).alias(q_id), c_id)
