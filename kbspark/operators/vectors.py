@@ -48,10 +48,10 @@ def cosine(a, b, na=None, nb=None) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
 
 
-def _chunks(q: DataFrame, key: str) -> list[DataFrame]:
-    """Split a measured question frame into broadcast-sized chunks."""
+def _chunks(q: DataFrame, key: str, max_bytes: int = BROADCAST_MAX_BYTES) -> list[DataFrame]:
+    """Split a measured question frame into chunks of at most ``max_bytes``."""
     size = measure(q)
-    n = max(1, math.ceil(size.bytes / BROADCAST_MAX_BYTES))
+    n = max(1, math.ceil(size.bytes / max_bytes))
     if n == 1:
         return [q]
     return [q.where(F.pmod(F.xxhash64(F.col(key)), F.lit(n)) == i) for i in range(n)]
@@ -61,6 +61,11 @@ def _chunks(q: DataFrame, key: str) -> list[DataFrame]:
 # rows per matrix product inside a block (bounds the score matrix).
 BLOCK_ROWS = 65536
 SUB_ROWS = 4096
+# A question chunk is copied into every catalogue block, so it is kept no
+# larger than a block (~BLOCK_ROWS rows of two vectors): the copies then move
+# at most about as many bytes as the catalogue itself per pass, and a larger
+# question set takes more passes instead of a larger shuffle.
+QUESTION_CHUNK_BYTES = 32 * 1024 * 1024
 
 
 def _stack(values, dim: int) -> np.ndarray:
@@ -150,7 +155,7 @@ def _blocked(questions: DataFrame, catalog: DataFrame, mode: str, *, q_id: str,
     cb = c.withColumn("_blk", F.pmod(F.xxhash64(F.col(c_id)), F.lit(n_blocks)))
     schema = f"{q_id} long, {c_id} long, score double"
     out = None
-    for part in _chunks(q, q_id):
+    for part in _chunks(q, q_id, QUESTION_CHUNK_BYTES):
         qb = part.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         r = (cb.groupBy("_blk").cogroup(qb.groupBy("_blk"))
                .applyInPandas(_block_scorer(mode, k, threshold, q_id, c_id), schema))
