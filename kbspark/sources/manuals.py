@@ -8,10 +8,10 @@ machine-local folder by these jobs except in local tests.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +49,15 @@ def write_manuals(runs: DataFrame, folder: str) -> DataFrame:
             else:
                 paras[-1].append(dict(text=r.text or ""))
         doc_id = int(pdf["doc_id"].iloc[0])
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"manual_{doc_id}.docx")
+        name = f"manual_{doc_id}.docx"
         blob = build_docx(paras)
-        with open(path, "wb") as fh:
-            fh.write(blob)
-        return pd.DataFrame([{"doc_id": doc_id, "path": path, "n_bytes": len(blob)}])
+        # through the folder's own file system (local, file:, hdfs:, s3: ...),
+        # so executors write to the shared folder wherever it lives
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base.rstrip('/')}/{name}") as out:
+            out.write(blob)
+        return pd.DataFrame([{"doc_id": doc_id, "path": f"{folder.rstrip('/')}/{name}", "n_bytes": len(blob)}])
     return runs.groupBy("doc_id").applyInPandas(write, MANUAL_RESULT)
 
 
