@@ -56,3 +56,19 @@ def test_token_explodes_infer_no_size_filter(spark):
     p = plan(QUERIES["m9_tfidf_best"](spark, SF_SMALL))
     conds = [line for line in p.splitlines() if line.startswith("Condition") and "size(split" in line]
     assert not conds, conds
+
+
+def test_spread_only_between_bounds(spark, monkeypatch):
+    """Inputs inside the byte window are spread over the cores after the scan;
+    smaller or larger ones keep the scan's own splits."""
+    import kbspark.session as ks
+    path = f"{SF_SMALL}/documents.parquet"
+    size = ks.estimated_bytes(spark.read.parquet(path))
+    assert size and size > 0
+    monkeypatch.setattr(ks, "SPREAD_MIN_BYTES", size + 1)
+    assert "RoundRobinPartitioning" not in plan(ks.read_table(spark, SF_SMALL, "documents"))
+    monkeypatch.setattr(ks, "SPREAD_MIN_BYTES", 0)
+    monkeypatch.setattr(ks, "SPREAD_MAX_BYTES", size)
+    assert "RoundRobinPartitioning" not in plan(ks.read_table(spark, SF_SMALL, "documents"))
+    monkeypatch.setattr(ks, "SPREAD_MAX_BYTES", size + 1)
+    assert "RoundRobinPartitioning" in plan(ks.read_table(spark, SF_SMALL, "documents"))
