@@ -40,13 +40,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) do we set a fresh scratch
-    folder of our own; a configured folder is never replaced.
+    Only when a local session names none (tests, bench) do we set a fresh
+    scratch folder of our own; a configured folder is never replaced, and a
+    cluster session without one is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="kbspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
         spark.sparkContext.setCheckpointDir(current)
