@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.llm import chat, exact_dedup, warc
+from kbspark.llm import bpe, chat, exact_dedup, packing, warc
 from kbspark.llm.common import table
 
 QUERIES = {}
@@ -61,6 +61,24 @@ def op2_chat_formatting(spark, sf_dir):
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+# 6: byte-level BPE --------------------------------------------------------------------
+
+
+@register()
+def op6_byte_bpe(spark, sf_dir):
+    out = bpe.encode_texts(table(spark, sf_dir, "documents"), keep=("ids_sha256", "decoded_sha256"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+# 7: best-fit packing ------------------------------------------------------------------
+
+
+@register()
+def op7_best_fit_packing(spark, sf_dir):
+    out = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
 # 9: exact deduplication ---------------------------------------------------------------
 
 OP9 = r"""
