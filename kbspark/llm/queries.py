@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.llm import bpe, chat, exact_dedup, packing, warc
+from kbspark.llm import bpe, chat, exact_dedup, html_extract, packing, warc
 from kbspark.llm.common import table
 
 QUERIES = {}
@@ -61,6 +61,15 @@ def op2_chat_formatting(spark, sf_dir):
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+# 5: HTML extraction -------------------------------------------------------------------
+
+
+@register()
+def op5_html_extraction(spark, sf_dir):
+    out = html_extract.extract_pages(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 # 6: byte-level BPE --------------------------------------------------------------------
 
 
