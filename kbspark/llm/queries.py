@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.llm import bpe, chat, exact_dedup, html_extract, packing, warc
+from kbspark.llm import bpe, chat, embedding_join, exact_dedup, html_extract, packing, warc
 from kbspark.llm.common import table
 
 QUERIES = {}
@@ -88,6 +88,25 @@ def op7_best_fit_packing(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
+# 8: embedding near-duplicates ---------------------------------------------------------
+
+OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CASE WHEN len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+      AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) THEN embedding::DOUBLE[] END AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, min(reach.b) AS component_id, min(reach.b) = v.vec_id AS kept
+FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id
+"""
+
+
+@register(OP8)
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embedding_join.link_embeddings(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 # 9: exact deduplication ---------------------------------------------------------------
 
 OP9 = r"""
