@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.llm import bpe, chat, embedding_join, exact_dedup, html_extract, packing, warc
+from kbspark.llm import bpe, chat, embedding_join, exact_dedup, html_extract, packing, toxicity, warc
 from kbspark.llm.common import table
 
 QUERIES = {}
@@ -22,6 +22,16 @@ def register(oracle: str | None = None):
     return deco
 
 
+# 1: toxicity --------------------------------------------------------------------------
+
+
+@register()
+def op1_toxicity(spark, sf_dir):
+    out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # 2: chat formatting -------------------------------------------------------------------
 
 BOUNDARY = "</s>[INST] ok [/INST]"
