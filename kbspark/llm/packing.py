@@ -26,7 +26,7 @@ SEQUENCE = 2048
 OPEN = 1 << 15
 #: Pieces of one packer, about; the number of packers grows with the pieces.
 PACKER_PIECES = 1 << 16
-RECENT = 250_000
+RECENT = 500_000
 ID_BYTES = 4
 
 
@@ -34,7 +34,7 @@ class WordIds:
     """Ids (as little-endian bytes) of the blank-separated parts of texts.
 
     The tokenizer's pre-tokenizer never joins across white space, so each part
-    is encoded alone; recent parts are kept in a table of bounded size.
+    is encoded alone; recent parts are kept in two generations of bounded size.
     """
 
     def __init__(self, path: str):
@@ -42,19 +42,24 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.raw = [i.to_bytes(ID_BYTES, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.recent) > RECENT:
-            self.recent.clear()
-        missing = list({part for words in parts for part in words if part not in self.recent})
+            self.recent, self.older = {}, self.recent
+        parts = [text.replace("\n", " ").split(" ") for text in texts]
+        recent = self.recent
+        missing = [part for part in set().union(*parts) if part not in recent]
+        recent.update((part, self.older[part]) for part in missing if part in self.older)
+        missing = [part for part in missing if part not in recent]
         for at in range(0, len(missing), 20_000):
             some = missing[at:at + 20_000]
             for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.recent[part] = b"".join(i.to_bytes(ID_BYTES, "little") for i in got.ids)
+                recent[part] = b"".join(map(self.raw.__getitem__, got.ids))
         for words in parts:
-            yield b"".join(map(self.recent.__getitem__, words))
+            yield b"".join(map(recent.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=2)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.llm import bpe, chat, embedding_join, exact_dedup, html_extract, packing, toxicity, warc
+from kbspark.llm import bpe, chat, embedding_join, exact_dedup, html_extract, jaccard_join, packing, toxicity, warc
 from kbspark.llm.common import table
 
 QUERIES = {}
@@ -71,6 +71,14 @@ def op2_chat_formatting(spark, sf_dir):
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+# 4: n-gram Jaccard join ---------------------------------------------------------------
+
+
+@register()
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # 5: HTML extraction -------------------------------------------------------------------
 
 
