@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.llm import bpe, chat, embedding_join, exact_dedup, html_extract, jaccard_join, packing, toxicity, warc
+from kbspark.llm import bpe, chat, embedding_join, exact_dedup, html_extract, jaccard_join, license_scan, packing, toxicity, warc
 from kbspark.llm.common import table
 
 QUERIES = {}
@@ -71,6 +71,34 @@ def op2_chat_formatting(spark, sf_dir):
                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+# 3: licence scan ----------------------------------------------------------------------
+
+_SETS = {name: license_scan.bigrams(license_scan.words_of(text)) for name, text in license_scan.TEMPLATES.items()}
+OP3 = f"""
+WITH t(licence, grams) AS (VALUES {", ".join(f"('{n}', [{', '.join(repr(' '.join(g)) for g in sorted(s))}])" for n, s in _SETS.items())}),
+d AS (SELECT row_number() OVER () AS r, doc_id, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\n]+', ' ', 'g')) AS plain FROM documents),
+para AS (SELECT r, unnest(regexp_split_to_array(plain, '\n( *\n)+')) AS part FROM d),
+parts AS (
+  SELECT r, unnest(string_split(plain, chr(10))) AS part FROM d
+  UNION ALL SELECT r, part FROM para WHERE contains(trim(part, chr(10) || ' '), chr(10))
+  UNION ALL SELECT r, plain FROM d WHERE regexp_matches(plain, '\n( *\n)+')),
+w AS (SELECT r, list_filter(regexp_split_to_array(part, '[ \n]+'), lambda x: x <> '') AS w FROM parts),
+g AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),
+hit AS (SELECT r, row_number() OVER () AS g, licence, len(list_intersect(g.grams, t.grams)) AS s, len(g.grams) + len(t.grams) AS n
+        FROM g JOIN t ON len(g.grams) * 180 >= len(t.grams) * 120 AND len(t.grams) * 180 >= len(g.grams) * 120 AND list_has_any(g.grams, t.grams)),
+good AS (SELECT r, licence, s, n, 2.0 * s / n AS dice FROM hit WHERE 200 * s >= 80 * n),
+per AS (SELECT r, arg_min(licence, (-dice::DOUBLE, licence)) AS licence, max(2::DOUBLE * s / n) AS dice FROM good GROUP BY r),
+places AS (SELECT g.r, count(*) AS places FROM g WHERE EXISTS (SELECT 1 FROM t WHERE list_has_any(g.grams, t.grams)
+   AND 200 * len(list_intersect(g.grams, t.grams)) >= 80 * (len(g.grams) + len(t.grams))) GROUP BY g.r)
+SELECT doc_id, licence, coalesce(dice, 0) AS dice, coalesce(places, 0) AS places FROM d LEFT JOIN per USING (r) LEFT JOIN places USING (r)
+"""
+
+
+@register(OP3)
+def op3_licence_scan(spark, sf_dir):
+    return license_scan.scan_licences(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # 4: n-gram Jaccard join ---------------------------------------------------------------
 
 
