@@ -193,7 +193,20 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray)
     prior = (total[1] + 1) / (total.sum() + 10)
     # prior belief: a voter rarely fires on clean text and often enough on toxic
     fire = np.array([(labelled[:, c] @ x + (0.02, 0.3)[c] * 4) / (total[c] + 4) for c in (0, 1)])
-    damp = np.ones(x.shape[1])
+
+    def damping(weights: np.ndarray) -> np.ndarray:
+        """1 / (1 + correlations with the other voters, averaged over the rows of ``weights``)."""
+        rho = np.zeros((x.shape[1], x.shape[1]))
+        for w in weights:
+            d = x - w @ x / max(w.sum(), 1)
+            cov = (d * w[:, None]).T @ d / max(w.sum(), 1)
+            sd = np.sqrt(np.diag(cov))
+            rho += np.abs(cov) / np.outer(sd, sd).clip(1e-8) / len(weights)
+        np.fill_diagonal(rho, 0)
+        return 1 / (1 + rho.sum(axis=1))
+
+    # the start has no classes yet: voters that agree overall share their weight
+    damp = damping((counts + labelled.sum(axis=1))[None, :])
     for _ in range(ROUNDS):
         fire = fire.clip(1e-6, 1 - 1e-6)
         odds = np.log(prior / (1 - prior)) + ((x * np.log(fire[1] / fire[0]) + (1 - x) * np.log((1 - fire[1]) / (1 - fire[0]))) * damp).sum(axis=1)
@@ -202,15 +215,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray)
         sums = weight.sum(axis=1)
         fire = np.array([(weight[c] @ x + (0.02, 0.3)[c] * 4) / (sums[c] + 4) for c in (0, 1)])
         prior = float(((sums[1] + 1) / (sums.sum() + 10)).clip(0.001, 0.5))
-        # correlations within the classes discount voters that say the same
-        rho = np.zeros((x.shape[1], x.shape[1]))
-        for c in (0, 1):
-            d = x - fire[c]
-            cov = (d * weight[c][:, None]).T @ d / max(sums[c], 1)
-            sd = np.sqrt(np.diag(cov)).clip(1e-9)
-            rho += np.abs(cov / sd[:, None] / sd) * (np.outer(sd, sd) > 1e-8) / 2
-        np.fill_diagonal(rho, 0)
-        damp = 1 / (1 + rho.sum(axis=1).clip(0, None))
+        damp = damping(weight)  # correlations within the classes discount voters that say the same
     return post
 
 
