@@ -7,6 +7,8 @@ one-to-one ``translate`` table cannot express.
 
 from __future__ import annotations
 
+import mimetypes
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from kbspark.functions.unicode_tables import ascii_fold_py, strip_marks_py
 _WS = r"[\p{IsWhite_Space}\x{1C}-\x{1F}]"
 
 # Fixed values that must equal the reference's output for right results.
-# F2 prefixes, F7/F8 patterns, F11/F12 templates, F13 MIME types, F18 marker.
+# F2 prefixes, F7/F8 patterns, F11/F12 templates, F18 marker.
 FIGURA_PREFIX = "figura"
 PICTURE_PREFIX = "picture"
 IMAGE_NAME_PATTERN = r"\b\w+_(?:figura|image|picture)[^\s]+\.(?:png|jpg|jpeg)\b"
@@ -28,19 +30,8 @@ IMAGE_NAME_PATTERN_V0 = r"image_.*?\.(?:png|jpg)"
 LINK_TEMPLATE = '<a href="%s">Imagem: %d</a>'
 FOUND_TEMPLATE = "Encontrei este print no manual: [Clique aqui para ver](%s)"
 APPEND_SEPARATOR = " \n\n"
-MIME_BY_EXTENSION = {
-    "png": "image/png",
-    "jpg": "image/jpeg",
-    "jpeg": "image/jpeg",
-    "gif": "image/gif",
-    "bmp": "image/bmp",
-    "webp": "image/webp",
-    "svg": "image/svg+xml",
-    "tif": "image/tiff",
-    "tiff": "image/tiff",
-    "emf": None,
-    "wmf": None,
-}
+# MIME types as the standard library's own table has them (no system files).
+MIME_BY_EXTENSION = {ext[1:]: kind for ext, kind in sorted(mimetypes.MimeTypes(filenames=()).types_map[True].items())}
 CITATION_PATTERN = "【[^】]*】"
 
 
@@ -203,13 +194,9 @@ def image_path(filename) -> Column:
 
 def image_mime(filename) -> Column:
     """MIME type from the last extension (case-insensitive), else NULL."""
-    f = _col(filename)
-    ext = F.lower(F.regexp_extract(f, r"\.([^./]*)$", 1))
-    expr = None
-    for k, v in MIME_BY_EXTENSION.items():
-        val = F.lit(v).cast("string")
-        expr = F.when(ext == k, val) if expr is None else expr.when(ext == k, val)
-    return expr.otherwise(F.lit(None).cast("string"))
+    ext = F.lower(F.regexp_extract(_col(filename), r"\.([^./]*)$", 1))
+    known = F.create_map(*[F.lit(x) for pair in MIME_BY_EXTENSION.items() for x in pair])
+    return F.try_element_at(known, ext)
 
 
 def to_base64(content) -> Column:

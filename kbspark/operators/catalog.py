@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.operators.joins import maybe_broadcast
+from kbspark.operators.joins import materialize, maybe_broadcast
 
 # Fixed values of the reference: lookup defaults.
 DEFAULT_TITLE = "sem titulo"
@@ -24,9 +24,12 @@ def sequential_ids(df: DataFrame, order_col, start: int, out: str = "id") -> Dat
     """Consecutive ids ``start+1, start+2, …`` in ``order_col`` order (a name
     or list of names) without a single-partition window over the data:
     range-partition by the order, number rows inside each partition, add the
-    row count of all earlier partitions (a frame of one row per partition)."""
+    row count of all earlier partitions (a frame of one row per partition).
+
+    The partitioned frame is written before counts and rows are taken from it:
+    planned twice, its sampled bounds and coalesced partitions would differ."""
     order = [order_col] if isinstance(order_col, str) else list(order_col)
-    parts = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    parts = materialize(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
     parts = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: the running total is a window over a tiny frame

@@ -19,6 +19,8 @@ from kbspark.operators.joins import maybe_broadcast
 # that asks for a tool call, and the system text of the request builder.
 COMPLETED = "completed"
 REQUIRES_ACTION = "requires_action"
+TOOL_CALL_TYPE = "function"
+LOOKUP_FUNCTIONS = ("get_image", "get_images")
 REQUEST_SYSTEM_TEXT = ("Você é um assistente de suporte ao cliente prestativo. Responda no idioma português Brasil. "
                        "Se você não encontrar a resposta no manual, não tente inventar uma resposta aleatória.")
 
@@ -111,14 +113,20 @@ def request_rows(questions: DataFrame, q_id: str, text_col: str, hint_url: Colum
     return questions.select(q_id, F.posexplode(kept).alias("pos", "m")).select(q_id, "pos", "m.role", "m.content")
 
 
-def dispatch_tool_calls(calls: DataFrame, status: DataFrame, catalog: DataFrame, thread: str = "thread_id") -> DataFrame:
-    """Calls of runs waiting on a tool (``requires_action``) -> parsed
-    arguments -> catalogue lookup (C9) -> tool-output rows."""
+def dispatch_tool_calls(calls: DataFrame, status: DataFrame, catalog: DataFrame, thread: str = "thread_id",
+                        functions: tuple[str, ...] = LOOKUP_FUNCTIONS) -> DataFrame:
+    """Function calls of runs waiting on a tool (``requires_action``) ->
+    parsed arguments -> catalogue lookup (C9) -> tool-output rows.
+
+    A call asks for one ``filename`` or for a ``query`` list of them; calls of
+    another type or function are not answered."""
     from kbspark.operators.catalog import lookup_description
     st, _ = maybe_broadcast(status.where(F.col("status") == REQUIRES_ACTION).select(thread))
-    waiting = calls.join(st, thread, "left_semi")
+    waiting = (calls.where((F.col("call_type") == TOOL_CALL_TYPE) & F.col("function_name").isin(*functions))
+               .join(st, thread, "left_semi"))
     parsed = waiting.select("call_id", thread, tx.parse_tool_arguments("arguments").alias("a"))
-    req = parsed.select("call_id", thread, F.col("a.filename").alias("filename")).where(F.col("filename").isNotNull())
+    names = F.concat(F.array("a.filename"), F.coalesce("a.query", F.array().cast("array<string>")))
+    req = parsed.select("call_id", thread, F.explode(names).alias("filename")).where(F.col("filename").isNotNull())
     found = lookup_description(req, catalog)
     out = F.to_json(F.struct(F.col("filename"), F.col("description")))
     return found.select("call_id", thread, F.lit("tool").alias("role"), "filename", "description", out.alias("content"))

@@ -1,11 +1,11 @@
 """Vector and TF-IDF similarity (M6-M9).
 
 Vector search (M7, M8, E2, E3) is exact and block-wise: the catalogue is
-hash-split into bounded blocks, the question set (measured; above the
-broadcast bound it is hash-split into bounded chunks) is cogrouped into every
-block, and each task scores its block with one BLAS matrix product per
-sub-chunk, keeping only its per-question winners (best row, top k or best
-score) in the final (score desc, id asc) order.  So no pair list is ever
+hash-split into bounded blocks, the measured question set into bounded chunks,
+and each task scores one block with one chunk by BLAS matrix products of bounded
+size.  Rows near the best are scored again in a fixed summation order, so equal
+vectors tie exactly however the data is split, and only the per-question
+winners leave the task in the final (score desc, id asc) order.  So no pair list is ever
 materialised or shuffled: the shuffle carries k rows per question per block,
 then a partial aggregate / group-limited window merges the blocks.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import explode_computed
-from kbspark.operators.joins import BROADCAST_MAX_BYTES, materialize, maybe_broadcast, measure
+from kbspark.operators.joins import materialize, maybe_broadcast, measure
 from kbspark.operators.match import COSINE_THRESHOLD, MAX_RESULTS
 
 
@@ -48,31 +48,24 @@ def cosine(a, b, na=None, nb=None) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
 
 
-def _chunks(q: DataFrame, key: str, max_bytes: int = BROADCAST_MAX_BYTES) -> list[DataFrame]:
-    """Split a measured question frame into chunks of at most ``max_bytes``."""
-    size = measure(q)
-    n = max(1, math.ceil(size.bytes / max_bytes))
-    if n == 1:
-        return [q]
-    return [q.where(F.pmod(F.xxhash64(F.col(key)), F.lit(n)) == i) for i in range(n)]
-
-
-# Catalogue rows per cogroup block (bounds the pandas frame of one task) and
-# rows per matrix product inside a block (bounds the score matrix).
+# Catalogue rows per cogroup block (bounds the pandas frame of one task).
 BLOCK_ROWS = 65536
-SUB_ROWS = 4096
+# Bytes of one score matrix: sub-blocks have as many catalogue rows as fit.
+MATRIX_BYTES = 32 * 1024 * 1024
 # A question chunk is copied into every catalogue block, so it is kept no
-# larger than a block (~BLOCK_ROWS rows of two vectors): the copies then move
-# at most about as many bytes as the catalogue itself per pass, and a larger
-# question set takes more passes instead of a larger shuffle.
+# larger than a block; more questions make more chunks of the same plan.
 QUESTION_CHUNK_BYTES = 32 * 1024 * 1024
+# Matrix products differ in their last bits with the block's shape.  Rows this
+# close to the best are scored again in a fixed order before they are ranked.
+MARGIN = 1e-9
 
 
 def _stack(values, dim: int) -> np.ndarray:
-    out = np.full((len(values), dim), np.nan)
-    for i, v in enumerate(values):
-        if v is not None:
-            out[i] = np.asarray(v, dtype=np.float64)
+    """Vectors as rows; a missing vector is a row of NaN."""
+    present = np.array([v is not None for v in values], dtype=bool)
+    out = np.full((len(present), dim), np.nan)
+    if present.any():
+        out[present] = np.stack([v for v in values if v is not None])
     return out
 
 
@@ -90,95 +83,72 @@ def _cos(m: np.ndarray, q: np.ndarray, qn: np.ndarray) -> np.ndarray:
     return s
 
 
-def _block_scorer(mode: str, k: int, threshold: float, q_id: str, c_id: str):
-    """cogroup function: one catalogue block x all questions -> per question
-    the block's best row (``best``), its top k (``topk``) or its best score
-    (``max``); rows ordered by (score desc, id asc) as the final result is."""
+def _fixed_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise dot products summed from left to right, as ``dot`` does."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
+def _fixed_cos(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of paired rows whose bits depend on the two vectors only."""
+    missing = np.isnan(m).any(axis=1)
+    mm = np.where(missing[:, None], 0.0, m)
+    den = np.sqrt(_fixed_dot(mm, mm)) * np.sqrt(_fixed_dot(q, q))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(den == 0, 0.0, _fixed_dot(mm, q) / den)
+    s[missing] = -np.inf
+    return s
+
+
+def _block_scorer(k: int, threshold: float, q_id: str, c_id: str):
+    """cogroup function: one catalogue block x one question chunk -> the
+    block's ``k`` best rows per question above the threshold, ordered by
+    (score desc, id asc) as the final result is."""
     def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         cols = [q_id, c_id, "score"]
-        if cpdf.empty or qpdf.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64" if c != "score" else "float64") for c in cols})
+        empty = pd.DataFrame({c: pd.Series(dtype="int64" if c != "score" else "float64") for c in cols})
+        if cpdf.empty or qpdf.empty or qpdf["_qv"].isna().all():
+            return empty
         dim = len(next(v for v in qpdf["_qv"] if v is not None))
         qv = _stack(qpdf["_qv"].tolist(), dim)
         qv = np.where(np.isnan(qv), 0.0, qv)
         qn = np.linalg.norm(qv, axis=1)
-        qids = qpdf[q_id].to_numpy()
-        cpdf = cpdf.sort_values(c_id, kind="stable")
-        cids = cpdf[c_id].to_numpy()
-        cand_q, cand_c, cand_s = [], [], []
-        for a in range(0, len(cpdf), SUB_ROWS):
-            part = cpdf.iloc[a:a + SUB_ROWS]
-            s = np.maximum(_cos(_stack(part["_tv"].tolist(), dim), qv, qn),
-                           _cos(_stack(part["_dv"].tolist(), dim), qv, qn))
-            ids = cids[a:a + SUB_ROWS]
-            if mode == "max":
-                cand_q.append(qids)
-                cand_c.append(np.zeros(len(qids), dtype=np.int64))
-                cand_s.append(s.max(axis=0))
-                continue
-            take = 1 if mode == "best" else k
-            if s.shape[0] > take:
-                kth = np.partition(s, s.shape[0] - take, axis=0)[s.shape[0] - take]
-                mask = (s >= kth[None, :]) & (s > threshold)
-            else:
-                mask = s > threshold
+        qids, cids = qpdf[q_id].to_numpy(), cpdf[c_id].to_numpy()
+        sub = max(1, MATRIX_BYTES // (8 * len(qids)))
+        found = []
+        for a in range(0, len(cpdf), sub):
+            part = cpdf.iloc[a:a + sub]
+            title, desc = _stack(part["_tv"].tolist(), dim), _stack(part["_dv"].tolist(), dim)
+            s = np.maximum(_cos(title, qv, qn), _cos(desc, qv, qn))
+            mask = s > threshold - MARGIN
+            if s.shape[0] > k:
+                mask &= s >= np.partition(s, s.shape[0] - k, axis=0)[s.shape[0] - k][None, :] - MARGIN
             r, c = np.nonzero(mask)
-            cand_q.append(qids[c])
-            cand_c.append(ids[r])
-            cand_s.append(s[r, c])
-        q = np.concatenate(cand_q) if cand_q else np.array([], dtype=np.int64)
-        c = np.concatenate(cand_c) if cand_c else np.array([], dtype=np.int64)
-        sc = np.concatenate(cand_s) if cand_s else np.array([], dtype=np.float64)
-        if mode == "max":
-            df = pd.DataFrame({q_id: q, c_id: c, "score": sc})
-            return df.groupby(q_id, as_index=False).agg({c_id: "first", "score": "max"})[cols]
-        order = np.lexsort((c, -sc, q))
-        q, c, sc = q[order], c[order], sc[order]
-        first = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-        keep = rank < (1 if mode == "best" else k)
-        return pd.DataFrame({q_id: q[keep], c_id: c[keep], "score": sc[keep]})[cols]
+            score = np.maximum(_fixed_cos(title[r], qv[c]), _fixed_cos(desc[r], qv[c]))
+            keep = score > threshold
+            found.append(pd.DataFrame({q_id: qids[c[keep]], c_id: cids[a:a + sub][r[keep]], "score": score[keep]}))
+        out = pd.concat(found).sort_values([q_id, "score", c_id], ascending=[True, False, True], kind="stable")
+        return out.groupby(q_id, sort=False).head(k)[cols]
     return fn
 
 
-def _blocked(questions: DataFrame, catalog: DataFrame, mode: str, *, q_id: str, q_vec: str, c_id: str,
+def _blocked(questions: DataFrame, catalog: DataFrame, *, q_id: str, q_vec: str, c_id: str,
              title_vec: str, desc_vec: str, k: int, threshold: float) -> DataFrame:
     """Exact question x catalogue scoring by numpy blocks.  The catalogue is
-    hash-split into blocks of at most ``BLOCK_ROWS`` rows; the (measured,
-    bounded) question set is cogrouped into every block.  Only each block's
-    per-question winners leave the task."""
+    hash-split into blocks of about ``BLOCK_ROWS`` rows and the measured
+    question set into chunks; every chunk is cogrouped with every block in one
+    plan.  Only each block's per-question winners leave the task."""
     q = materialize(questions.select(F.col(q_id).cast("long").alias(q_id), F.col(q_vec).alias("_qv")))
     c = catalog.select(F.col(c_id).cast("long").alias(c_id), F.col(title_vec).alias("_tv"), F.col(desc_vec).alias("_dv"))
     n_rows = c.select(c_id).count()
     spark = catalog.sparkSession
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / BLOCK_ROWS))
-    cb = c.withColumn("_blk", F.pmod(F.xxhash64(F.col(c_id)), F.lit(n_blocks)))
-    schema = f"{q_id} long, {c_id} long, score double"
-    out = None
-    for part in _chunks(q, q_id, QUESTION_CHUNK_BYTES):
-        qb = part.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        r = (cb.groupBy("_blk").cogroup(qb.groupBy("_blk"))
-               .applyInPandas(_block_scorer(mode, k, threshold, q_id, c_id), schema))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-def scored_pairs(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", q_vec: str = "q_vec",
-                 c_id: str = "image_row", title_vec: str = "title_vec", desc_vec: str = "desc_vec",
-                 threshold: float = COSINE_THRESHOLD) -> DataFrame:
-    """(q_id, c_id, score) for every pair with score = max(cos(q, title),
-    cos(q, description)) > threshold, as a size-checked broadcast theta join
-    (JVM expressions; for small inputs and as a plain reference plan)."""
-    q = materialize(questions.select(q_id, F.col(q_vec).alias("_qv"), norm(q_vec).alias("_qn")))
-    c = catalog.select(c_id, F.col(title_vec).alias("_tv"), norm(title_vec).alias("_tn"),
-                       F.col(desc_vec).alias("_dv"), norm(desc_vec).alias("_dn"))
-    score = F.greatest(cosine("_qv", "_tv", "_qn", "_tn"), cosine("_qv", "_dv", "_qn", "_dn"))
-    out = None
-    for part in _chunks(q, q_id):
-        p = (c.join(F.broadcast(part), score > F.lit(threshold))
-              .select(q_id, c_id, score.alias("score")))
-        out = p if out is None else out.unionByName(p)
-    return out
+    n_chunks = max(1, math.ceil(measure(q).bytes / QUESTION_CHUNK_BYTES))
+    cb = (c.withColumn("_blk", F.pmod(F.xxhash64(F.col(c_id)), F.lit(n_blocks)))
+           .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
+    qb = (q.withColumn("_chunk", F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_chunks)).cast("int"))
+           .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
+    return (cb.groupBy("_blk", "_chunk").cogroup(qb.groupBy("_blk", "_chunk"))
+              .applyInPandas(_block_scorer(k, threshold, q_id, c_id), f"{q_id} long, {c_id} long, score double"))
 
 
 _VEC_COLS = dict(q_vec="q_vec", title_vec="title_vec", desc_vec="desc_vec")
@@ -189,7 +159,7 @@ def best_match(questions: DataFrame, catalog: DataFrame, *, q_id: str = "questio
     """M7: per question the first catalogue row of maximal score, kept only
     when the score is above the threshold (strict); NULL otherwise."""
     v = {**_VEC_COLS, **cols}
-    wins = _blocked(questions, catalog, "best", q_id=q_id, c_id=c_id, k=1, threshold=threshold, **v)
+    wins = _blocked(questions, catalog, q_id=q_id, c_id=c_id, k=1, threshold=threshold, **v)
     best = (wins.groupBy(q_id)
                 .agg(F.max_by(F.struct(F.col(c_id), F.col("score")), F.struct(F.col("score"), -F.col(c_id))).alias("_b"))
                 .select(q_id, F.col(f"_b.{c_id}").alias(c_id), F.col("_b.score").alias("score")))
@@ -202,7 +172,7 @@ def nearest(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_i
     desc, ties in catalogue order): per-block top k, then ``row_number() <= k``
     (planned with a partial per-partition limit before its shuffle)."""
     v = {**_VEC_COLS, **cols}
-    pairs = _blocked(questions, catalog, "topk", q_id=q_id, c_id=c_id, k=k, threshold=threshold, **v)
+    pairs = _blocked(questions, catalog, q_id=q_id, c_id=c_id, k=k, threshold=threshold, **v)
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(c_id).asc())
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -211,7 +181,7 @@ def best_scores(questions: DataFrame, catalog: DataFrame, *, q_id: str = "questi
                 **cols) -> DataFrame:
     """(q_id, best): each question's highest score over the whole catalogue."""
     v = {**_VEC_COLS, **cols}
-    m = _blocked(questions, catalog, "max", q_id=q_id, c_id=c_id, k=1, threshold=-math.inf, **v)
+    m = _blocked(questions, catalog, q_id=q_id, c_id=c_id, k=1, threshold=-math.inf, **v)
     return m.groupBy(q_id).agg(F.max("score").alias("best"))
 
 

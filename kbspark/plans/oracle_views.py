@@ -23,8 +23,8 @@ FX = {
         concat('asst_', source) AS assistant_key FROM documents)""",
     "fx_catalog": """fx_catalog AS (SELECT doc_id AS image_row, source AS filepath,
         concat(source, '_image_rId', CAST(doc_id % 40 AS VARCHAR), '.png') AS filename,
-        CASE doc_id % 4 WHEN 0 THEN concat('Figura ', CAST(doc_id AS VARCHAR), ': ', substr(text, 1, 20))
-          WHEN 1 THEN concat('Picture ', CAST(doc_id AS VARCHAR)) WHEN 2 THEN substr(text, 1, 24) ELSE NULL END AS title,
+        CASE doc_id % 4 WHEN 0 THEN concat('Figura ', CAST(doc_id AS VARCHAR), ': ', string_split(text, chr(10))[1])
+          WHEN 1 THEN concat('Picture ', CAST(doc_id AS VARCHAR)) WHEN 2 THEN string_split(text, chr(10))[1] ELSE NULL END AS title,
         CASE WHEN doc_id % 2 = 0 THEN 'png' ELSE 'jpg' END AS ext,
         CASE WHEN doc_id % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS content_type,
         CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS description,
@@ -39,8 +39,12 @@ FX = {
     "fx_runs_status": """fx_runs_status AS (SELECT DISTINCT conv_id AS thread_id,
         CASE WHEN conv_id % 4 = 0 THEN 'failed' WHEN conv_id % 4 = 1 THEN 'requires_action' ELSE 'completed' END AS status
         FROM conversations)""",
-    "fx_tool_calls": """fx_tool_calls AS (SELECT item_id AS call_id, concat('{"filename":"src', CAST(item_id % 25 AS VARCHAR),
-        '_image_rId', CAST(item_id % 25 AS VARCHAR), '.png"}') AS arguments FROM benchmark)""",
+    "fx_tool_calls": """fx_tc0 AS (SELECT item_id AS i, printf('"src%d_image_rId%d.png"', item_id % 25, item_id % 25) AS one,
+          printf('"src%d_image_rId%d.png"', item_id % 20, item_id % 20) AS two FROM benchmark),
+        fx_tool_calls AS (SELECT i AS call_id, CASE WHEN i % 7 = 3 THEN 'code_interpreter' ELSE 'function' END AS call_type,
+          CASE WHEN i % 11 = 5 THEN 'other' WHEN i % 2 = 0 THEN 'get_image' ELSE 'get_images' END AS function_name,
+          CASE WHEN i % 2 = 0 THEN concat('{"filename":', one, '}') ELSE concat('{"query":[', one, ',', two, ']}') END AS arguments
+          FROM fx_tc0)""",
     "fx_checklist": """fx_checklist AS (SELECT l.doc_id AS question_id, d.source AS assistant_name, l.quality AS correct
         FROM labels l JOIN documents d ON l.doc_id = d.doc_id)""",
     "fx_vec_catalog": """fx_vec_catalog AS (SELECT a.vec_id AS image_row, a.embedding AS title_vec, b.embedding AS desc_vec

@@ -18,13 +18,14 @@ from kbspark.sources.manuals import shared_folder
 from kbspark.streaming import jobs
 
 SLICES = 4
+FILES = 4  # of a slice; a micro-batch takes one slice
 OUT_OF_ORDER = [2, 0, 3, 1]
 
 
 def _stream_of(fx: Fixtures, df: DataFrame, key: str, name: str, order=OUT_OF_ORDER) -> DataFrame:
     folder = shared_folder(fx.spark, f"in-{name}")
-    jobs.write_slices(df, folder, key, SLICES, order)
-    return jobs.read_stream(fx.spark, folder, df.schema)
+    jobs.write_slices(df, folder, key, SLICES, order, FILES)
+    return jobs.read_stream(fx.spark, folder, df.schema, FILES)
 
 
 def _requests(fx: Fixtures) -> DataFrame:
@@ -50,8 +51,8 @@ def s1_ingest(fx: Fixtures) -> DataFrame:
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         ok, bad = jobs.ingest_requests(batch)
-        ok.write.mode("append").parquet(ok_dir)
-        bad.write.mode("append").parquet(bad_dir)
+        jobs.replace_batch(ok, ok_dir, batch_id)
+        jobs.replace_batch(bad, bad_dir, batch_id)
 
     jobs.run_batches(stream, sink, shared_folder(fx.spark, "s1-ckpt"))
     ok = fx.spark.read.parquet(ok_dir).select("request_id", "thread_id", "new_thread",
@@ -74,12 +75,10 @@ def s2_latest_reply(fx: Fixtures) -> DataFrame:
     out = shared_folder(fx.spark, "s2-out")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        jobs.replace_batch(batch, out, batch_id)
 
     jobs.run_batches(jobs.latest_reply_state(stream), sink, shared_folder(fx.spark, "s2-ckpt"), mode="update")
-    versions = fx.spark.read.parquet(out)
-    return versions.groupBy("thread_id").agg(F.max_by(F.struct("seq", "role", "text"), F.col("seq")).alias("m")).select(
-        "thread_id", "m.seq", "m.role", "m.text")
+    return jobs.latest_versions(fx.spark, out, ["thread_id"], m.schema)
 
 
 @register("s3_postprocess", with_views("fx_messages", extra=f"""
@@ -88,12 +87,13 @@ SELECT thread_id, seq, list_reduce(list_prepend(text, names), lambda acc, f: rep
   CASE WHEN len(names) > 0 THEN array_to_string(list_transform(names, lambda f: '{IMAGE_BASE_URL}' || f), ' ') END AS images
 FROM x""")
 def s3_postprocess(fx: Fixtures) -> DataFrame:
-    """S3: reply post-processing on the message stream (stateless)."""
+    """S3: reply post-processing on the message stream, upserted by message."""
     m = fx.messages().select("thread_id", "seq", "text")
     stream = _stream_of(fx, m.withColumn("_k", F.concat_ws(":", "thread_id", "seq")), "_k", "s3").drop("_k")
     out = shared_folder(fx.spark, "s3-out")
-    jobs.run_append(jobs.postprocess_messages(stream, IMAGE_BASE_URL), out, shared_folder(fx.spark, "s3-ckpt"))
-    return fx.spark.read.parquet(out)
+    clean = jobs.postprocess_messages(stream, IMAGE_BASE_URL)
+    jobs.run_batches(clean, lambda batch, batch_id: jobs.replace_batch(batch, out, batch_id), shared_folder(fx.spark, "s3-ckpt"))
+    return jobs.latest_versions(fx.spark, out, ["thread_id", "seq"], clean.schema)
 
 
 def _chunks(fx: Fixtures) -> DataFrame:
@@ -131,32 +131,35 @@ def i6_ndjson_sink(fx: Fixtures) -> DataFrame:
     return fx.spark.read.schema(ch.schema).json(out)
 
 
+def _run_messages(fx: Fixtures) -> DataFrame:
+    """Messages with the run they belong to: two turns a run, several runs a thread."""
+    return fx.messages().select("thread_id", "seq", F.format_string("run_%d_%d", F.col("thread_id"), F.floor(F.col("seq") / 2)).alias("run_id"), "created_at")
+
+
 def _status(fx: Fixtures) -> DataFrame:
-    last = fx.messages().groupBy("thread_id").agg(F.max("created_at").alias("last"))
-    return (fx.runs_status().join(last, "thread_id")
-              .select("thread_id", F.col("thread_id").alias("run_id"), "status",
-                      (F.col("last") + F.expr("INTERVAL 30 SECONDS")).alias("ts")))
+    runs = _run_messages(fx).groupBy("thread_id", "run_id").agg(F.max("created_at").alias("last"), F.min("seq").alias("first"))
+    k = (F.col("thread_id") + F.col("first") / 2) % 3
+    return runs.select("thread_id", "run_id", F.when(k == 0, "failed").otherwise("completed").alias("status"),
+                       (F.col("last") + F.expr("INTERVAL 30 SECONDS")).alias("ts"))
 
 
-@register("s5_completed_join", with_views("fx_messages", "fx_runs_status", extra="""
-st AS (SELECT s.thread_id, s.status, max(m.created_at) + INTERVAL 30 SECOND AS ts FROM fx_runs_status s
-  JOIN fx_messages m ON m.thread_id = s.thread_id GROUP BY s.thread_id, s.status)""") + """
-SELECT m.thread_id, m.seq, st.status FROM fx_messages m JOIN st ON st.thread_id = m.thread_id AND st.status = 'completed'
+@register("s5_completed_join", with_views("fx_messages", extra="""
+m AS (SELECT thread_id, seq, printf('run_%d_%d', thread_id, seq // 2) AS run_id, created_at FROM fx_messages),
+st AS (SELECT thread_id, run_id, CASE WHEN (thread_id + min(seq) // 2) % 3 = 0 THEN 'failed' ELSE 'completed' END AS status,
+  max(created_at) + INTERVAL 30 SECOND AS ts FROM m GROUP BY thread_id, run_id)""") + """
+SELECT m.thread_id, m.seq, m.run_id, st.status FROM m JOIN st ON st.thread_id = m.thread_id AND st.run_id = m.run_id AND st.status = 'completed'
   AND st.ts >= m.created_at AND st.ts <= m.created_at + INTERVAL 1 HOUR""")
 def s5_completed_join(fx: Fixtures) -> DataFrame:
     """Stream-stream join of messages and run-status events (watermarked,
     time-bounded), completed runs only; threads arrive in time order by slice."""
-    m = fx.messages().select("thread_id", "seq", "created_at")
+    m, s = _run_messages(fx), _status(fx)
     n = fx.table("conversations").select(F.max("conv_id")).first()[0] + 1
     width = max(1, -(-n // SLICES))
-    mm = m.withColumn("_k", (F.col("thread_id") / width).cast("long"))
-    ss = _status(fx).withColumn("_k", (F.col("thread_id") / width).cast("long"))
     m_dir, s_dir = shared_folder(fx.spark, "s5-msg"), shared_folder(fx.spark, "s5-status")
-    for k in range(SLICES):  # in time order: one slice of threads per file
-        mm.where(F.col("_k") == k).drop("_k").coalesce(1).write.mode("append").parquet(m_dir)
-        ss.where(F.col("_k") == k).drop("_k").coalesce(1).write.mode("append").parquet(s_dir)
-    ms = jobs.read_stream(fx.spark, m_dir, m.schema)
-    sts = jobs.read_stream(fx.spark, s_dir, ss.drop("_k").schema)
+    for k in range(SLICES):  # in time order: one slice of threads after another
+        for df, folder in ((m, m_dir), (s, s_dir)):
+            df.where(F.floor(F.col("thread_id") / width) == k).repartition(FILES).write.mode("append").parquet(folder)
+    ms, sts = jobs.read_stream(fx.spark, m_dir, m.schema, FILES), jobs.read_stream(fx.spark, s_dir, s.schema, FILES)
     out = shared_folder(fx.spark, "s5-out")
     jobs.run_append(jobs.completed_messages(ms, sts, delay="2 hours"), out, shared_folder(fx.spark, "s5-ckpt"))
     return fx.spark.read.parquet(out)
@@ -173,7 +176,7 @@ def s6_image_lookup(fx: Fixtures) -> DataFrame:
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         top = match.top_matches(batch, catalog)
-        top.join(catalog.select("image_row", "filename"), "image_row").write.mode("append").parquet(out)
+        jobs.replace_batch(top.join(catalog.select("image_row", "filename"), "image_row"), out, batch_id)
 
     jobs.run_batches(stream, sink, shared_folder(fx.spark, "s6-ckpt"))
-    return fx.spark.read.parquet(out)
+    return fx.spark.read.parquet(out).drop("batch_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as tx
@@ -54,14 +54,14 @@ def f4_slug(fx: Fixtures) -> DataFrame:
     return fx.table("documents").select("doc_id", tx.ascii_slug("text").alias("slug"))
 
 
-@register("f5_alt_text", with_views("fx_catalog") + """
-SELECT image_row, coalesce(nullif(title, ''), nullif(description, ''),
-  printf('image_%04d', row_number() OVER (PARTITION BY filepath ORDER BY image_row))) AS alt_text FROM fx_catalog""")
+@register("f5_alt_text", with_views("fx_doc_runs", "fx_doc_images") + """
+SELECT doc_id, img_idx, coalesce(nullif(CASE WHEN img_idx % 3 > 0 THEN descr END, ''), nullif(CASE WHEN img_idx % 2 = 0 THEN name END, ''),
+  printf('image_%04d', img_idx)) AS alt_text FROM fx_doc_images""")
 def f5_alt_text(fx: Fixtures) -> DataFrame:
-    """title, else description, else ``image_%04d`` of the ordinal within the folder."""
-    c = fx.catalog()
-    ordinal = F.row_number().over(Window.partitionBy("filepath").orderBy("image_row"))
-    return c.select("image_row", tx.alt_text_fallback("title", "description", ordinal).alias("alt_text"))
+    """description, else name, else ``image_%04d`` of the ordinal within the manual."""
+    i = fx.doc_images()
+    return i.select("doc_id", "img_idx", tx.alt_text_fallback(
+        F.when(F.col("img_idx") % 3 > 0, F.col("descr")), F.when(F.col("img_idx") % 2 == 0, F.col("name")), "img_idx").alias("alt_text"))
 
 
 @register("f6_ext_default", with_views("fx_catalog") + r"""
@@ -139,9 +139,8 @@ def f12_found_line(fx: Fixtures) -> DataFrame:
 
 @register("f13_image_path_mime", with_views("fx_catalog") + r"""
 SELECT image_row, concat(split_part(filename, '_', 1), '/', filename) AS path,
-  CASE lower(regexp_extract(filename, '\.([^./]*)$', 1)) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg'
-    WHEN 'jpeg' THEN 'image/jpeg' WHEN 'gif' THEN 'image/gif' WHEN 'bmp' THEN 'image/bmp' WHEN 'webp' THEN 'image/webp'
-    WHEN 'svg' THEN 'image/svg+xml' WHEN 'tif' THEN 'image/tiff' WHEN 'tiff' THEN 'image/tiff' ELSE NULL END AS mime
+  (SELECT kind FROM (VALUES """ + ", ".join(f"('{e}', '{k}')" for e, k in tx.MIME_BY_EXTENSION.items()) + r""") AS m(ext, kind)
+   WHERE m.ext = lower(regexp_extract(filename, '\.([^./]*)$', 1))) AS mime
 FROM fx_catalog""")
 def f13_image_path_mime(fx: Fixtures) -> DataFrame:
     """storage path and MIME type of every catalogue filename."""
@@ -198,11 +197,12 @@ def f16_registry(fx: Fixtures) -> DataFrame:
 
 
 @register("f17_tool_args", with_views("fx_tool_calls") + """
-SELECT call_id, json_extract_string(arguments, '$.filename') AS filename FROM fx_tool_calls""")
+SELECT call_id, json_extract_string(arguments, '$.filename') AS filename, array_to_string(json_extract_string(arguments, '$.query[*]'), chr(31)) AS query FROM fx_tool_calls""")
 def f17_tool_args(fx: Fixtures) -> DataFrame:
     """tool-call JSON arguments parsed with a fixed schema."""
     t = fx.tool_calls()
-    return t.select("call_id", tx.parse_tool_arguments("arguments").getField("filename").alias("filename"))
+    args = t.select("call_id", tx.parse_tool_arguments("arguments").alias("a"))
+    return args.select("call_id", "a.filename", F.coalesce(F.array_join("a.query", "\x1f"), F.lit("")).alias("query"))
 
 
 @register("f17_event_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

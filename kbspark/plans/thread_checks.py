@@ -64,20 +64,20 @@ def t3_latest_message(fx: Fixtures) -> DataFrame:
 
 
 @register("t4_thread_json", with_views("fx_messages") + """
-SELECT thread_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY seq DESC) - 1 AS INTEGER) AS pos, seq, role
+SELECT thread_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY seq DESC) - 1 AS INTEGER) AS pos, seq, role, text
 FROM fx_messages""")
 def t4_thread_json(fx: Fixtures) -> DataFrame:
     """T4: every thread as a JSON array newest first, read back element by element."""
-    j = th.thread_json(fx.messages(), ["role"])
-    arr = F.from_json("messages_json", "array<struct<seq:bigint,role:string>>")
-    return j.select("thread_id", F.posexplode(arr).alias("pos", "m")).select("thread_id", "pos", "m.seq", "m.role")
+    j = th.thread_json(fx.messages(), ["role", "text"])
+    arr = F.from_json("messages_json", "array<struct<seq:bigint,role:string,text:string>>")
+    return j.select("thread_id", F.posexplode(arr).alias("pos", "m")).select("thread_id", "pos", "m.seq", "m.role", "m.text")
 
 
 @register("t5_reply_record", with_views("fx_messages", extra=_LAST_SQL + f""",
-x AS (SELECT thread_id, seq, role, string_split(text, chr(10))[1] AS content0, epoch(created_at)::BIGINT AS created_at,
-  len(regexp_extract_all(text, '{_F7_SQL}')) AS n_images FROM last)""") + """
-SELECT thread_id, 'msg_' || CAST(thread_id AS VARCHAR) || '_' || CAST(seq AS VARCHAR) AS id, role, content0, created_at,
-  CAST(n_images AS INTEGER) AS n_images, n_images > 0 AS has_images FROM x""")
+x AS (SELECT thread_id, seq, role, string_split(text, chr(10)) AS content, epoch(created_at)::BIGINT AS created_at,
+  regexp_extract_all(text, '{_F7_SQL}') AS images FROM last)""") + """
+SELECT thread_id, 'msg_' || CAST(thread_id AS VARCHAR) || '_' || CAST(seq AS VARCHAR) AS id, role, len(content)::INTEGER AS n_blocks,
+  array_to_string(content, chr(31)) AS content, created_at, array_to_string(images, chr(31)) AS images, len(images) > 0 AS has_images FROM x""")
 def t5_reply_record(fx: Fixtures) -> DataFrame:
     """T5: reply record of each thread's newest message, read back from its JSON."""
     last = th.latest_message(_msgs(fx), ["id", "role", "text", "created_at"])
@@ -88,8 +88,8 @@ def t5_reply_record(fx: Fixtures) -> DataFrame:
     parsed = F.from_json(js, "id string, role string, content array<string>, created_at bigint, thread_id string, "
                              "images array<string>")
     return last.select("thread_id", parsed.alias("r"), js.alias("js")).select(
-        "thread_id", "r.id", "r.role", F.col("r.content")[0].alias("content0"), "r.created_at",
-        F.coalesce(F.size("r.images"), F.lit(0)).alias("n_images"), F.col("js").contains('"images"').alias("has_images"))
+        "thread_id", "r.id", "r.role", F.size("r.content").alias("n_blocks"), F.array_join("r.content", "\x1f").alias("content"), "r.created_at",
+        F.coalesce(F.array_join("r.images", "\x1f"), F.lit("")).alias("images"), F.col("js").contains('"images"').alias("has_images"))
 
 
 @register("t6_first_block", with_views("fx_messages") + """
@@ -112,15 +112,15 @@ def t7_completed_gate(fx: Fixtures) -> DataFrame:
 @register("t8_postprocess", with_views("fx_messages", "fx_runs_status", extra=_LAST_SQL + f""",
 x AS (SELECT l.thread_id, l.role, l.text, regexp_extract_all(l.text, '{_F7_SQL}') AS names FROM last l
   JOIN fx_runs_status s ON s.thread_id = l.thread_id AND s.status = 'completed')""") + f"""
-SELECT thread_id, role, string_split(list_reduce(list_prepend(text, names), lambda acc, f: replace(acc, f, '')), chr(10))[1]
-  AS content0, CASE WHEN len(names) > 0 THEN array_to_string(list_transform(names, lambda f: '{IMAGE_BASE_URL}' || f), ' ') END
+SELECT thread_id, role, array_to_string(string_split(list_reduce(list_prepend(text, names), lambda acc, f: replace(acc, f, '')), chr(10)), chr(31))
+  AS content, CASE WHEN len(names) > 0 THEN array_to_string(list_transform(names, lambda f: '{IMAGE_BASE_URL}' || f), ' ') END
   AS images FROM x""")
 def t8_postprocess(fx: Fixtures) -> DataFrame:
     """Full reply post-processing per completed thread, read back from the reply JSON."""
     out = th.postprocess(_msgs(fx), fx.runs_status(), IMAGE_BASE_URL)
     r = F.from_json("reply_json", "role string, content array<string>, images array<string>")
     return out.select("thread_id", r.alias("r")).select(
-        "thread_id", "r.role", F.col("r.content")[0].alias("content0"), F.array_join("r.images", " ").alias("images"))
+        "thread_id", "r.role", F.array_join("r.content", "\x1f").alias("content"), F.array_join("r.images", " ").alias("images"))
 
 
 @register("t9_request_rows", with_views("fx_catalog", extra=m9_ctes() + f""",
@@ -141,8 +141,10 @@ def t9_request_rows(fx: Fixtures) -> DataFrame:
 
 @register("t10_tool_dispatch", with_views("fx_catalog", "fx_tool_calls", "fx_runs_status", extra="""
 fr AS (SELECT filename, arg_min_null(description, image_row) AS description, true AS hit FROM fx_catalog GROUP BY filename),
-w AS (SELECT t.call_id, t.call_id AS thread_id, json_extract_string(t.arguments, '$.filename') AS filename
-  FROM fx_tool_calls t JOIN fx_runs_status s ON s.thread_id = t.call_id AND s.status = 'requires_action')""") + """
+w AS (SELECT t.call_id, t.call_id AS thread_id, unnest(list_prepend(json_extract_string(t.arguments, '$.filename'),
+    json_extract_string(t.arguments, '$.query[*]'))) AS filename
+  FROM fx_tool_calls t JOIN fx_runs_status s ON s.thread_id = t.call_id AND s.status = 'requires_action'
+  WHERE t.call_type = 'function' AND t.function_name IN ('get_image', 'get_images'))""") + """
 SELECT w.call_id, w.thread_id, 'tool' AS role, w.filename,
   CASE WHEN fr.hit THEN fr.description ELSE 'sem descricao' END AS description
 FROM w LEFT JOIN fr ON fr.filename = w.filename WHERE w.filename IS NOT NULL""")

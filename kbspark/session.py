@@ -59,30 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-# A table whose files are smaller than SPREAD_MAX_BYTES may sit in a single
-# Parquet row group, which the scan cannot split: one task would then do all
-# the per-row text work.  Such a table (above SPREAD_MIN_BYTES, below which one
-# task is fine) is spread round-robin over the session's cores right after the
-# scan, a shuffle of at most SPREAD_MAX_BYTES.  Larger tables keep the scan's
-# own splits (one task per row group), so at cluster scale this adds nothing.
-SPREAD_MIN_BYTES = 4 << 20
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (file sizes for a scan; no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - not available (e.g. Spark Connect)
-        return None
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    size = estimated_bytes(df)
-    if size is None or not SPREAD_MIN_BYTES <= size < SPREAD_MAX_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+# Sessions that read small test tables (one row group, which one task would
+# have to work through alone) name a partition count here; unset, a table keeps
+# the scan's own splits.
+READ_PARTITIONS = "spark.kbspark.read.partitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df

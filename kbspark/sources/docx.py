@@ -84,7 +84,7 @@ def parse_runs_one(path: str, content: bytes) -> list[dict]:
         _z, doc, _rels, _types = _open(content)
     except Exception as e:  # corrupt or not a docx: error row, job goes on
         return [dict(path=path, para_idx=None, run_idx=None, kind=None, text=None, embed_id=None, n_drawings=0,
-                     error=f"{type(e).__name__}: {e}"[:500])]
+                     error=f"{type(e).__name__}: {e}")]
     body = doc.find(_q("w", "body"))
     rows = []
     paras = [] if body is None else [p for p in body if p.tag == _q("w", "p")]
@@ -111,7 +111,7 @@ def parse_images_one(path: str, content: bytes) -> list[dict]:
         z, doc, rels, types = _open(content)
     except Exception as e:
         return [dict(path=path, img_idx=None, para_idx=None, run_idx=None, descr=None, name=None, embed_id=None, ext=None,
-                     content_type=None, content=None, error=f"{type(e).__name__}: {e}"[:500])]
+                     content_type=None, content=None, error=f"{type(e).__name__}: {e}")]
     body = doc.find(_q("w", "body"))
     # position of each body-level run, to report where an image sits
     where = {}
@@ -159,10 +159,9 @@ def scan_manuals(spark: SparkSession, folder: str) -> DataFrame:
 def _map(fn, cols):
     def run(batches):
         for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                out.extend(fn(path, bytes(content)))
-            yield pd.DataFrame(out, columns=cols)
+            for path, content in zip(pdf["path"], pdf["content"]):  # a file's rows at a time
+                if rows := fn(path, bytes(content)):
+                    yield pd.DataFrame(rows, columns=cols)
     return run
 
 

@@ -49,9 +49,9 @@ class Fixtures:
             d = self.table("documents")
             did = F.col("doc_id")
             k4 = did % 4
-            title = (F.when(k4 == 0, F.concat(F.lit("Figura "), did.cast("string"), F.lit(": "), F.substring("text", 1, 20)))
+            title = (F.when(k4 == 0, F.concat(F.lit("Figura "), did.cast("string"), F.lit(": "), F.substring_index("text", "\n", 1)))
                       .when(k4 == 1, F.concat(F.lit("Picture "), did.cast("string")))
-                      .when(k4 == 2, F.substring("text", 1, 24)))
+                      .when(k4 == 2, F.substring_index("text", "\n", 1)))
             return d.select(
                 did.alias("image_row"),
                 F.col("source").alias("filepath"),
@@ -90,7 +90,6 @@ class Fixtures:
     def runs_status(self) -> DataFrame:
         def build():
             c = self.table("conversations")
-            k = F.col("conv_id") % 4
             return (c.select(F.col("conv_id").alias("thread_id")).distinct()
                      .select("thread_id", F.when(F.col("thread_id") % 4 == 0, "failed")
                              .when(F.col("thread_id") % 4 == 1, "requires_action")
@@ -100,9 +99,15 @@ class Fixtures:
     def tool_calls(self) -> DataFrame:
         def build():
             b = self.table("benchmark")
-            k = (F.col("item_id") % 25).cast("string")
-            return b.select(F.col("item_id").alias("call_id"),
-                            F.concat(F.lit('{"filename":"src'), k, F.lit("_image_rId"), k, F.lit('.png"}')).alias("arguments"))
+            i = F.col("item_id")
+            k, k2 = (i % 25).cast("string"), (i % 20).cast("string")
+            one = F.concat(F.lit('"src'), k, F.lit("_image_rId"), k, F.lit('.png"'))
+            two = F.concat(F.lit('"src'), k2, F.lit("_image_rId"), k2, F.lit('.png"'))
+            return b.select(i.alias("call_id"),
+                            F.when(i % 7 == 3, "code_interpreter").otherwise("function").alias("call_type"),
+                            F.when(i % 11 == 5, "other").when(i % 2 == 0, "get_image").otherwise("get_images").alias("function_name"),
+                            F.when(i % 2 == 0, F.concat(F.lit('{"filename":'), one, F.lit("}")))
+                             .otherwise(F.concat(F.lit('{"query":['), one, F.lit(","), two, F.lit("]}"))).alias("arguments"))
         return self._get("tool_calls", build)
 
     def checklist(self) -> DataFrame:

@@ -4,6 +4,8 @@ Each job is a DataFrame -> DataFrame function that runs unchanged on a batch
 frame (its batch twin) and on a stream; the ``run_*`` helpers start the stream
 with ``availableNow`` and a checkpoint in the shared folder, so a restarted
 job resumes from its last committed micro-batch after executor or driver loss.
+``foreachBatch`` sinks write each micro-batch to a folder of its own id, so a
+batch that is replayed after a failure replaces its rows.
 """
 
 from __future__ import annotations
@@ -17,21 +19,39 @@ from kbspark.functions import text as tx
 from kbspark.operators.threads import COMPLETED, thread_id_for
 
 CHUNK_CHARS = 16
+EMITTED = -2
 MISSING_THREAD = "missing threadId"
 
 
 # ---------------------------------------------------------------- sources
-def write_slices(df: DataFrame, folder: str, key: str, n: int, order: list[int] | None = None) -> None:
+def write_slices(df: DataFrame, folder: str, key: str, n: int, order: list[int] | None = None, files: int = 4) -> None:
     """Cut a frame into ``n`` hash slices of ``key`` and append them to one
-    folder one after another (``order``), one file per slice, so a file
+    folder one after another (``order``), ``files`` files per slice, so a file
     stream sees them as separate, possibly out-of-order arrivals."""
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.lit(n)))
     for k in (order if order is not None else range(n)):
-        sliced.where(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(folder)
+        sliced.where(F.col("_slice") == k).drop("_slice").repartition(files).write.mode("append").parquet(folder)
 
 
-def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
+
+
+def replace_batch(batch: DataFrame, folder: str, batch_id: int) -> None:
+    """Write a micro-batch under its id; a replay overwrites the same folder."""
+    batch.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch_id={batch_id}")
+
+
+def latest_versions(spark: SparkSession, folder: str, keys: list[str], schema) -> DataFrame:
+    """The newest version of each key among the batches written by
+    ``replace_batch``: an upsert without rewriting earlier rows."""
+    rows = spark.read.schema(schema.add("batch_id", "long") if "batch_id" not in schema.names else schema).parquet(folder)
+    cols = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v")
+    return rows.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_v.`{c}`").alias(c) for c in cols])
 
 
 def run_append(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -114,9 +134,10 @@ def assemble_chunks(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Per response, buffer chunks in state and emit the answer once the
     ``done`` chunk and every earlier ``seq`` have arrived (any arrival order;
     replayed chunks are idempotent).  With ``ttl_ms`` an unfinished response is
-    dropped after that much idle processing time; use it with a continuous
-    trigger (a processing-time timeout keeps an ``availableNow`` run firing
-    empty micro-batches)."""
+    dropped after that much idle processing time, and an emitted one leaves a
+    mark that long, so that late replays start no new state; use it with a
+    continuous trigger (a processing-time timeout keeps an ``availableNow`` run
+    firing empty micro-batches)."""
     out = "response_id long, text string, n_chunks int"
     st = "seqs array<int>, deltas array<string>, done_seq int"
 
@@ -126,6 +147,9 @@ def assemble_chunks(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
             return
         if state.exists:
             seqs, deltas, done = state.get
+            if done == EMITTED:
+                state.setTimeoutDuration(ttl_ms)
+                return
             parts = dict(zip(seqs, deltas))
         else:
             parts, done = {}, -1
@@ -135,7 +159,11 @@ def assemble_chunks(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
                 if fin:
                     done = int(s)
         if done >= 0 and all(i in parts for i in range(done + 1)):
-            state.remove()
+            if ttl_ms:
+                state.update(([], [], EMITTED))
+                state.setTimeoutDuration(ttl_ms)
+            else:
+                state.remove()
             yield pd.DataFrame([{"response_id": key[0], "text": "".join(parts[i] or "" for i in range(done + 1)),
                                  "n_chunks": done + 1}])
         else:
@@ -162,8 +190,8 @@ def completed_messages(messages: DataFrame, status: DataFrame, delay: str, withi
     both sides watermarked by ``delay`` so join state is bounded."""
     m = messages.withWatermark("created_at", delay).alias("m")
     s = status.where(F.col("status") == COMPLETED).withWatermark("ts", delay).alias("s")
-    cond = ((F.col("m.thread_id") == F.col("s.thread_id")) & (F.col("s.run_id") == F.col("m.thread_id"))
+    cond = ((F.col("m.thread_id") == F.col("s.thread_id")) & (F.col("m.run_id") == F.col("s.run_id"))
             & (F.col("s.ts") >= F.col("m.created_at"))
             & (F.col("s.ts") <= F.col("m.created_at") + F.expr(f"INTERVAL {within}")))
     return m.join(s, cond, "inner").select(F.col("m.thread_id").alias("thread_id"), F.col("m.seq").alias("seq"),
-                                           F.col("s.status").alias("status"))
+                                           F.col("m.run_id").alias("run_id"), F.col("s.status").alias("status"))
