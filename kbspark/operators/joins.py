@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kbspark.session import intermediate_path
+
 # Default bounds for a broadcast side. The byte bound is the real limit; the
 # row bound keeps per-task hash tables small.
 BROADCAST_MAX_ROWS = 2_000_000
@@ -51,8 +53,11 @@ def measure(df: DataFrame) -> SideSize:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing to the session's shared checkpoint folder."""
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a table in the session's shared folder and reading
+    it back: later plans prune its columns and know its true size."""
+    path = intermediate_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def maybe_broadcast(df: DataFrame, size: SideSize | None = None,

@@ -11,14 +11,15 @@ and then verified exactly:
   rows holding a matching token.
 * fuzzy (M3 at a threshold): a passing pair has length ratio >= r/(2-r) with
   r = (t - 0.5)/100, so it lies in the same or a neighbouring log-length
-  bucket; an exact length test, a character-count bound and the LCS UDF
-  follow.
+  bucket; an exact length test and a bound from letter counts follow in the
+  join, then the LCS UDF.
 
 Questions are deduplicated by their normalised text first.  The question
 side is broadcast only when its measured size is inside the bound: then the
 catalogue is read once, its tokens probe the broadcast table and the exact
 check runs in the same pipeline with no shuffle of the catalogue.  Beyond the
-bound the joins shuffle (AQE splits skewed keys; the fuzzy join is salted).
+bound the joins shuffle (AQE splits skewed keys; length buckets of the fuzzy
+join are cut into parts by their measured size).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.fuzzy import ratio_at_least_udf, token_sort_key
 from kbspark.functions.text import explode_computed, normalize_text
-from kbspark.operators.joins import materialize, maybe_broadcast  # noqa: F401 (re-exported)
+from kbspark.operators.joins import materialize, maybe_broadcast
 
 # Fixed defaults of the reference: fuzzy threshold, maximum results, cosine
 # threshold; URL prefix of a hit.
@@ -40,7 +41,8 @@ COSINE_THRESHOLD = 0.60
 HIT_URL_PREFIX = "/api/images/"
 
 GRAM = 3
-FUZZY_SALT = 16
+BUCKET_ROWS = 4096  # catalogue rows of one part of a length bucket, about
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EMPTY_BUCKET = -(1 << 40)
 _QK = "_qk"
 
@@ -128,25 +130,28 @@ def containment_candidates(qa: DataFrame, cat: DataFrame, c_id: str, hay: str, s
     if "every" in kinds:
         row_tokens = F.array_union(row_tokens, F.array(F.lit("")))
 
-    if small and "word" in kinds:
-        # vocabulary hits are not bounded by the question size: measure them
-        anchors = materialize(anchors)
-        _s, small = maybe_broadcast(anchors)
+    # vocabulary hits and repeated question texts are not bounded by the
+    # question size: measure the frame that would be sent
+    side = materialize(anchors.join(bc(payload), _QK))
+    side, small = maybe_broadcast(side)
     if small:
-        side = F.broadcast(anchors.join(F.broadcast(payload), _QK))
         probe = cat.select(c_id, hay, explode_computed(row_tokens).alias("token")).where(F.col("token").isNotNull())
         cand = probe.join(side, "token").where(verify(F.col(hay))).select(_QK, c_id)
     else:
         ctok_all = cat.select(c_id, explode_computed(row_tokens).alias("token")).where(F.col("token").isNotNull())
-        pairs = ctok_all.join(anchors, "token").select(_QK, c_id).distinct()
+        pairs = ctok_all.join(side.select(_QK, "token"), "token").select(_QK, c_id).distinct()
         cand = (pairs.join(cat.select(c_id, hay), c_id).join(payload, _QK)
                      .where(verify(F.col(hay))).select(_QK, c_id))
     return cand.distinct()
 
 
 def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: str,
-                threshold: int, small: bool) -> DataFrame:
-    """(_qk, c_id, match_score) with token-sort ratio >= threshold (exact)."""
+                threshold: int) -> DataFrame:
+    """(_qk, c_id, match_score) with token-sort ratio >= threshold (exact).
+
+    Two exact bounds are checked inside the join, so that only near hits reach
+    Python: the lengths' ratio, and the characters both strings can share at
+    most, from counts per letter taken once per string."""
     r = (threshold - 0.5) / 100.0
     if r <= 0:
         raise ValueError("fuzzy blocking needs a positive threshold")
@@ -164,24 +169,38 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
         return F.coalesce(F.when(c == 0, F.lit(EMPTY_BUCKET)).otherwise(
             F.floor(F.log(c.cast("double")) / F.lit(width)).cast("long")), F.lit(EMPTY_BUCKET))
 
+    qs, cs = qs.withColumn("hq", letter_counts(F.col("qs"))), cs.withColumn("hc", letter_counts(F.col("cs")))
     qb = (qs.withColumn("b0", bucket(F.col("lq")))
-            .select(_QK, "qs", "lq", F.explode(
+            .select(_QK, "qs", "lq", "hq", F.explode(
                 F.when(F.col("lq") == 0, F.array(F.col("b0")))
                  .otherwise(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1))).alias("bucket")))
     cb = cs.withColumn("bucket", bucket(F.col("lc")))
-    if small:
-        qb_side, keys = F.broadcast(qb), ["bucket"]
-    else:
-        # few distinct bucket values: salt the catalogue, replicate questions
-        cb = cb.withColumn("salt", F.pmod(F.xxhash64(F.col(c_id)), F.lit(FUZZY_SALT)))
-        qb_side = qb.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FUZZY_SALT - 1))))
+    qb = materialize(qb)
+    qb_side, small = maybe_broadcast(qb)
+    keys = ["bucket"]
+    if not small:
+        # texts of one kind share a few buckets: each is cut into as many parts
+        # as its rows need (at most one row per length bucket here: broadcast)
+        cb = materialize(cb)
+        parts = cb.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_ROWS)).cast("int").alias("parts"))
+        parts = F.broadcast(materialize(parts))
+        cb = cb.join(parts, "bucket").withColumn("salt", F.pmod(F.xxhash64(F.col(c_id)), F.col("parts")).cast("int")).drop("parts")
+        qb_side = (qb.join(parts, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
         keys = ["bucket", "salt"]
-    pairs = (cb.join(qb_side, keys)
-               .where(F.lit(400) * F.least("lq", "lc") >= F.lit(2 * threshold - 1) * (F.col("lq") + F.col("lc"))))
+    need = F.lit(2 * threshold - 1) * (F.col("lq") + F.col("lc"))
+    shared = F.aggregate(F.zip_with("hq", "hc", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, n: acc + n)
+    pairs = cb.join(qb_side, keys).where((F.lit(400) * F.least("lq", "lc") >= need) & (F.lit(400) * shared >= need))
     return (pairs.select(_QK, c_id, ratio_at_least_udf(threshold)(F.col("qs"), F.col("cs")).alias("match_score"))
                  .where(F.col("match_score") >= threshold))
 
 
+def letter_counts(text: Column) -> Column:
+    """How often each of a-z occurs, and all other characters together."""
+    n = [F.length(text) - F.length(F.translate(text, c, "")) for c in LETTERS]
+    rest = F.length(F.translate(text, LETTERS, ""))
+    return F.array(*n, rest)
+
+
 def _non_null(c: Column) -> Column:
     """A derived text column of rows already filtered to non-NULL input, typed
     non-nullable: otherwise Spark infers ``IS NOT NULL`` on it from the joins
@@ -201,11 +220,12 @@ def _question_keys(questions: DataFrame, q_id: str, q_text: str):
 
 
 def _scores_by_key(reps: DataFrame, catalog: DataFrame, c_id: str, c_text: str, threshold: int, small: bool) -> DataFrame:
-    cat = catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(normalize_text(c_text)).alias("_cn"))
+    # read by the substring and the fuzzy branch, several times each
+    cat = materialize(catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(normalize_text(c_text)).alias("_cn")))
     qa = reps.select(_QK, "_qn", F.array("_qn").alias("needles"))
     sub = containment_candidates(qa, cat, c_id, "_cn", " ", lambda hay: hay.contains(F.col("_qn")), small)
     sub = sub.withColumn("match_score", F.lit(100))
-    fz = fuzzy_pairs(reps, cat, c_id, "_qn", "_cn", threshold, small)
+    fz = fuzzy_pairs(reps, cat, c_id, "_qn", "_cn", threshold)
     return (sub.unionByName(fz).groupBy(_QK, c_id).agg(F.max("match_score").alias("match_score"))
                .where(F.col("match_score") >= threshold))
 
@@ -238,21 +258,24 @@ def top_k(scored: DataFrame, *, q_id: str = "question_id", order_id: str = "imag
 
 
 def like_matches(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", q_text: str = "question",
-                 c_id: str = "image_row", c_text: str = "description") -> DataFrame:
+                 c_id: str = "image_row", c_text: str = "description", literal: bool = False) -> DataFrame:
     """M1: ``description LIKE '%q%'`` with SQLite semantics: ASCII-only case
-    folding, ``%``/``_`` in the question stay wildcards, backslash is literal."""
+    folding, ``%``/``_`` in the question stay wildcards, backslash is literal.
+    With ``literal`` they are plain characters: the folded question must be
+    contained as it stands."""
     def fold(c):
         return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
     q = questions.where(F.col(q_text).isNotNull()).select(
         F.col(q_id).alias(_QK),
         F.concat(F.lit("%"), F.replace(fold(F.col(q_text)), F.lit("\\"), F.lit("\\\\")), F.lit("%")).alias("_pat"),
-        F.split(fold(F.col(q_text)), "[%_]").alias("needles"))
+        fold(F.col(q_text)).alias("_lit"),
+        (F.array(fold(F.col(q_text))) if literal else F.split(fold(F.col(q_text)), "[%_]")).alias("needles"))
     q = materialize(q)
     _s, small = maybe_broadcast(q)
     cat = catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(fold(F.col(c_text))).alias("_hay"))
     hits = containment_candidates(q, cat, c_id, "_hay", r"[^\p{L}\p{N}]+",
-                                  lambda hay: F.expr("_hay LIKE _pat"), small)
+                                  lambda hay: hay.contains(F.col("_lit")) if literal else F.expr("_hay LIKE _pat"), small)
     return hits.select(F.col(_QK).alias(q_id), c_id)
 
 

@@ -186,11 +186,20 @@ def best_scores(questions: DataFrame, catalog: DataFrame, *, q_id: str = "questi
 
 
 # ---------------------------------------------------------------- M9: TF-IDF
-def tfidf(docs: DataFrame, doc_id: str, tokens: str, idf: DataFrame) -> DataFrame:
-    """Long form (doc_id, token, w) with L2-normalised tf*idf weights;
-    ``idf`` is (token, idf)."""
-    tf = (docs.select(doc_id, explode_computed(tokens).alias("token")).where(F.col("token") != "")
-              .groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("tf")))
+# Sums differ in their last bits with their order; scores are rounded before
+# they are ranked, so that equal documents tie.
+SCORE_DIGITS = 9
+
+
+def term_counts(docs: DataFrame, doc_id: str, tokens: str) -> DataFrame:
+    """Long form (doc_id, token, tf)."""
+    return (docs.select(doc_id, explode_computed(tokens).alias("token")).where(F.col("token") != "")
+                .groupBy(doc_id, "token").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def tfidf(tf: DataFrame, doc_id: str, idf: DataFrame) -> DataFrame:
+    """Long form (doc_id, token, w) with L2-normalised tf*idf weights from
+    ``tf(doc_id, token, tf)`` and ``idf(token, idf)``."""
     w = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     # the norm as a window over the document (one row per distinct token of
     # it), not a self-join that would tokenise the documents twice
@@ -209,18 +218,19 @@ def tfidf_best_match(questions: DataFrame, corpus: DataFrame, *, q_id: str, q_to
     exceed the threshold (Cauchy-Schwarz).  The prefix holds the rare,
     high-idf tokens, so the postings it probes are short."""
     n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
-    dtok = corpus.select(d_id, explode_computed(F.array_distinct(d_tokens)).alias("token")).where(F.col("token") != "")
-    # the vocabulary table is written once and read by both the question and
-    # the candidate-document weights; it grows with the vocabulary, not the
-    # corpus (partial aggregation absorbs hot tokens before the shuffle)
+    # the corpus is tokenised once: vocabulary, candidates and weights all read
+    # the written counts.  The vocabulary table grows with the vocabulary, not
+    # the corpus (partial aggregation absorbs hot tokens before the shuffle)
+    dtf = materialize(term_counts(corpus, d_id, d_tokens))
+    dtok = dtf.select(d_id, "token")
     df = materialize(dtok.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
 
     def idf(c: Column) -> Column:
         return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.coalesce(c, F.lit(0)))) + F.lit(1.0)
 
-    qvocab = questions.select(F.explode(q_tokens).alias("token")).where(F.col("token") != "").distinct()
-    q_idf = qvocab.join(df, "token", "left").select("token", idf(F.col("df")).alias("idf"))
-    qw = materialize(tfidf(questions, q_id, q_tokens, F.broadcast(q_idf)))
+    qtf = term_counts(questions, q_id, q_tokens)
+    q_idf = materialize(qtf.select("token").distinct().join(df, "token", "left").select("token", idf(F.col("df")).alias("idf")))
+    qw = materialize(tfidf(qtf, q_id, maybe_broadcast(q_idf)[0]))
     # prefix: by weight desc; token i stays while the norm of (w_i, w_i+1, ...) >= threshold
     w = Window.partitionBy(q_id).orderBy(F.col("w").desc(), F.col("token"))
     tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(0, Window.unboundedFollowing)))
@@ -231,11 +241,10 @@ def tfidf_best_match(questions: DataFrame, corpus: DataFrame, *, q_id: str, q_to
     cand = materialize(cand)
     # exact dot product of the candidates over all shared tokens
     cand_docs, _ = maybe_broadcast(cand.select(d_id).distinct())
-    docs = corpus.join(cand_docs, d_id, "left_semi")
-    dw = tfidf(docs, d_id, d_tokens, df.select("token", idf(F.col("df")).alias("idf")))
+    dw = tfidf(dtf.join(cand_docs, d_id, "left_semi"), d_id, df.select("token", idf(F.col("df")).alias("idf")))
     scores = (cand.join(qw_side, q_id)
                   .join(dw.withColumnRenamed("w", "_dw"), [d_id, "token"])
-                  .groupBy(q_id, d_id).agg(F.sum(F.col("w") * F.col("_dw")).alias("score"))
+                  .groupBy(q_id, d_id).agg(F.round(F.sum(F.col("w") * F.col("_dw")), SCORE_DIGITS).alias("score"))
                   .where(F.col("score") > F.lit(threshold)))
     best = (scores.groupBy(q_id)
                   .agg(F.max_by(F.struct(F.col(d_id), F.col("score")), F.struct(F.col("score"), -F.col(d_id))).alias("_b"))

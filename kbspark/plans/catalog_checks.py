@@ -9,7 +9,9 @@ from kbspark import schemas
 from kbspark.operators import catalog as cat
 from kbspark.plans.oracle_views import with_views
 from kbspark.plans.registry import register
+from kbspark.sources import catalog_store as store
 from kbspark.sources.fixtures import Fixtures
+from kbspark.sources.manuals import shared_folder
 
 _IMG_COLS = "image_row, filepath, filename, content_type, title, description, assistant_id"
 
@@ -53,7 +55,7 @@ def c3_resolve_ids(fx: Fixtures) -> DataFrame:
           + f"\nSELECT {_IMG_COLS} FROM fx_kb_catalog")
 def c4_append_images(fx: Fixtures) -> DataFrame:
     """C4: every manual's extracted images appended to the catalogue, with captions where supplied."""
-    return fx.kb_catalog()
+    return cat.append_images(fx.catalog(), fx.new_images(), fx.assistants(), fx.captions())
 
 
 _REQ_SQL = """req AS (SELECT concat('asst_', assistant_name) AS assistant_key,
@@ -66,14 +68,24 @@ def _requests(fx: Fixtures) -> DataFrame:
                     F.concat(F.lit("src"), ((F.col("question_id") * 7) % 20).cast("string")).alias("filepath"))
 
 
+def _stored(fx: Fixtures, name: str):
+    """A store holding the catalogue, and its schema."""
+    root = shared_folder(fx.spark, name)
+    catalog = fx.catalog().select(*store.COLUMNS)
+    store.save_catalog(catalog, root)
+    return root, catalog.schema
+
+
 @register("c5_delete_images", with_views("fx_assistants", "fx_catalog", "fx_questions", extra=_REQ_SQL) + """
 SELECT image_row, filepath, filename, assistant_id FROM fx_catalog c WHERE NOT EXISTS (
   SELECT 1 FROM req r JOIN fx_assistants a ON a.assistant_key = r.assistant_key
   WHERE a.id = c.assistant_id AND r.filepath = c.filepath)""")
 def c5_delete_images(fx: Fixtures) -> DataFrame:
-    """Cleanup requests (assistant key, folder) applied to the catalogue."""
-    out = cat.delete_images(fx.catalog(), _requests(fx), fx.assistants())
-    return out.select("image_row", "filepath", "filename", "assistant_id")
+    """Cleanup requests (assistant key, folder) applied to the stored catalogue, read back."""
+    root, schema = _stored(fx, "c5")
+    req = _requests(fx)
+    store.replace_folders(fx.spark, root, schema, req, lambda c: cat.delete_images(c, req, fx.assistants()))
+    return store.load_catalog(fx.spark, root, schema).select("image_row", "filepath", "filename", "assistant_id")
 
 
 def _reingest_sql() -> str:
@@ -95,14 +107,15 @@ UNION ALL SELECT true, true, * FROM ({appended.format(base='kept', desc='c.descr
 
 @register("c6_reingest_matrix", _reingest_sql())
 def c6_reingest_matrix(fx: Fixtures) -> DataFrame:
-    """The catalogue after re-ingesting every manual, for all four (cleanup, captions) flag pairs."""
+    """The stored catalogue after re-ingesting every manual, for all four (cleanup, captions) flag pairs, read back."""
     req = fx.new_images().select("assistant_key", "filepath").distinct()
     out = None
     for cleanup in (False, True):
         for captions in (False, True):
-            c = cat.reingest(fx.catalog(), fx.new_images(), fx.assistants(), req, cleanup,
-                             fx.captions() if captions else None)
-            c = c.select(F.lit(cleanup).alias("cleanup"), F.lit(captions).alias("captions"),
+            root, schema = _stored(fx, "c6")
+            store.replace_folders(fx.spark, root, schema, req, lambda c, cleanup=cleanup, captions=captions: cat.reingest(
+                c, fx.new_images(), fx.assistants(), req, cleanup, fx.captions() if captions else None))
+            c = store.load_catalog(fx.spark, root, schema).select(F.lit(cleanup).alias("cleanup"), F.lit(captions).alias("captions"),
                          "image_row", "filepath", "filename", "description")
             out = c if out is None else out.unionByName(c)
     return out
@@ -170,7 +183,8 @@ def c10_lookup_filename(fx: Fixtures) -> DataFrame:
 
 @register("c11_caption_worklist", with_views("fx_catalog", "fx_tool_calls") + """
 SELECT image_row, filename FROM fx_catalog WHERE description IS NULL
-  AND filename NOT IN (SELECT json_extract_string(arguments, '$.filename') FROM fx_tool_calls)""")
+  AND filename NOT IN (SELECT json_extract_string(arguments, '$.filename') FROM fx_tool_calls
+    WHERE json_extract_string(arguments, '$.filename') IS NOT NULL)""")
 def c11_caption_worklist(fx: Fixtures) -> DataFrame:
     """C11: images still without description and without a supplied caption
     (captions arrive for the tool-call filenames)."""

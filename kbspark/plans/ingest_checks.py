@@ -11,26 +11,33 @@ from kbspark.functions.text import to_base64
 from kbspark.plans.oracle_views import with_views
 from kbspark.plans.registry import register
 from kbspark.plans.rewrite_checks import _D1_SQL, _PARAS_SQL
+from kbspark.plans import manual_files
 from kbspark.sources import docx, manuals
 from kbspark.sources.fixtures import Fixtures
 
 
+_MANUALS: dict[tuple[str, str], str] = {}
+
+
 def written_manuals(fx: Fixtures) -> str:
-    """Write every document as a manual; returns the folder."""
-    folder = manuals.shared_folder(fx.spark, "manuals")
-    manuals.write_manuals(manuals.manual_runs(fx.doc_runs(), fx.doc_images()), folder).count()
-    return folder
+    """Folder with every document as a manual, written once per application and table folder."""
+    key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
+    if key not in _MANUALS:
+        folder = manuals.shared_folder(fx.spark, "manuals")
+        manual_files.write_manuals(manual_files.manual_runs(fx.doc_runs(), fx.doc_images()), folder).count()
+        _MANUALS[key] = folder
+    return _MANUALS[key]
 
 
 def _doc_id(path_col: str = "path"):
     return F.regexp_extract(F.col(path_col), r"manual_(\d+)\.docx$", 1).cast("long")
 
 
-@register("i1_scan_manuals")
+@register("i1_scan_manuals", "SELECT doc_id, true AS has_content FROM documents")
 def i1_scan_manuals(fx: Fixtures) -> DataFrame:
     """The written manuals scanned as binary files (one row per file)."""
     files = docx.scan_manuals(fx.spark, written_manuals(fx))
-    return files.select(_doc_id().alias("doc_id"), "length")
+    return files.select(_doc_id().alias("doc_id"), (F.col("length") == F.length("content")).alias("has_content"))
 
 
 @register("i2_parse_runs", with_views("fx_doc_runs") + """
@@ -52,22 +59,24 @@ def i2_parse_images(fx: Fixtures) -> DataFrame:
 
 @register("i3_store_images", with_views("fx_assistants", "fx_catalog", "fx_doc_runs", "fx_doc_images", "fx_kb_catalog",
                                         extra="""
-ni AS (SELECT n.filepath, n.filename, i.content FROM fx_new_images n
+ni AS (SELECT n.filepath, n.filename, n.doc_id, n.img_idx, i.content FROM fx_new_images n
   JOIN fx_doc_images i ON i.doc_id = n.doc_id AND i.img_idx = n.img_idx)""") + """
-SELECT filepath, concat(filepath, '/', filepath, '_', filename) AS path, octet_length(content) AS n_bytes FROM ni""")
+SELECT filepath, concat(filepath, '/', filepath, '_', filename) AS path,
+  base64(arg_max(content, doc_id * 1000000 + img_idx)) AS content_b64 FROM ni GROUP BY 1, 2""")
 def i3_store_images(fx: Fixtures) -> DataFrame:
-    """Extracted images stored under {filepath}/{filepath}_{filename}, read back."""
+    """Extracted images stored under {filepath}/{filepath}_{filename}, read
+    back; of several images of one path the last stays."""
     imgs = fx.new_images().join(fx.doc_images().select("doc_id", "img_idx", "content"), ["doc_id", "img_idx"])
     back = manuals.store_images(imgs, manuals.shared_folder(fx.spark, "images"))
-    return back.select("filepath", "path", F.octet_length("content").alias("n_bytes"))
+    return back.select("filepath", "path", to_base64("content").alias("content_b64"))
 
 
 @register("i5_write_manuals", _D1_SQL + ",\n" + _PARAS_SQL + """
 SELECT 'manual_' || CAST(doc_id AS VARCHAR) || '_data' AS out_name, string_agg(text, chr(10) ORDER BY para_idx) AS text
 FROM d5p GROUP BY doc_id""")
 def i5_write_manuals(fx: Fixtures) -> DataFrame:
-    """Each rewritten manual (D1 -> D5) written as one ordered text file
-    named ``{stem}_data``, read back whole."""
+    """Each rewritten manual (D1 -> D5) written as ordered paragraphs under
+    ``{stem}_data``, read back whole."""
     from kbspark.operators import rewrite as rw
     d1 = rw.replace_by_position(fx.doc_runs(), fx.doc_images(), fx.kb_catalog(), fx.filepaths())
     paras = rw.paragraph_texts(d1, all_paragraphs=fx.doc_runs())

@@ -71,8 +71,7 @@ def m3_token_sort_pairs(fx: Fixtures) -> DataFrame:
     names = fx.table("part").select("p_name").distinct()
     q = names.select(F.col("p_name").alias("_qk"), F.col("p_name").alias("_qn"))
     c = names.select(F.col("p_name").alias("name_b"), F.col("p_name").alias("_cn"))
-    small = match.maybe_broadcast(q)[1]
-    s = match.fuzzy_pairs(q, c, "name_b", "_qn", "_cn", match.FUZZY_THRESHOLD, small)
+    s = match.fuzzy_pairs(q, c, "name_b", "_qn", "_cn", match.FUZZY_THRESHOLD)
     return s.where(F.col("_qk") < F.col("name_b")).select(F.col("_qk").alias("name_a"), "name_b", "match_score")
 
 
@@ -80,10 +79,13 @@ def m3_token_sort_pairs(fx: Fixtures) -> DataFrame:
 SELECT q.question_id, printf('image_%04d', t.rank) AS image_key, '/api/images/' || c.filename AS url, t.match_score
 FROM fx_questions q LEFT JOIN top t ON t.question_id = q.question_id LEFT JOIN fx_catalog c ON c.image_row = t.image_row""")
 def m5_hit_map(fx: Fixtures) -> DataFrame:
-    """M5 (long form): hits keyed ``image_0001``… with URL and score; one
-    NULL-keyed row for a question without hits (the empty map)."""
+    """M5: the hit map of each question, its entries read back: keys
+    ``image_0001``… with URL and score; the empty map gives one NULL-keyed row."""
+    from pyspark.sql import functions as F
     top = match.top_matches(fx.questions(), fx.catalog()).join(fx.catalog().select("image_row", "filename"), "image_row")
-    return match.hit_rows(top, fx.questions())
+    maps = match.hit_map(top, fx.questions())
+    return (maps.select("question_id", F.explode_outer("images").alias("image_key", "hit"))
+            .select("question_id", "image_key", "hit.url", "hit.match_score"))
 
 
 # ---------------------------------------------------------------- M6 - M9
@@ -152,7 +154,7 @@ dw0 AS (SELECT doc_id, token, tf * (ln((1 + n.n) / (1 + df.df)) + 1) AS w FROM d
 dw AS (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dw0),
 qw0 AS (SELECT question_id, token, tf * (ln((1 + n.n) / (1 + coalesce(df.df, 0))) + 1) AS w FROM qtf LEFT JOIN df USING (token), n),
 qw AS (SELECT question_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY question_id)) AS w FROM qw0),
-s AS (SELECT question_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (token) GROUP BY ALL),
+s AS (SELECT question_id, doc_id, round(sum(qw.w * dw.w), 9) AS score FROM qw JOIN dw USING (token) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rk FROM s WHERE score > 0.6),
 m9 AS (SELECT b.item_id AS question_id, r.doc_id, r.score FROM benchmark b LEFT JOIN r ON r.question_id = b.item_id AND r.rk = 1)"""
 

@@ -32,7 +32,8 @@ _EMB_SQL = "concat('rId', CAST(doc_id % 20 + 20 * ((para_idx + run_idx) % 3) AS
 SELECT doc_id, para_idx, run_idx, img_idx FROM fx_doc_images""")
 def d8_image_ordinals(fx: Fixtures) -> DataFrame:
     """Image ordinal per document over the drawings with a valid relation."""
-    return fx.doc_images().select("doc_id", "para_idx", "run_idx", "img_idx")
+    drawings = fx.doc_runs().where((F.col("kind") == "drawing") & ((F.col("para_idx") + F.col("run_idx")) % 3 != 2))
+    return rw.image_ordinals(drawings).select("doc_id", "para_idx", "run_idx", "img_idx")
 
 
 _D1_SQL = with_views(*_KB, extra=_first("fx_kb_catalog", "fr") + """,

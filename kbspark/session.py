@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def intermediate_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kbspark-{spark.sparkContext.applicationId}"
+
+
+def intermediate_path(spark: SparkSession, what: str) -> str:
+    """A new folder name for one intermediate table, in the shared folder."""
+    return f"{intermediate_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them are
+    of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(intermediate_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Sessions that read small test tables (one row group, which one task would
 # have to work through alone) name a partition count here; unset, a table keeps
 # the scan's own splits.

@@ -175,69 +175,3 @@ def explode_images(files: DataFrame) -> DataFrame:
     """One row per extracted inline image."""
     cols = [c.split()[0] for c in IMAGES_SCHEMA.split(", ")]
     return files.select("path", "content").mapInPandas(_map(parse_images_one, cols), IMAGES_SCHEMA)
-
-
-# ---------------------------------------------------------------- test manuals
-_CT = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-       '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-       '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-       '<Default Extension="xml" ContentType="application/xml"/>'
-       '<Default Extension="png" ContentType="image/png"/>'
-       '<Override PartName="/word/document.xml" '
-       'ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/>{over}</Types>')
-_ROOT_RELS = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-              '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-              '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/'
-              'officeDocument" Target="word/document.xml"/></Relationships>')
-_XML_BAD = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
-
-
-def _esc(s: str) -> str:
-    s = _XML_BAD.sub("", s)
-    return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
-
-
-def _drawing(descr: str, name: str, emb: str, pid: int) -> str:
-    return ('<w:drawing><wp:inline><wp:docPr id="{pid}" name="{name}"/><a:graphic><a:graphicData '
-            'uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic><pic:nvPicPr>'
-            '<pic:cNvPr id="{pid}" name="{name}" descr="{descr}"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill>'
-            '<a:blip r:embed="{emb}"/></pic:blipFill></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing>'
-            ).format(pid=pid, name=_esc(name), descr=_esc(descr), emb=emb)
-
-
-def build_docx(paragraphs: list[list[dict]]) -> bytes:
-    """A minimal docx: paragraphs of runs; a run is ``{"text": …}`` or
-    ``{"drawing": True, "descr", "name", "embed", "media": bytes|None, "ext"}``
-    (``media`` None leaves the relation out)."""
-    body, rels, over = [], [], []
-    pid = 0
-    for runs in paragraphs:
-        out = []
-        for r in runs:
-            if r.get("drawing"):
-                pid += 1
-                out.append(f"<w:r>{_drawing(r['descr'], r['name'], r['embed'], pid)}</w:r>")
-                if r.get("media") is not None:
-                    part = f"media/image{pid}" + (f".{r['ext']}" if r.get("ext") else "")
-                    rels.append((r["embed"], part, r["media"]))
-                    if not r.get("ext"):
-                        over.append(f'<Override PartName="/word/{part}" ContentType="image/png"/>')
-            else:
-                out.append(f'<w:r><w:t xml:space="preserve">{_esc(r["text"])}</w:t></w:r>')
-        body.append("<w:p>" + "".join(out) + "</w:p>")
-    doc = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-           f'<w:document xmlns:w="{NS["w"]}" xmlns:wp="{NS["wp"]}" xmlns:a="{NS["a"]}" xmlns:pic="{NS["pic"]}" '
-           f'xmlns:r="{NS["r"]}"><w:body>' + "".join(body) + "</w:body></w:document>")
-    drels = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-             f'<Relationships xmlns="{NS["rel"]}">'
-             + "".join(f'<Relationship Id="{i}" Type="{IMAGE_REL}" Target="{p}"/>' for i, p, _ in rels)
-             + "</Relationships>")
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", _CT.format(over="".join(over)))
-        z.writestr("_rels/.rels", _ROOT_RELS)
-        z.writestr("word/document.xml", doc)
-        z.writestr("word/_rels/document.xml.rels", drels)
-        for _i, p, blob in rels:
-            z.writestr("word/" + p, blob)
-    return buf.getvalue()

@@ -11,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.operators.joins import materialize
 from kbspark.session import read_table
 
 
+_INGESTED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Fixtures:
     """Lazily built fixture frames for one table folder."""
 
@@ -30,6 +34,14 @@ class Fixtures:
             self._cache[name] = build()
         return self._cache[name]
 
+    def _ingested(self, name, build):
+        """As ``_get``, but written once per application and table folder, as an
+        ingest would: every later query reads the written table."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _INGESTED:
+            _INGESTED[key] = materialize(build())
+        return _INGESTED[key]
+
     # ------------------------------------------------------------ catalogue
     def assistants(self) -> DataFrame:
         """(id, name, assistant_key): one assistant per document source."""
@@ -39,7 +51,7 @@ class Fixtures:
                              F.col("source").alias("name"),
                              F.concat(F.lit("asst_"), F.col("source")).alias("assistant_key"))
                      .distinct())
-        return self._get("assistants", build)
+        return self._ingested("assistants", build)
 
     def catalog(self) -> DataFrame:
         """images: one catalogue row per document; each filename occurs many
@@ -153,7 +165,7 @@ class Fixtures:
             return i.select("doc_id", "img_idx", F.col("source").alias("filepath"), image_filename(i).alias("filename"),
                             "content_type", tx.alt_text_fallback("descr", "name", "img_idx").alias("title"),
                             F.concat(F.lit("asst_"), F.col("source")).alias("assistant_key"))
-        return self._get("new_images", build)
+        return self._ingested("new_images", build)
 
     def captions(self) -> DataFrame:
         """Captions supplied by an outside captioner for the odd-numbered
@@ -163,14 +175,14 @@ class Fixtures:
             return (n.select(F.concat(F.col("filepath"), F.lit("_"), F.col("filename")).alias("filename"),
                              F.concat(F.lit("Legenda: "), F.col("title")).alias("description"), "doc_id", "img_idx")
                      .groupBy("filename").agg(F.min_by("description", F.struct("doc_id", "img_idx")).alias("description")))
-        return self._get("captions", build)
+        return self._ingested("captions", build)
 
     def kb_catalog(self) -> DataFrame:
         """The catalogue after ingesting every manual's images with captions (C4)."""
         def build():
             from kbspark.operators.catalog import append_images
             return append_images(self.catalog(), self.new_images(), self.assistants(), self.captions())
-        return self._get("kb_catalog", build)
+        return self._ingested("kb_catalog", build)
 
     def kb_catalog_v1(self) -> DataFrame:
         """v1 projection: filenames without the ``{filepath}_`` prefix."""
@@ -196,7 +208,7 @@ class Fixtures:
                             F.when((F.col("para_idx") + F.col("run_idx")) % 2 == 0, F.lit("png")).otherwise(F.lit("")).alias("ext"),
                             F.lit("image/png").alias("content_type"),
                             F.encode(F.col("text"), "UTF-8").alias("content"))
-        return self._get("doc_images", build)
+        return self._ingested("doc_images", build)
 
     def doc_runs(self) -> DataFrame:
         """(doc_id, source, para_idx, run_idx, kind, text): every document
@@ -208,4 +220,4 @@ class Fixtures:
             r = p.select("doc_id", "source", "para_idx", F.posexplode(F.split("para", "[.] ")).alias("run_idx", "text"))
             kind = F.when((F.col("doc_id") + F.col("para_idx") + F.col("run_idx")) % 7 == 0, "drawing").otherwise("text")
             return r.select("doc_id", "source", "para_idx", "run_idx", kind.alias("kind"), "text")
-        return self._get("doc_runs", build)
+        return self._ingested("doc_runs", build)

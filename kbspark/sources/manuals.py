@@ -1,101 +1,45 @@
-"""Manual files on shared storage: write test manuals derived from the
-tables, store extracted images (I3), write rewritten manuals (I5).
+"""Images and rewritten manuals on shared storage.
 
 Every folder here must be on storage all executors see (the session's
-``spark.checkpoint.dir`` family on a cluster); nothing is written to a
-machine-local folder by these jobs except in local tests.
+``spark.checkpoint.dir`` family on a cluster).
 """
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.session import ensure_checkpoint_dir
-from kbspark.sources.docx import build_docx
+from kbspark.session import intermediate_path
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-MANUAL_RESULT = "doc_id long, path string, n_bytes long"
-
-
-def write_manuals(runs: DataFrame, folder: str) -> DataFrame:
-    """One ``manual_<doc_id>.docx`` per document from run rows
-    (doc_id, para_idx, run_idx, kind, text, descr, name, embed, media, ext);
-    one group = one manual.  Returns (doc_id, path, n_bytes) lazily."""
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["para_idx", "run_idx"])
-        paras: list[list[dict]] = []
-        last = None
-        for r in pdf.itertuples(index=False):
-            if r.para_idx != last:
-                paras.append([])
-                last = r.para_idx
-            if r.kind == "drawing":
-                media = None if r.media is None or (isinstance(r.media, float)) else bytes(r.media)
-                paras[-1].append(dict(drawing=True, descr=r.descr or "", name=r.name or "", embed=r.embed,
-                                      media=media, ext=r.ext or ""))
-            else:
-                paras[-1].append(dict(text=r.text or ""))
-        doc_id = int(pdf["doc_id"].iloc[0])
-        name = f"manual_{doc_id}.docx"
-        blob = build_docx(paras)
-        # through the folder's own file system (local, file:, hdfs:, s3: ...),
-        # so executors write to the shared folder wherever it lives
-        fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base.rstrip('/')}/{name}") as out:
-            out.write(blob)
-        return pd.DataFrame([{"doc_id": doc_id, "path": f"{folder.rstrip('/')}/{name}", "n_bytes": len(blob)}])
-    return runs.groupBy("doc_id").applyInPandas(write, MANUAL_RESULT)
-
-
-def manual_runs(doc_runs: DataFrame, doc_images: DataFrame) -> DataFrame:
-    """Run rows for ``write_manuals``: drawings carry their picture attributes;
-    a drawing with no extracted image keeps an embed id without relation."""
-    d = doc_runs.withColumn("_dord", F.when(F.col("kind") == "drawing", F.row_number().over(
-        Window.partitionBy("doc_id", F.col("kind")).orderBy("para_idx", "run_idx"))))
-    img = doc_images.select("doc_id", "para_idx", "run_idx", "name", "ext", "content")
-    d = d.join(img, ["doc_id", "para_idx", "run_idx"], "left")
-    return d.select("doc_id", "para_idx", "run_idx", "kind", "text",
-                    F.when(F.col("kind") == "drawing", F.col("text")).alias("descr"),
-                    F.when(F.col("kind") == "drawing", F.coalesce("name", F.concat(F.lit("Imagem "), F.col("_dord").cast("string"))))
-                     .alias("name"),
-                    F.concat(F.lit("rId"), (F.lit(1000) + F.col("_dord")).cast("string")).alias("embed"),
-                    F.col("content").alias("media"), "ext")
+    """A fresh folder under the session's shared folder."""
+    return intermediate_path(spark, name)
 
 
-def store_images(images: DataFrame, root: str) -> DataFrame:
+def store_images(images: DataFrame, root: str, order: tuple[str, ...] = ("doc_id", "img_idx")) -> DataFrame:
     """Image bytes under ``{filepath}/{filepath}_{filename}``, kept as
     Parquet rows (path, content) partitioned by ``filepath``; re-ingesting a
-    folder overwrites only its partitions (dynamic partition overwrite)."""
-    rows = images.select("filepath", F.concat(F.col("filepath"), F.lit("/"), F.col("filepath"), F.lit("_"),
-                                               F.col("filename")).alias("path"), "content")
+    folder overwrites only its partitions (dynamic partition overwrite).  An
+    image replaces an earlier one (in ``order``) of the same path."""
+    path = F.concat(F.col("filepath"), F.lit("/"), F.col("filepath"), F.lit("_"), F.col("filename")).alias("path")
+    rows = (images.select("filepath", path, "content", F.struct(*order).alias("_order"))
+            .groupBy("filepath", "path").agg(F.max_by("content", "_order").alias("content")))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("filepath").parquet(root))
     return rows.sparkSession.read.parquet(root)
 
 
 def write_rewritten(paragraphs: DataFrame, names: DataFrame, root: str) -> DataFrame:
-    """Each rewritten manual as one text file of its paragraphs in order,
-    in folder ``out_name=<stem>_data``; returns the files read back whole."""
-    rows = (paragraphs.join(names, "doc_id")
-                      .repartition("out_name").sortWithinPartitions("out_name", "para_idx")
-                      .select("out_name", F.col("text").alias("value")))
-    rows.write.mode("overwrite").partitionBy("out_name").text(root)
-    back = rows.sparkSession.read.text(root, wholetext=True)
-    return back.select("out_name", F.regexp_replace("value", "\n\\z", "").alias("text"))
+    """The rewritten manuals as one table of paragraphs ``(out_name,
+    para_idx, text)``, all of a manual's in one file and in order; returns each
+    manual read back whole."""
+    rows = (paragraphs.join(names, "doc_id").select("out_name", "para_idx", "text")
+                      .repartition("out_name").sortWithinPartitions("out_name", "para_idx"))
+    rows.write.mode("overwrite").parquet(root)
+    lines = F.array_sort(F.collect_list(F.struct("para_idx", "text")))
+    return (rows.sparkSession.read.schema(rows.schema).parquet(root).groupBy("out_name")
+            .agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text")))
 
 
 def output_name(path_col) -> F.Column:

@@ -12,9 +12,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from kbspark.session import build_session
+    from kbspark.session import build_session, clear_intermediates
     s = build_session(master="local[4]", shuffle_partitions=8)
     yield s
+    clear_intermediates(s)
     s.stop()
 
 

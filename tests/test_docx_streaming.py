@@ -7,6 +7,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from kbspark.plans import manual_files
 from kbspark.sources import docx
 from kbspark.sources.manuals import shared_folder
 from kbspark.streaming import jobs
@@ -21,11 +22,11 @@ def _write(folder, name, blob):
 
 
 def _pic(descr, name, emb, pid):
-    return docx._drawing(descr, name, emb, pid)
+    return manual_files._drawing(descr, name, emb, pid)
 
 
 def _docx_with_body(body_xml, rels=(), media=()):
-    base = docx.build_docx([[{"text": "x"}]])
+    base = manual_files.build_docx([[{"text": "x"}]])
     src = zipfile.ZipFile(io.BytesIO(base))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -46,7 +47,7 @@ def _docx_with_body(body_xml, rels=(), media=()):
 
 def test_parser_cases(spark, tmp_path):
     folder = str(tmp_path / "manuals")
-    _write(folder, "none.docx", docx.build_docx([[{"text": "a"}, {"text": "b"}], []]))
+    _write(folder, "none.docx", manual_files.build_docx([[{"text": "a"}, {"text": "b"}], []]))
     two = (f"<w:p><w:r>{_pic('d1', 'n1', 'rId1', 1)}{_pic('d2', 'n2', 'rId2', 2)}</w:r></w:p>")
     _write(folder, "two.docx", _docx_with_body(two, rels=[("rId1", "media/a.png"), ("rId2", "media/b.png")],
                                                media=[("word/media/a.png", b"A"), ("word/media/b.png", b"B")]))
@@ -87,6 +88,34 @@ def test_chunks_out_of_order_emit_once(spark):
     assert sorted(tuple(r) for r in jobs.assemble_chunks_batch(df.dropDuplicates()).collect()) == got
 
 
+def test_replayed_batches_replace_their_rows(spark):
+    out = shared_folder(spark, "t-replay")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    second = spark.createDataFrame([(2, "newer")], "k long, v string")
+    for batch, batch_id in ((first, 0), (second, 1), (first, 0), (second, 1)):
+        jobs.replace_batch(batch, out, batch_id)
+    assert spark.read.parquet(out).count() == 3
+    assert sorted(tuple(r) for r in jobs.latest_versions(spark, out, ["k"], first.schema).collect()) == [(1, "a"), (2, "newer")]
+
+
+def test_every_sink_survives_a_replay(spark):
+    """The last committed micro-batch is run again: its rows are there once."""
+    folder, out, ck = (shared_folder(spark, n) for n in ("t-in", "t-out", "t-ck"))
+    df = spark.createDataFrame([(1, "start", None, "hi"), (2, "chat", "t", "ok"), (3, "chat", "t", "x")],
+                               "request_id long, endpoint string, thread_id string, message string")
+    jobs.write_slices(df, folder, "request_id", 2, files=1)
+
+    def sink(batch, batch_id):
+        jobs.replace_batch(jobs.ingest_requests(batch)[0], out, batch_id)
+
+    jobs.run_batches(jobs.read_stream(spark, folder, df.schema, 1), sink, ck)
+    commits = [n for n in os.listdir(ck.removeprefix("file:") + "/commits") if n.isdigit()]
+    for name in (max(commits, key=int), f".{max(commits, key=int)}.crc"):
+        os.remove(f"{ck.removeprefix('file:')}/commits/{name}")
+    jobs.run_batches(jobs.read_stream(spark, folder, df.schema, 1), sink, ck)
+    assert sorted(r["request_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
 def test_latest_reply_ttl_variant(spark):
     m = spark.createDataFrame([(1, 0, "user", "q"), (1, 2, "assistant", "a2"), (1, 1, "assistant", "a1")],
                               "thread_id long, seq long, role string, text string")

@@ -104,6 +104,31 @@ def test_like_semantics(spark):
     assert got == [(1, 1), (1, 4), (1, 5), (2, 2), (4, 4)]
 
 
+def test_literal_mode_has_no_wildcards(spark):
+    qs = [(1, "50%"), (2, "a_b"), (3, ""), (4, "Tela")]
+    texts = [(1, "mais 50% hoje"), (2, "500"), (3, "xa_by"), (4, "axb"), (5, "a TELA"), (6, None)]
+    q = spark.createDataFrame(qs, "question_id long, question string")
+    c = spark.createDataFrame(texts, "image_row long, description string")
+    got = sorted(tuple(r) for r in match.like_matches(q, c, literal=True).collect())
+    assert got == sorted((i, j) for i, a in qs for j, b in texts if b is not None and a.lower() in b.lower())
+
+
+def test_letter_bound_never_drops_a_passing_pair(spark):
+    import random
+
+    from kbspark.functions.fuzzy import ratio_py
+    rnd = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta1", "omega", "日本"]
+    rows = [(i, " ".join(sorted(rnd.choice(words) + rnd.choice(["", "s", "x"]) for _ in range(rnd.randrange(1, 9))))) for i in range(120)]
+    q = spark.createDataFrame(rows, "_qk long, t string")
+    c = spark.createDataFrame(rows, "image_row long, u string")
+    got = {(r["_qk"], r["image_row"]): r["match_score"] for r in match.fuzzy_pairs(q, c, "image_row", "t", "u", 90).collect()}
+    from kbspark.functions.fuzzy import token_sort_key
+    keys = {r["_qk"]: r["k"] for r in q.select("_qk", token_sort_key("t").alias("k")).collect()}
+    want = {(i, j): ratio_py(keys[i], keys[j]) for i in keys for j in keys}
+    assert got == {k: v for k, v in want.items() if v >= 90}
+
+
 def test_hit_map_empty_for_no_hits(spark):
     q = spark.createDataFrame([(1, "tela"), (2, "zzz")], "question_id long, question string")
     c = spark.createDataFrame([(1, "tela", "a.png")], "image_row long, description string, filename string")

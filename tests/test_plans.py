@@ -58,17 +58,13 @@ def test_token_explodes_infer_no_size_filter(spark):
     assert not conds, conds
 
 
-def test_spread_only_between_bounds(spark, monkeypatch):
-    """Inputs inside the byte window are spread over the cores after the scan;
-    smaller or larger ones keep the scan's own splits."""
+def test_tables_keep_the_scans_splits_unless_the_session_asks(spark):
     import kbspark.session as ks
-    path = f"{SF_SMALL}/documents.parquet"
-    size = ks.estimated_bytes(spark.read.parquet(path))
-    assert size and size > 0
-    monkeypatch.setattr(ks, "SPREAD_MIN_BYTES", size + 1)
-    assert "RoundRobinPartitioning" not in plan(ks.read_table(spark, SF_SMALL, "documents"))
-    monkeypatch.setattr(ks, "SPREAD_MIN_BYTES", 0)
-    monkeypatch.setattr(ks, "SPREAD_MAX_BYTES", size)
-    assert "RoundRobinPartitioning" not in plan(ks.read_table(spark, SF_SMALL, "documents"))
-    monkeypatch.setattr(ks, "SPREAD_MAX_BYTES", size + 1)
-    assert "RoundRobinPartitioning" in plan(ks.read_table(spark, SF_SMALL, "documents"))
+    old = spark.conf.get(ks.READ_PARTITIONS, None)
+    try:
+        spark.conf.unset(ks.READ_PARTITIONS)
+        assert "RoundRobinPartitioning" not in plan(ks.read_table(spark, SF_SMALL, "documents"))
+        spark.conf.set(ks.READ_PARTITIONS, "4")
+        assert "RoundRobinPartitioning(4)" in plan(ks.read_table(spark, SF_SMALL, "documents"))
+    finally:
+        spark.conf.set(ks.READ_PARTITIONS, old) if old else spark.conf.unset(ks.READ_PARTITIONS)

@@ -95,10 +95,10 @@ def test_f11_links(spark):
 
 
 def test_f13_path_and_mime(spark):
-    df = spark.createDataFrame([("smt_figura1.PNG",), ("plain.jpg",), ("x_y.bin",)], "f string")
+    df = spark.createDataFrame([("smt_figura1.PNG",), ("plain.jpg",), ("x_y.qqq",), ("x_y.pdf",), ("noext",)], "f string")
     got = df.select(tx.image_path("f"), tx.image_mime("f")).collect()
     assert [tuple(r) for r in got] == [("smt/smt_figura1.PNG", "image/png"), ("plain.jpg/plain.jpg", "image/jpeg"),
-                                       ("x/x_y.bin", None)]
+                                       ("x/x_y.qqq", None), ("x/x_y.pdf", "application/pdf"), ("noext/noext", None)]
 
 
 def test_f15_base64_one_line(spark):
