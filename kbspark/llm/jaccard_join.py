@@ -59,15 +59,20 @@ def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SMALL_ROWS else table
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            yield whole.slice(at, SLICE)
+
+
 def _per_text(texts: DataFrame, schema: str, make) -> DataFrame:
     """``make(id, set) -> list of column arrays`` over slices of ``(id, text)``."""
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
-                ids, texts_ = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays(make(ids, [shingle_set(t or "", WORDS) for t in texts_]), names)
+        for batch in _slices(batches):
+            ids, texts_ = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays(make(ids, [shingle_set(t or "", WORDS) for t in texts_]), names)
 
     return texts.mapInArrow(run, schema)
 
@@ -113,11 +118,14 @@ def choose_prefix(n: int, low: int, tokens: np.ndarray, frequency: np.ndarray) -
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         out: list[list] = [[], [], [], [], []]
-        for doc, n, low, shared in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "low", "shared"))):
-            tokens = np.array([s["token"] for s in shared], dtype=np.int64)
-            length, prefix, level = choose_prefix(n, low, tokens, np.array([s["df"] for s in shared], dtype=np.int64))
+        shared = batch.column("shared")
+        cuts = shared.offsets.to_numpy() - shared.offsets[0].as_py()
+        pairs = shared.flatten()
+        token, df = pairs.field("token").to_numpy(), pairs.field("df").to_numpy()
+        for doc, n, low, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "low")), cuts[:-1], cuts[1:]):
+            length, prefix, level = choose_prefix(n, low, token[lo:hi], df[lo:hi])
             if (level == 1).any():
                 for column, value in zip(out, (doc, n, length, prefix.tolist(), level.tolist())):
                     column.append(value)
@@ -191,7 +199,7 @@ class Block:
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, part and role, queries first -> edges."""
     current, queries, block, edges = None, [], None, []
-    for batch in batches:
+    for batch in _slices(batches):
         for key, sub, part, role, *row in zip(*(batch.column(c).to_pylist() for c in ("core", "sub", "part", "role", "doc", "n", "l", "prefix", "level", "whole"))):
             if (key, sub, part) != current:
                 current, queries, block = (key, sub, part), [], None
