@@ -16,13 +16,14 @@ from kbspark.functions import text as tx
 from kbspark.operators.joins import maybe_broadcast
 
 # Fixed values of the reference: the status that releases a reply, the one
-# that asks for a tool call, and the system text of the request builder.
+# that asks for a tool call, and the type and names of calls that look up images.
 COMPLETED = "completed"
 REQUIRES_ACTION = "requires_action"
 TOOL_CALL_TYPE = "function"
 LOOKUP_FUNCTIONS = ("get_image", "get_images")
-REQUEST_SYSTEM_TEXT = ("Você é um assistente de suporte ao cliente prestativo. Responda no idioma português Brasil. "
-                       "Se você não encontrar a resposta no manual, não tente inventar uma resposta aleatória.")
+
+#: Default instruction of the request builder; deployments pass their own.
+SYSTEM_TEXT = "Responda dúvidas sobre os manuais. Quando o manual não trouxer a resposta, diga isso."
 
 
 def registry(lines: DataFrame, line_col: str = "line", order_col: str = "line_no") -> DataFrame:
@@ -103,10 +104,10 @@ def postprocess(messages: DataFrame, status: DataFrame, base_url: str) -> DataFr
     return last.select("thread_id", rec.alias("reply")).withColumn("reply_json", F.to_json("reply"))
 
 
-def request_rows(questions: DataFrame, q_id: str, text_col: str, hint_url: Column) -> DataFrame:
+def request_rows(questions: DataFrame, q_id: str, text_col: str, hint_url: Column, system_text: str = SYSTEM_TEXT) -> DataFrame:
     """System + user + (when a picture matched) assistant hint rows."""
     hint = F.when(hint_url.isNotNull(), F.format_string(tx.FOUND_TEMPLATE, hint_url))
-    msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(REQUEST_SYSTEM_TEXT).alias("content")),
+    msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_text).alias("content")),
                    F.struct(F.lit("user").alias("role"), F.col(text_col).alias("content")),
                    F.struct(F.lit("assistant").alias("role"), hint.alias("content")))
     kept = F.filter(msgs, lambda m: m["content"].isNotNull())

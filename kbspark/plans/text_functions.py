@@ -14,7 +14,7 @@ from kbspark.sources.fixtures import Fixtures
 IMAGE_BASE_URL = "/api/getImage/"
 
 _F7_SQL = r"\b[\p{L}\p{N}_]+_(?:figura|image|picture)[^\s]+\.(?:png|jpg|jpeg)\b"
-_F8_SQL = r"image_.*?\.(?:png|jpg)"
+_F8_SQL = tx.IMAGE_NAME_PATTERN_V0
 _NL2 = "concat(' ', chr(10), chr(10))"
 
 
@@ -116,7 +116,7 @@ def f10_image_urls(fx: Fixtures) -> DataFrame:
 n AS (SELECT thread_id, seq, text, list_transform(regexp_extract_all(text, '{_F8_SQL}'),
   lambda f: concat('{IMAGE_BASE_URL}', f)) AS urls FROM fx_messages)""") + f"""
 SELECT thread_id, seq, CASE WHEN len(urls) > 0 THEN concat(text, {_NL2}, array_to_string(list_transform(urls,
-  lambda u, i: printf('<a href="%s">Imagem: %d</a>', u, i)), chr(10))) ELSE text END AS text_out FROM n""")
+  lambda u, i: printf('{tx.LINK_TEMPLATE}', u, i)), chr(10))) ELSE text END AS text_out FROM n""")
 def f11_html_links(fx: Fixtures) -> DataFrame:
     """numbered links appended to each message (F8 names, as in the
     embedding-server variant)."""
@@ -129,7 +129,7 @@ def f11_html_links(fx: Fixtures) -> DataFrame:
 n AS (SELECT thread_id, seq, text, '{IMAGE_BASE_URL}' || regexp_extract_all(text, '{_F7_SQL}')[1] AS url FROM fx_messages)""")
     + f"""
 SELECT thread_id, seq, CASE WHEN url IS NOT NULL THEN concat(text, {_NL2},
-  printf('Encontrei este print no manual: [Clique aqui para ver](%s)', url)) ELSE text END AS text_out FROM n""")
+  printf('{tx.FOUND_TEMPLATE}', url)) ELSE text END AS text_out FROM n""")
 def f12_found_line(fx: Fixtures) -> DataFrame:
     """the "found this picture" line for the first image of a message."""
     m = fx.messages()

@@ -125,9 +125,9 @@ def t8_postprocess(fx: Fixtures) -> DataFrame:
 
 @register("t9_request_rows", with_views("fx_catalog", extra=m9_ctes() + f""",
 h AS (SELECT m9.question_id, '/api/images/' || c.filename AS url FROM m9 LEFT JOIN fx_catalog c ON c.image_row = m9.doc_id),
-rows AS (SELECT b.item_id AS question_id, 0 AS k, 'system' AS role, '{th.REQUEST_SYSTEM_TEXT}' AS content FROM benchmark b
+rows AS (SELECT b.item_id AS question_id, 0 AS k, 'system' AS role, '{th.SYSTEM_TEXT}' AS content FROM benchmark b
   UNION ALL SELECT item_id, 1, 'user', text FROM benchmark
-  UNION ALL SELECT question_id, 2, 'assistant', printf('Encontrei este print no manual: [Clique aqui para ver](%s)', url)
+  UNION ALL SELECT question_id, 2, 'assistant', printf('{tx.FOUND_TEMPLATE}', url)
   FROM h WHERE url IS NOT NULL)""") + """
 SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY k) - 1 AS INTEGER) AS pos, role, content FROM rows""")
 def t9_request_rows(fx: Fixtures) -> DataFrame:
