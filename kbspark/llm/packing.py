@@ -11,6 +11,8 @@ opened, and if there are too many, the fullest closes first.
 from __future__ import annotations
 
 import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,40 +28,58 @@ SEQUENCE = 2048
 OPEN = 1 << 15
 #: Pieces of one packer, about; the number of packers grows with the pieces.
 PACKER_PIECES = 1 << 16
-RECENT = 500_000
+RECENT = 300_000
 ID_BYTES = 4
 
 
-class WordIds:
+class WordIds(dict):
     """Ids (as little-endian bytes) of the blank-separated parts of texts.
 
-    The tokenizer's pre-tokenizer never joins across white space, so each part
-    is encoded alone; recent parts are kept in two generations of bounded size.
+    The tokenizer drops white space and never joins across it, so each part is
+    encoded alone.  Most parts are a word of plain letters and a mark behind
+    it: the tokenizer lower-cases the one and splits off the other, so both are
+    looked up on their own, and a plain word goes straight to the tokenizer's
+    model.  Recent parts are kept in two generations of bounded size.
     """
 
+    #: Letters that lower-case one by one and are composed already.
+    plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%&#$*|]*)").fullmatch
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a task already
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenise = self.tokenizer.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.raw = [i.to_bytes(ID_BYTES, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.recent) > RECENT:
-            self.recent, self.older = {}, self.recent
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        recent = self.recent
-        missing = [part for part in set().union(*parts) if part not in recent]
-        recent.update((part, self.older[part]) for part in missing if part in self.older)
-        missing = [part for part in missing if part not in recent]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at:at + 20_000]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                recent[part] = b"".join(map(self.raw.__getitem__, got.ids))
-        for words in parts:
-            yield b"".join(map(recent.__getitem__, words))
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self._encode(part)
+        if len(self) >= RECENT:
+            self.older = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def _encode(self, part: str) -> bytes:
+        if m := self.plain(part):
+            word, mark = m[1].lower(), m[2]
+            if mark:
+                return self[word] + self[mark]
+            if word != part:
+                return self[word]
+            return b"".join([self.raw[token.id] for token in self.tokenise(part.translate(self.letters))])
+        return b"".join(map(self.raw.__getitem__, self.tokenizer.encode(part, add_special_tokens=False).ids))
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=2)
@@ -77,10 +97,10 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
         for whole in batches:
-            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
                 rows: list[tuple] = []
-                for ident, raw in zip(batch.column(0).to_pylist(), coder.batch([t or "" for t in batch.column(1).to_pylist()])):
-                    raw += end
+                for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    raw = coder.ids(text or "") + end
                     rows += [(ident, k, k * sequence, len(cut) // ID_BYTES, zlib.crc32(cut), cut)
                              for k, cut in enumerate(raw[at:at + step] for at in range(0, len(raw), step))]
                 columns = list(zip(*rows))[:None if keep_ids else 5]
