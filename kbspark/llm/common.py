@@ -3,12 +3,10 @@ cluster's shared folder, and connected components of a link table."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.session import ensure_checkpoint_dir
+from kbspark.session import intermediate_path
 
 #: White space of the text contracts: space, tab, line feed, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,37 +16,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kbspark-{what}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
     lineage, survives lost executors, and gives the planner true sizes."""
-    path = fresh_path(df.sparkSession, what)
+    path = intermediate_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _signature(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most to a smaller one, which has none."""
+    ends = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    several = ends.where("n > 1").select("a")
+    chained = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+    return several.unionByName(chained).isEmpty()
 
 
 def connected_components(edges: DataFrame, what: str = "cc") -> DataFrame:
     """``edges(a, b)`` (longs, any direction, repeats and loops allowed) ->
     ``(node, component)`` with the smallest node of each connected component.
 
-    Alternates large-star and small-star rounds until the edge set no longer
-    changes; each round writes at most one row per edge, so the table never
-    grows.  A hub's edges meet in one key only in a minimum (combined on the
+    Alternates large-star and small-star rounds until the edges are stars around
+    the smallest nodes; a round writes at most one row per edge, so the table
+    never grows.  A hub's edges meet in one key only in a minimum (combined on the
     map side) and in joins against a written table, which Spark may split.
     Null ends are ignored; no edges give no rows.
     """
     cur = written(edges.where("a is not null and b is not null and a <> b")
                   .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
-    before = _signature(cur)
-    while before["n"]:
+    while not _are_stars(cur):
         # large star: every larger neighbour of u moves to the least of u's neighbourhood
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), what)
@@ -62,9 +58,5 @@ def connected_components(edges: DataFrame, what: str = "cc") -> DataFrame:
                                            F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
                  .select("e.a", "e.b").where("a <> b").distinct())
         cur = written(small, what)
-        after = _signature(cur)
-        if after == before:
-            break
-        before = after
     return (cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
