@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import fresh_path, written
+from kbspark.llm.common import written
+from kbspark.session import intermediate_path
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -111,7 +112,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     block = F.substring("rest", F.lit(1), F.length("rest") - 4)
     records = parts.select(field("WARC-Type").alias("kind"), ident("WARC-Record-ID").alias("record_id"),
                         ident("WARC-Concurrent-To").alias("concurrent_to"), ident("WARC-Refers-To").alias("refers_to"),
-                        field("WARC-Target-URI").alias("url"), field("WARC-Payload-Digest").alias("digest"),
+                        F.coalesce(field("WARC-Target-URI"), F.lit("")).alias("url"), field("WARC-Payload-Digest").alias("digest"),
                         F.when(F.octet_length(block) == field("Content-Length").cast("long"), block).alias("block"))
     payload = F.when(F.col("kind") == "response", http_payload(F.col("block")))
     with_payload = records.select("*", payload.alias("payload"))
@@ -153,6 +154,6 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     never refer nor are referred to by id.  Repeated rows give a capture each.
     Empty tables give empty archives and no rows.
     """
-    path = fresh_path(pages.sparkSession, "warc")
+    path = intermediate_path(pages.sparkSession, "warc")
     write_captures(plan_captures(pages, id_col, url_col, payload_col, least_bytes), path)
     return assemble(read_records(pages.sparkSession, path))
