@@ -141,10 +141,12 @@ def t9_request_rows(fx: Fixtures) -> DataFrame:
 
 @register("t10_tool_dispatch", with_views("fx_catalog", "fx_tool_calls", "fx_runs_status", extra="""
 fr AS (SELECT filename, arg_min_null(description, image_row) AS description, true AS hit FROM fx_catalog GROUP BY filename),
-w AS (SELECT t.call_id, t.call_id AS thread_id, unnest(list_prepend(json_extract_string(t.arguments, '$.filename'),
-    json_extract_string(t.arguments, '$.query[*]'))) AS filename
-  FROM fx_tool_calls t JOIN fx_runs_status s ON s.thread_id = t.call_id AND s.status = 'requires_action'
-  WHERE t.call_type = 'function' AND t.function_name IN ('get_image', 'get_images'))""") + """
+asked AS (SELECT call_id, json_extract_string(arguments, '$.filename') AS filename FROM fx_tool_calls
+    WHERE call_type = 'function' AND function_name IN ('get_image', 'get_images')
+  UNION ALL SELECT call_id, unnest(json_extract_string(arguments, '$.query[*]')) FROM fx_tool_calls
+    WHERE call_type = 'function' AND function_name IN ('get_image', 'get_images')),
+w AS MATERIALIZED (SELECT call_id, call_id AS thread_id, filename FROM asked
+  WHERE call_id IN (SELECT thread_id FROM fx_runs_status WHERE status = 'requires_action'))""") + """
 SELECT w.call_id, w.thread_id, 'tool' AS role, w.filename,
   CASE WHEN fr.hit THEN fr.description ELSE 'sem descricao' END AS description
 FROM w LEFT JOIN fr ON fr.filename = w.filename WHERE w.filename IS NOT NULL""")
