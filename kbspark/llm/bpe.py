@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 WORD = 8
 MASK = (1 << WORD) - 1
-RECENT = 500_000
+RECENT = 800_000
 
 
 class Recent(dict):
