@@ -7,8 +7,10 @@ a host of any size is counted with map-side partial sums and no task ever holds
 a vector.  A class is valid if enough pages carry it and a tag belongs to it.
 Valid classes nest by the paths of their tags into the host's template; texts
 in them are fixed, and what varies between them are the slots.  A page's main
-text are its slots inside the content element, without page furniture; on hosts
-whose pages mark no content element it is the slot container with most text.
+text are its slots inside the content element, without page furniture; a page
+that marks no content element keeps all its slots.  Where no template covers a
+place, a lone label there (short bare text in a container of its own) is dropped
+unless the page has nothing else.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from kbspark.llm.html_pages import Block, read_page
 
 #: Different pages of a host that a class must be on before its texts count as fixed.
 SUPPORT = 20
-TAG, TEXT, MASS = 0, 1, 2
+TAG, TEXT, SLOT = 0, 1, 2
 #: A page is one token of its own: its vector is 1 everywhere, and so is the root class's.
 ROOT = "#page"
+#: Characters that bare text of a container, which no template covers, may have as a label.
+LABEL = 40
+SENTENCE = re.compile(r"""[.!?:;…。！？]["'”’)\]]*$""")
 LEAF = re.compile(r"/(?:p|li|h[1-6]|dt|dd|td|th|tr|blockquote|pre)(?:\.[^/]*)?$")
 
 
@@ -52,8 +57,8 @@ def _host(url):
 
 def page_tokens(pages: DataFrame) -> DataFrame:
     """``(host, page, token, kind, n, path, parent)`` of ``(host, html)``: tags
-    and texts with their counts on the page, and the text length (``n``) of each
-    container of unmarked pages."""
+    and texts with their counts on the page, and the places of text on unmarked
+    pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -65,14 +70,12 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     rows.append((host, key, token(ROOT), TAG, 1, ROOT, None))
                     rows += [(host, key, token(path), TAG, n, path, None) for path, n in tags.items()]
                     counts: dict[tuple[str, str], int] = {}
-                    mass: dict[str, int] = {}
-                    marked = any(b.content for b in blocks)
+                    marked = content_kind(blocks)
                     for b in blocks:
                         counts[b.path, b.text] = counts.get((b.path, b.text), 0) + 1
-                        if not (marked or b.furniture):
-                            mass[container(b.path)] = mass.get(container(b.path), 0) + len(b.text)
                     rows += [(host, key, token(path, text), TEXT, n, None, token(path)) for (path, text), n in counts.items()]
-                    rows += [(host, key, token(path), MASS, n, path, None) for path, n in mass.items()]
+                    if not marked:
+                        rows += [(host, key, token(path), SLOT, 1, None, None) for path in {container(b.path) for b in blocks if not b.furniture}]
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "page", "token", "kind", "n", "path", "parent"])
 
@@ -80,9 +83,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def deduce_templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """One row per host: ``host, fixed`` (tokens of its fixed texts), ``slots``
-    (paths of its template's tags) and ``body`` (container with most text of
-    pages without a content element)."""
+    """One row per host: ``host, fixed`` (tokens of its fixed texts) and
+    ``slots`` (tokens of the template's containers with text on unmarked pages)."""
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
     counted = written(page_tokens(pages).groupBy("host", "kind", "token")
                       .agg(F.count(F.lit(1)).alias("pages"), F.approx_count_distinct("page", 0.02).alias("different"), vector,
@@ -97,22 +99,32 @@ def deduce_templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     fixed = (texts.join(classes.select("host", "vector", "pages"), ["host", "vector", "pages"], "left_semi")
              .join(tags, ["host", "parent"], "left_semi")
              .groupBy("host").agg(F.collect_set("text_token").alias("fixed")))
-    slots = classes.groupBy("host").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("slots"))
-    body = counted.where(F.col("kind") == MASS).groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("body"))
+    places = counted.where(F.col("kind") == SLOT).select("host", F.col("token").alias("parent"))
+    slots = places.join(tags, ["host", "parent"], "left_semi").groupBy("host").agg(F.collect_set("parent").alias("slots"))
     hosts = counted.where(F.col("path") == ROOT).select("host")
-    return hosts.join(fixed, "host", "left").join(slots, "host", "left").join(body, "host", "left")
+    return hosts.join(fixed, "host", "left").join(slots, "host", "left")
 
 
-def main_blocks(blocks: list[Block], fixed: set[int], body: str | None) -> list[Block]:
+def content_kind(blocks: list[Block]) -> str | None:
+    """The element that marks the content of a page, if one does."""
+    return next((k for k in ("main", "article") if any(b.content == k and not b.furniture for b in blocks)), None)
+
+
+def _without_labels(blocks: list[Block], slots: set[int]) -> list[Block]:
+    """The blocks of an unmarked page without lone labels outside the template."""
+    texts: dict[str, list[Block]] = {}
+    for b in blocks:
+        texts.setdefault(container(b.path), []).append(b)
+    labels = {path for path, (first, *more) in texts.items()
+              if not more and first.path == path and len(first.text) <= LABEL and not SENTENCE.search(first.text) and token(path) not in slots}
+    return [b for b in blocks if container(b.path) not in labels] or blocks
+
+
+def main_blocks(blocks: list[Block], fixed: set[int], slots: set[int] | None) -> list[Block]:
     """The blocks of a page that are its main text."""
-    kind = next((k for k in ("main", "article") if any(b.content == k and not b.furniture for b in blocks)), None)
-    if kind:
-        own = [b for b in blocks if b.content == kind]
-    else:
-        around = body.rpartition("/")[0] if body else ""
-        own = [b for b in blocks if body is None or b.path == body or b.path.startswith(body + "/")
-               or around and re.fullmatch(re.escape(around) + r"/h[1-3](\.[^/]*)?", b.path)]
-    return [b for b in own if not b.furniture and not (fixed and token(b.path, b.text) in fixed)]
+    kind = content_kind(blocks)
+    own = [b for b in blocks if not b.furniture and (not kind or b.content == kind) and not (fixed and token(b.path, b.text) in fixed)]
+    return own if kind else _without_labels(own, slots or set())
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: int = SUPPORT) -> DataFrame:
@@ -125,23 +137,23 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows; an empty table gives none.  Other columns are not read.
     """
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), _host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    templates = written(deduce_templates(pages, support), "templates").select("host", "fixed", "body")
+    templates = written(deduce_templates(pages, support), "templates").select("host", "fixed", "slots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict[str, tuple[set[int], str | None]] = {}
+        kinds: dict[str, tuple[set[int], set[int]]] = {}
         for whole in batches:
             for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
                 texts, found = [], []
-                for host, page, fixed, body in zip(*(batch.column(name).to_pylist() for name in ("host", "html", "fixed", "body"))):
+                for host, page, fixed, slots in zip(*(batch.column(name).to_pylist() for name in ("host", "html", "fixed", "slots"))):
                     if host not in kinds:
                         if len(kinds) > 1000:
                             kinds.clear()
-                        kinds[host] = set(fixed or ()), body
+                        kinds[host] = set(fixed or ()), set(slots or ())
                     own = main_blocks(read_page(page or "")[0], *kinds[host])
                     texts.append(" ".join(b.text for b in own))
                     found.append([{"path": b.path, "text": b.text} for b in own])
                 struct = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(found, struct)], ["id", "url", "text", "blocks"])
 
-    return pages.join(templates, "host", "left").select("id", "url", "host", "html", "fixed", "body").mapInArrow(
+    return pages.join(templates, "host", "left").select("id", "url", "host", "html", "fixed", "slots").mapInArrow(
         run, "id long, url string, text string, blocks array<struct<path:string,text:string>>")

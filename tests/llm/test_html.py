@@ -70,3 +70,20 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = extract(spark, [(1, None, None), (2, "not a url", "<article>x</article>"), (2, "not a url", "<article>x</article>"), (None, "http://h/", "")])
     assert sorted((str(r.id), r.text) for r in got) == [("1", ""), ("2", "x"), ("2", "x"), ("None", "")]
     assert extract(spark, []) == []
+
+
+def test_unmarked_pages_keep_all_their_slots(spark):
+    def post(k):
+        return f"<body><div class=top>Brand</div><div class=post><p>Post {k} has quite a long text for a page of this host.</p></div><div class=by>Author {k}</div></body>"
+
+    def story(k):
+        return f"<body><div class=top>Brand</div><div class=story><p>Story {k}.</p></div><div class=end>Office hours</div></body>"
+
+    split = "<body><section id=history><p>Long history of the place.</p></section><section id=plan><p>Plan.</p></section><div>a<br>b</div><div class=top>Brand</div></body>"
+    rows = [(k, "http://two/", post(k)) for k in range(25)] + [(100 + k, "http://two/", story(k)) for k in range(25)]
+    rows += [(200, None, split), (201, "no url", "<body><div class=other><p>Elsewhere.</p></div></body>"), (202, "", "<body><div class=only>Only this</div></body>")]
+    got = {r.id: r.text for r in extract(spark, rows)}
+    assert got[3] == "Post 3 has quite a long text for a page of this host. Author 3"
+    assert got[103] == "Story 3."
+    assert got[200] == "Long history of the place. Plan. a b"
+    assert (got[201], got[202]) == ("Elsewhere.", "Only this")
