@@ -25,7 +25,14 @@ FURNITURE_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus
     footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo
     promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget""".split())
+#: Words that also name parts of an article's own text (its header, a section on search engines, a menu).
+AMBIGUOUS = frozenset(
+    """advertising banner consent cookie cookies disclaimer header login masthead menu modal navigation newsletter notice notices notification overlay
+    promotion recommended related replies reply search share sharing skip social sponsor sponsored subscribe widget""".split())
 CONTENT = ("main", "article")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Ids of sections that are no slugs of their headings.
+SECTION_IDS = frozenset("comments disqus sidebar".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -38,15 +45,26 @@ class Block(NamedTuple):
     content: str  # "main", "article" or ""
 
 
+def _clear(name: str) -> bool:
+    """Whether a whole class or id says page furniture even inside an article."""
+    words = name.split("-")
+    return all(w in FURNITURE_WORDS for w in words) and any(w not in AMBIGUOUS for w in words)
+
+
 @functools.lru_cache(maxsize=4096)
-def _element(tag: str, attributes: str) -> tuple[str, bool]:
-    """``(name in paths, furniture by itself)`` of a start tag."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """``(name in paths, furniture by itself, furniture inside content)`` of a start tag."""
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    names = f"{got.get('class', '')} {got.get('id', '')}".lower()
-    words = [w for w in re.split(r"[^a-z]+", names) if w]
+    classes, ident = got.get("class", "").lower(), got.get("id", "").lower()
+    words = [w for w in re.split(r"[^a-z]+", f"{classes} {ident}") if w]
     furniture = (tag in FURNITURE_TAGS or got.get("role", "").lower() in FURNITURE_ROLES or "hidden" in got or got.get("aria-hidden") == "true"
-                 or bool(re.search(r"display\s*:\s*none", got.get("style", ""), re.I)) or any(w in FURNITURE_WORDS for w in words) and tag not in ("html", "body", *CONTENT))
-    return ".".join([tag, *sorted(set(words))]), furniture
+                 or bool(re.search(r"display\s*:\s*none", got.get("style", ""), re.I)))
+    # ids of headings, and of sections, are mostly slugs of their titles
+    slug = tag in HEADINGS or tag == "section" and ident not in SECTION_IDS
+    named = tag not in ("html", "body", *CONTENT)
+    outside = named and any(w in FURNITURE_WORDS for w in re.split(r"[^a-z]+", classes if slug else f"{classes} {ident}"))
+    inside = named and any(map(_clear, classes.split() + [ident] * (not slug)))
+    return ".".join([tag, *sorted(set(words))]), furniture or outside, furniture or inside
 
 
 def read_page(page: str) -> tuple[list[Block], Counter]:
@@ -112,9 +130,9 @@ def read_page(page: str) -> tuple[list[Block], Counter]:
                 if open_element[0] in FURNITURE_TAGS or open_element[0] == "header":
                     close(depth)
                     break
-        name, furniture = _element(tag, m[3] or m[6] or "")
+        name, outside, inside = _element(tag, m[3] or m[6] or "")
         # a page's header is furniture; an article's header may hold its headings
-        furniture = here[2] or furniture or tag == "header" and not here[3]
+        furniture = here[2] or (inside if here[3] else outside or tag == "header")
         here = (tag, f"{here[1]}/{name}", furniture, here[3] or (tag if tag in CONTENT else ""))
         stack.append(here)
         tags[here[1]] += 1

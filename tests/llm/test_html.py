@@ -87,3 +87,12 @@ def test_unmarked_pages_keep_all_their_slots(spark):
     assert got[103] == "Story 3."
     assert got[200] == "Long history of the place. Plan. a b"
     assert (got[201], got[202]) == ("Elsewhere.", "Only this")
+
+
+def test_names_inside_an_article_drop_clear_furniture_only():
+    page = """<body><div class="site-header"><p>Site</p></div><article><header class="entry-header"><h1>Title</h1></header><div class="article-header">By Jo</div>
+    <h2 id="search-engines">Search</h2><section id="social-impact"><p>Impact</p></section><section id="related-work" class="related"><p>Work</p></section>
+    <section id="advertising"><p>History of ads</p></section><h2 class="widget" id="comments">Remarks</h2><div class="share-price">Price</div>
+    <div class="ad-banner">Buy</div><div id="comments">troll</div><div class="box sidebar">Side</div><p>End</p></article></body>"""
+    assert text_of(page) == "Title By Jo Search Impact Work History of ads Remarks Price End"
+    assert text_of("<body><h2 id='social'>Social</h2><section id='search-engines'><p>Engines</p></section><div class='site-search'>Go</div></body>") == "Social Engines"
