@@ -4,9 +4,11 @@ Every tag path and every block of text is a token.  Tokens of one host that
 occur equally often on every page share an occurrence vector and form an
 equivalence class; the vectors are compared by an order-free hash sum, so that
 a host of any size is counted with map-side partial sums and no task ever holds
-a vector.  A class is valid if enough pages carry it and a tag belongs to it.
-Valid classes nest by the paths of their tags into the host's template; texts
-in them are fixed, and what varies between them are the slots.  A page's main
+a vector.  A class is valid if enough different pages carry it and a tag belongs
+to it.  The tags of valid classes are the host's template.  They nest by their
+paths, and need no join for it: a page with a tag has the tag's parent, so the
+parent is on at least as many different pages and valid too.  Texts with the
+vector of a valid class are fixed, and what varies between them are the slots.  A page's main
 text are its slots inside the content element, without page furniture; a page
 that marks no content element keeps all its slots.  Where no template covers a
 place, a lone label there (short bare text in a container of its own) is dropped
@@ -56,47 +58,52 @@ def _host(url):
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """``(host, page, token, kind, n, path, parent)`` of ``(host, html)``: tags
-    and texts with their counts on the page, and the places of text on unmarked
+    """``(host, page, copies, token, kind, n, path, parent)`` of ``(host, html,
+    page, copies)``: tags and texts with their counts on the page, and the places of text on unmarked
     pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
                 rows = []
-                for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    blocks, tags = read_page(page or "")
-                    key = token("", page or "")
-                    rows.append((host, key, token(ROOT), TAG, 1, ROOT, None))
-                    rows += [(host, key, token(path), TAG, n, path, None) for path, n in tags.items()]
+                for host, page, key, copies in zip(*(column.to_pylist() for column in batch.columns)):
+                    blocks, tags = read_page(page)
+                    key = key, copies
+                    rows.append((host, *key, token(ROOT), TAG, 1, ROOT, None))
+                    rows += [(host, *key, token(path), TAG, n, path, None) for path, n in tags.items()]
                     counts: dict[tuple[str, str], int] = {}
                     marked = content_kind(blocks)
                     for b in blocks:
                         counts[b.path, b.text] = counts.get((b.path, b.text), 0) + 1
-                    rows += [(host, key, token(path, text), TEXT, n, None, token(path)) for (path, text), n in counts.items()]
+                    rows += [(host, *key, token(path, text), TEXT, n, None, token(path)) for (path, text), n in counts.items()]
                     if not marked:
-                        rows += [(host, key, token(path), SLOT, 1, None, None) for path in {container(b.path) for b in blocks if not b.furniture}]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "page", "token", "kind", "n", "path", "parent"])
+                        rows += [(host, *key, token(path), SLOT, 1, None, None) for path in {container(b.path) for b in blocks if not b.furniture}]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "page", "copies", "token", "kind", "n", "path", "parent"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, page long, token long, kind int, n long, path string, parent long")
+    return pages.select("host", "html", "page", "copies").mapInArrow(run, "host string, page long, copies long, token long, kind int, n long, path string, parent long")
 
 
 def deduce_templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     """One row per host: ``host, fixed`` (tokens of its fixed texts) and
     ``slots`` (tokens of the template's containers with text on unmarked pages)."""
+    html = F.coalesce("html", F.lit(""))
+    keyed = pages.select("host", html.alias("html"), F.xxhash64(html).alias("page"))
+    copies = written(keyed.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    keyed = keyed.join(copies, ["host", "page"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    # the copies of a page count as one page together, so that partial sums give the exact number of different pages
+    different = F.round(F.sum(F.lit(1.0) / F.col("copies"))).cast("long").alias("different")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
-    counted = written(page_tokens(pages).groupBy("host", "kind", "token")
-                      .agg(F.count(F.lit(1)).alias("pages"), F.approx_count_distinct("page", 0.02).alias("different"), vector,
-                           F.sum("n").alias("n"), F.min("path").alias("path"), F.min("parent").alias("parent"))
+    counted = written(page_tokens(keyed).groupBy("host", "kind", "token")
+                      .agg(F.count(F.lit(1)).alias("pages"), different, vector,
+                           F.min("path").alias("path"), F.min("parent").alias("parent"))
                       .where((F.col("kind") != TEXT) | (F.col("pages") >= support)), "tokens")
-    classes = (counted.where(F.col("kind") == TAG).groupBy("host", "vector", "pages")
-               .agg(F.max("different").alias("seen"), F.collect_set("path").alias("paths")).where(F.col("seen") >= support))
-    # nesting: a class lies in the class of the shortest path among its tags; a
-    # text is fixed if its vector is a class's and its tag lies in the template
+    valid = counted.where((F.col("kind") == TAG) & (F.col("different") >= support))
+    classes = valid.select("host", "vector", "pages").distinct()
+    # a text is fixed if its vector is a class's and its tag lies in the template
     texts = counted.where(F.col("kind") == TEXT).select("host", "vector", "pages", F.col("token").alias("text_token"), "parent")
-    tags = counted.where((F.col("kind") == TAG) & (F.col("different") >= support)).select("host", F.col("token").alias("parent"))
-    fixed = (texts.join(classes.select("host", "vector", "pages"), ["host", "vector", "pages"], "left_semi")
+    tags = valid.select("host", F.col("token").alias("parent"))
+    fixed = (texts.join(classes, ["host", "vector", "pages"], "left_semi")
              .join(tags, ["host", "parent"], "left_semi")
              .groupBy("host").agg(F.collect_set("text_token").alias("fixed")))
     places = counted.where(F.col("kind") == SLOT).select("host", F.col("token").alias("parent"))

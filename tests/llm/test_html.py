@@ -96,3 +96,21 @@ def test_names_inside_an_article_drop_clear_furniture_only():
     <div class="ad-banner">Buy</div><div id="comments">troll</div><div class="box sidebar">Side</div><p>End</p></article></body>"""
     assert text_of(page) == "Title By Jo Search Impact Work History of ads Remarks Price End"
     assert text_of("<body><h2 id='social'>Social</h2><section id='search-engines'><p>Engines</p></section><div class='site-search'>Go</div></body>") == "Social Engines"
+
+
+def test_support_is_an_exact_number_of_different_pages(spark):
+    def page(h, k):
+        return f"<article><h1>Page {k} of {h}</h1><p>The same words.</p></article>"
+
+    rows = [(h, f"http://h{h}/", page(h, k)) for h in range(200) for k in range(20)]
+    rows += [(500 + h, f"http://g{h}/", page(h, k)) for h in range(50) for k in range(19) for _ in range(1 + k % 3)]
+    got = extract(spark, rows)
+    assert len(got) == len(rows)
+    assert all(r.text.endswith("The same words.") == (r.id >= 500) for r in got)
+
+
+def test_the_template_names_its_slots_by_path(spark):
+    rows = [(k, f"<body><div class=by>Author {k}</div><div class=t>T</div></body>") for k in range(20)] + [(99, "<body><div class=once>Once</div></body>")]
+    (host,) = html_extract.deduce_templates(spark.createDataFrame([("h", p) for _, p in rows], "host string, html string")).collect()
+    place = html_extract.token
+    assert set(host.slots) == {place("/body/div.by"), place("/body/div.t")} and set(host.fixed) == {place("/body/div.t", "T")}
