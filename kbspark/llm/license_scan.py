@@ -2,9 +2,14 @@
 their sets of word bigrams.
 
 A document is compared as a whole, by paragraphs (between blank lines) and by
-lines, so that a notice inside a long text is found.  A coefficient of t needs
-the smaller set to have at least t / (2 - t) of the larger one's bigrams, so
-only templates of fitting size are looked at.
+lines, and by windows over its sequence of words across line and paragraph
+breaks, so that a notice inside a long text is found however it is laid out.  A
+coefficient of t needs the smaller set to have at least t / (2 - t) of the
+larger one's bigrams, so only templates of fitting size are looked at, and a
+window is at most (2 - t) / t times as long as its template.  Bigrams at its
+ends that the template lacks only lower its coefficient, so windows start and
+end with the template's bigrams; and they need t / (2 - t) of the template's
+bigrams, so stretches with fewer are skipped.  Both lose nothing.
 """
 
 from __future__ import annotations
@@ -74,6 +79,7 @@ class Scanner:
         self.sizes = [n for n, _ in self.by_size]
         self.sets = sets
         self.known = frozenset().union(*sets.values())
+        self.lengths = {name: len(words_of(text)) - 1 for name, text in (templates or TEMPLATES).items()}
 
     def best(self, found: set[tuple[str, str]]) -> tuple[int, int, str] | None:
         """``(shared, both sizes, template)`` of the most alike template in reach."""
@@ -89,26 +95,98 @@ class Scanner:
                     best = this
         return best
 
+    def windows(self, words: list[str], own: set[tuple[str, str]] | None = None) -> Iterator[tuple[int, int, str, int, int]]:
+        """``(shared, both sizes, template, first word, last word)`` of the most
+        alike window that reaches a template, for each template and first word."""
+        grams = list(zip(words, words[1:]))
+        own = set(grams) if own is None else own
+        p = self.percent
+        at: dict[tuple[str, str], list[int]] | None = None
+        for size, name in self.by_size:
+            template = self.sets[name]
+            least, most, longest = -(-p * size // (200 - p)), (200 - p) * size // p, (200 - p) * self.lengths[name] // p
+            common = own & template
+            if len(common) < least:
+                continue
+            if at is None:
+                at = {}
+                for i, gram in enumerate(grams):
+                    if gram in self.known:
+                        at.setdefault(gram, []).append(i)
+            places = sorted(i for gram in common for i in at[gram])
+            for k in range(len(places) - least + 1):
+                first = places[k]
+                if places[k + least - 1] - first >= longest:
+                    continue
+                found: set[tuple[str, str]] = set()
+                top, shared, done = None, 0, first
+                for last in places[k:bisect_left(places, first + longest, k)]:
+                    new = grams[last] not in found
+                    found.update(grams[done:last + 1])
+                    done = last + 1
+                    if len(found) > most:
+                        break
+                    shared += new
+                    both = len(found) + size
+                    if 200 * shared >= p * both and (top is None or shared * top[1] > top[0] * both):
+                        top = shared, both, name, first, last + 1
+                if top:
+                    yield top
+
     def scan(self, text: str) -> tuple[str, float, int] | None:
-        """``(licence, coefficient, places)`` of the best of all parts."""
+        """``(licence, coefficient, places)`` of the best of all parts and windows."""
         plain = NOT_WORD.sub(" ", text).lower()
-        whole = bigrams(plain.split())
+        words = plain.split()
+        whole = bigrams(words)
         if whole.isdisjoint(self.known):
             return None
-        lines = [words for words in (line.split() for line in plain.split("\n")) if len(words) > 1]
-        parts = [bigrams(words) for words in lines]
-        paragraphs = BLANK.split(plain)
-        parts += [bigrams(p.split()) for p in paragraphs if "\n" in p.strip("\n ")]
+        hits, spans, at = [], [], 0  # spans: first and last word of the parts that reach a template
+
+        def look(part: list[str], start: int) -> None:
+            if len(part) > 1 and not (found := bigrams(part)).isdisjoint(self.known) and (hit := self.best(found)):
+                hits.append(hit)
+                spans.append((start, start + len(part) - 1))
+
+        for line in plain.split("\n"):
+            part = line.split()
+            look(part, at)
+            at += len(part)
+        paragraphs, at = BLANK.split(plain), 0
+        for paragraph in paragraphs:
+            part = paragraph.split()
+            if "\n" in paragraph.strip("\n "):
+                look(part, at)
+            at += len(part)
         if len(paragraphs) > 1:
-            parts.append(whole)
-        hits = [hit for part in parts if not part.isdisjoint(self.known) and (hit := self.best(part))]
+            look(words, 0)
+        found = sorted(self.windows(words, whole), key=lambda w: (w[3], w[4]))
+        places = len(hits) + _further(spans, [w[3:] for w in found])
+        hits += [w[:3] for w in found]
         if not hits:
             return None
         top = hits[0]
         for hit in hits[1:]:
             if hit[0] * top[1] > top[0] * hit[1] or hit[0] * top[1] == top[0] * hit[1] and hit[2] < top[2]:
                 top = hit
-        return top[2], 2 * top[0] / top[1], len(hits)
+        return top[2], 2 * top[0] / top[1], places
+
+
+def _further(spans: list[tuple[int, int]], windows: list[tuple[int, int]]) -> int:
+    """How many groups of overlapping windows (sorted) share no word with a span."""
+    groups: list[list[int]] = []
+    for first, last in windows:
+        if groups and first <= groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], last)
+        else:
+            groups.append([first, last])
+    ends, k, n = sorted(spans), 0, 0
+    reach = -1  # last word of the spans that start before the group ends
+    for first, last in groups:
+        while k < len(ends) and ends[k][0] <= last:
+            reach = max(reach, ends[k][1])
+            k += 1
+        n += reach < first
+    return n
 
 
 @functools.lru_cache(maxsize=4)
@@ -118,8 +196,9 @@ def scanner(percent: int) -> Scanner:
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per row of ``df``: ``id, licence, dice, places``: the most alike
-    template of any part of the text (null if none reaches ``percent``), its
-    coefficient (0 if none) and how many parts reach a template.
+    template of any part or window of the text (null if none reaches
+    ``percent``), its coefficient (0 if none) and how many parts reach a
+    template, with the places that only windows reach.
 
     Ties go to the smaller template name.  Null and empty texts, and texts with
     fewer than two words, find nothing.  Null and repeated ids are kept row by
