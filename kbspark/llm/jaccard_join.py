@@ -309,8 +309,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the rows of one id of each group of near copies, the
-    smallest, all columns as they are; rows with a null id stay."""
-    found = near_duplicates(df, id_col, text_col)
-    gone = written(found.where("id <> component_id").select(F.col("id").alias("__kb_id")).distinct(), "gone")
-    return df.join(_sized(gone), df[id_col].cast("long") == gone["__kb_id"], "left_anti")
+    """``df`` with one text of each group of near copies, that of the smallest
+    id, all columns as they are.
+
+    Groups are made of texts: rows that share an id are decided each by its own
+    text, and of near copies with the smallest id one stays.  Rows equal in id
+    and text stay or go together.  Rows with a null id or without words stay.
+    """
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    schema = "id long, n long, doc long, low long"
+    info = written(_per_text(texts, schema, _info), "info")
+    component = written(connected_components(link_sets(texts, info), "near"), "component").withColumnRenamed("node", "doc")
+    known = info.where("n > 0 and id is not null")
+    repeated = written(info.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "repeated")
+    several = not repeated.isEmpty()
+    rows = known.select("id", "doc", F.lit(0).cast("long").alias("key"))
+    if several:  # these rows are told apart by their texts
+        own = written(texts.join(_sized(repeated), "id", "left_semi").select("id", F.xxhash64("text").alias("key"), "text"), "own")
+        sets = _per_text(own.select(F.col("key").alias("id"), "text"), schema, _info).where("n > 0").select(F.col("id").alias("key"), "doc").distinct()
+        rows = (rows.join(_sized(repeated), "id", "left_anti")
+                .unionByName(own.select("id", "key").distinct().join(written(sets, "sets"), "key").select("id", "doc", "key")))
+    named = written(rows.join(component, "doc", "left").select("id", "key", F.coalesce("component", "doc").alias("component"), F.struct("id", "doc", "key").alias("row")), "named")
+    kept = written(named.groupBy("component").agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "kept")
+    gone = written(named.join(kept, "component").where("row <> kept").select(F.col("id").alias("__kb_id"), F.col("key").alias("__kb_key")), "gone")
+    same = df[id_col].cast("long") == F.col("__kb_id")
+    if not several:
+        return df.join(_sized(gone.select("__kb_id")), same, "left_anti")
+    single = gone.join(_sized(repeated), F.col("__kb_id") == F.col("id"), "left_anti").select("__kb_id")
+    mixed = gone.join(_sized(repeated), F.col("__kb_id") == F.col("id"), "left_semi")
+    return (df.join(_sized(written(single, "single")), same, "left_anti")
+            .join(_sized(written(mixed, "mixed")), same & (F.xxhash64(df[text_col]) == F.col("__kb_key")), "left_anti"))

@@ -106,6 +106,22 @@ def test_drop_near_copies_keeps_columns(make_docs, clash):
     assert {r.doc_id for r in kept.collect()} == want | {None}
 
 
+def test_rows_that_share_an_id_are_dropped_by_their_own_text(make_docs, clash):
+    rng = random.Random(11)
+    (a, b), (c, d), (e, f), (g, h, i) = ([t for _, t in family(rng, 0, n, 60, 1)] for n in (2, 2, 2, 3))
+    g, h, i = g + " x", g + " y", g + " z"
+    clean, upper = "other words stand all alone here", a.upper()
+    rows = [(1, a), (2, b + " z"), (2, clean), (2, ""), (2, None), (3, c), (4, d + " z"), (4, e), (7, f + " z"), (8, g), (8, h), (9, i), (1, upper), (None, a)]
+    docs = make_docs(rows, **clash)
+    kept = jaccard_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    for one_of in ([(1, a), (1, upper)], [(8, g), (8, h)]):
+        assert sum(row in got for row in one_of) == 1
+        got = [row for row in got if row not in one_of]
+    assert sorted(got, key=str) == sorted([(2, clean), (2, ""), (2, None), (3, c), (4, e), (None, a)], key=str)
+
+
 def test_shingles_of_the_contract():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a b")) == 1 and len(shingle_set(" \n")) == 0
     assert (shingle_set("A\x0bB c") == shingle_set("a b\tc")).all()
