@@ -189,5 +189,6 @@ def op10_warc(spark, sf_dir):
     got = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     said = F.regexp_extract("metadata", r"X-Payload-Bytes: (\d+)", 1).cast("long")
     return got.select(F.regexp_extract("record_id", r"^(-?\d+):", 1).try_cast("long").alias("page_id"),
-                      F.coalesce("payload_bytes", said).alias("payload_bytes"), F.coalesce("payload_digest", "digest").alias("payload_digest"),
+                      F.when(F.col("kind") == "revisit", said).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+                      F.when(F.col("kind") == "revisit", F.col("digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
                       F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))

@@ -10,7 +10,9 @@ Archives are written and read by Spark's own text source, so they may lie in
 any store Spark reaches and are streamed record by record: records end with
 CR LF CR LF, and the reader splits at the version line that starts one.
 A payload that contains that line itself is sent with a content coding that
-breaks each occurrence by a backslash, so that splitting stays exact.
+breaks each occurrence by a backslash, so that splitting stays exact.  So is a
+payload that ends in the version, which the closing CR LF would complete; a url
+that ends in it is percent-encoded there.
 """
 
 from __future__ import annotations
@@ -50,7 +52,8 @@ def _record(kind: Column, ident: Column, concurrent: Column | None, url: Column,
 
 
 def _coded(payload: Column) -> Column:
-    return F.replace(F.replace(payload, F.lit("\\"), F.lit("\\\\")), F.lit(MARK), F.lit("\\" + MARK[0] + "\\" + MARK[1:]))
+    broken = F.replace(F.replace(payload, F.lit("\\"), F.lit("\\\\")), F.lit(MARK), F.lit("\\" + MARK[0] + "\\" + MARK[1:]))
+    return F.when(broken.endswith(VERSION), F.concat(F.substring(broken, F.lit(1), F.length(broken) - len(VERSION)), F.lit("\\" + VERSION[0] + "\\" + VERSION[1:]))).otherwise(broken)
 
 
 def plan_captures(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
@@ -58,7 +61,7 @@ def plan_captures(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     at least ``least_bytes`` bytes the one with the largest id is the response
     and the others refer to it.  ``least_bytes`` 0 includes empty payloads."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    base = pages.select(F.col(id_col).cast("long").alias("cid"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "%0A").alias("url"),
+    base = pages.select(F.col(id_col).cast("long").alias("cid"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "%0A"), r"WARC/1\.1\z", "WARC%2F1.1").alias("url"),
                         payload.alias("payload"))
     keyed = base.select("*", F.sha2("payload", 256).alias("key"), F.octet_length("payload").alias("size"))
     # the written table lets the join split a payload that many rows share
@@ -72,7 +75,7 @@ def write_captures(captures: DataFrame, path: str) -> None:
     """Write ``plan_captures`` rows as archives under ``path``."""
     cid = F.coalesce(F.col("cid").cast("string"), F.lit("null"))
     unique = F.concat(cid, F.lit(":"), F.col("serial"))
-    has_mark = F.col("payload").contains(MARK)
+    has_mark = F.col("payload").contains(MARK) | F.col("payload").endswith(VERSION)
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_sha1(F.col("payload")))
     size = F.concat(F.lit("X-Payload-Bytes: "), F.octet_length("payload").cast("string"))
     body = F.when(has_mark, _coded(F.col("payload"))).otherwise(F.col("payload"))

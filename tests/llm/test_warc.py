@@ -51,3 +51,10 @@ def test_orphans_and_missing_parts(spark):
                                     "kind string, record_id string, concurrent_to string, refers_to string, url string, digest string, payload_bytes long, payload_digest string, block string")
     (one,) = warc.assemble(records).collect()
     assert (one.record_id, one.request, one.metadata, one.digest) == ("r1", "first", None, "D")
+
+
+def test_the_version_at_the_end_of_a_payload_or_url(spark):
+    rows = [(1, "http://a/x", "see WARC/1.1"), (2, "http://a/WARC/1.1", "b\\WARC/1.1"), (3, "u", "WARC/1.1"), (4, "v", "WARC/1.1\r\nWARC/1.1")]
+    got = {r.record_id.split(":")[0]: r for r in round_trip(spark, rows)}
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {str(i): (len(h), digest(h)) for i, _, h in rows}
+    assert got["2"].url == "http://a/WARC%2F1.1" and got["2"].request == "GET http://a/WARC%2F1.1 HTTP/1.1\r\n\r\n"
