@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.llm import bpe, chat, embedding_join, exact_dedup, html_extract, jaccard_join, license_scan, packing, toxicity, warc
-from kbspark.llm.common import table
+from kbspark.llm import (bpe, chat, embedding_join, exact_dedup, html_extract, jaccard_join, license_scan, packing, periodic_runs, token_counts, toxicity,
+                         warc)
+from kbspark.llm.common import SPACE, table
 
 QUERIES = {}
 ORACLE = {}
@@ -192,3 +193,41 @@ def op10_warc(spark, sf_dir):
                       F.when(F.col("kind") == "revisit", said).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
                       F.when(F.col("kind") == "revisit", F.col("digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
                       F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
+# 11: token counts ---------------------------------------------------------------------
+
+
+@register()
+def op11_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# 13: periodic runs --------------------------------------------------------------------
+
+
+def with_repeats(docs):
+    """``(doc_id, text)`` in which documents picked by the crc32 of their id
+    repeat a stretch of words to the end; null ids are not picked."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    picked = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"),
+                         F.when(h % 10 == 0, F.filter(F.split("text", SPACE), lambda w: w != "")).alias("words"))
+    n = F.size("words").cast("long")
+    at = picked.where("words is null or size(words) = 0").select("doc_id", "text")
+    cut = (picked.where("size(words) > 0").withColumn("n", n).withColumn("a", F.expr("g % n"))
+           .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+           .withColumn("period", F.expr("slice(words, cast(a + 1 as int), cast(p as int))"))
+           .withColumn("tail", F.expr("slice(flatten(array_repeat(period, cast((n - a + p - 1) div p as int))), 1, cast(n - a as int))")))
+    return at.unionByName(cut.select("doc_id", F.expr("array_join(concat(slice(words, 1, cast(a as int)), tail), ' ')").alias("text")))
+
+
+@register()
+def op13_periodic_runs(spark, sf_dir):
+    out = periodic_runs.find_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("""aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>),
+        (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = out.select("id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    return out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256"))
