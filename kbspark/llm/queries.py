@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kbspark.llm import (bpe, chat, embedding_join, exact_dedup, html_extract, jaccard_join, license_scan, packing, periodic_runs, token_counts, toxicity,
-                         warc)
+from kbspark.llm import (bpe, chat, embedding_join, exact_dedup, html_extract, jaccard_join, license_scan, packing, periodic_runs, spelling, token_counts,
+                         toxicity, warc)
 from kbspark.llm.common import SPACE, table
 
 QUERIES = {}
@@ -203,6 +203,54 @@ def op11_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+# 12: spelling variants ----------------------------------------------------------------
+
+
+def _nibble(value: int) -> int:
+    """Entry of the crc32 table of half bytes."""
+    for _ in range(4):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+_HALF_BYTES = f"[{', '.join(str(_nibble(i)) for i in range(16))}]"
+OP12 = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS raw FROM documents),
+lowered AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM r GROUP BY ALL),
+coded AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM lowered),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(len(x)), lambda i: instr('0123456789ABCDEF', substr(x, (i + 1 - 2 * (i % 2) + 1)::BIGINT, 1))::BIGINT - 1)),
+    lambda crc, d: xor(crc >> 4, ({_HALF_BYTES})[(xor(crc, d) & 15) + 1]))) AS h FROM coded),
+damaged AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.d = b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, min((-n, near)) AS b FROM pairs GROUP BY word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * words.n THEN b[2] END AS form,
+  CASE WHEN -b[1] >= 2 * words.n THEN -b[1] END AS form_n FROM words LEFT JOIN best USING (word)),
+walk(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk ON walk.word = f.word JOIN forms last ON last.word = walk.root AND last.form IS NULL
+"""
+
+
+def damaged_words(docs):
+    """One row per letter run of each text; a run whose crc32 with its
+    document's id (null: empty) is divisible by 97 loses one code point."""
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(spelling.letter_runs(F.col("text"))).alias("run"))
+    hashed = runs.select("run", F.crc32(F.concat("doc", F.lit(":"), "run")).alias("h"))
+    return hashed.select(F.expr("if(h % 97 = 0, concat(left(run, int(h % length(run))), substring(run, int(h % length(run)) + 2)), run)").alias("word"))
+
+
+@register(OP12)
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(spelling.count_words(damaged_words(table(spark, sf_dir, "documents"))))
+
+
 # 13: periodic runs --------------------------------------------------------------------
 
 
