@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
-from oracle_util import compare
+from oracle_util import SF_SMALL, compare
 
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()

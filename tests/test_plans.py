@@ -6,8 +6,8 @@ import contextlib
 
 import pytest
 
-from conftest import SF_SMALL
 from kbspark.plans.queries import QUERIES
+from oracle_util import SF_SMALL
 
 
 def plan(df):
