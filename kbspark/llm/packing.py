@@ -2,10 +2,11 @@
 
 Documents are tokenised, ended with an end id and cut into pieces of at most
 one sequence.  Pieces are dealt by a hash to packers.  A packer sees its
-pieces once, the longest first, and keeps at most ``OPEN`` open bins in lists by free space, under
-a bitset with one bit for each amount of free space: the lowest set bit from
-the piece's length on is the best fit.  When a piece fits nowhere a bin is
-opened, and if there are too many, the fullest closes first.
+pieces once, in order of arrival (by id and piece; of the next ``LOOK_AHEAD``
+the longest first), and keeps at most ``OPEN`` open bins in lists by free
+space, under a bitset with one bit for each amount of free space: the lowest
+set bit from the piece's length on is the best fit.  When a piece fits nowhere
+a bin is opened, and if there are too many, the fullest closes first.
 """
 
 from __future__ import annotations
@@ -25,10 +26,15 @@ from kbspark.llm.common import written
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 2048
-OPEN = 1 << 15
+OPEN = 512
+LOOK_AHEAD = 256
 #: Pieces of one packer, about; the number of packers grows with the pieces.
 PACKER_PIECES = 1 << 16
-RECENT = 300_000
+#: Bytes of the table of recent parts of texts of one worker, about, and of an entry besides its text and ids.
+RECENT_BYTES = 24 << 20
+ENTRY_BYTES = 200
+#: Texts read from Arrow at a time.
+SLICE = 128
 ID_BYTES = 4
 
 
@@ -39,7 +45,8 @@ class WordIds(dict):
     encoded alone.  Most parts are a word of plain letters and a mark behind
     it: the tokenizer lower-cases the one and splits off the other, so both are
     looked up on their own, and a plain word goes straight to the tokenizer's
-    model.  Recent parts are kept in two generations of bounded size.
+    model.  Recent parts are kept in two generations of bounded bytes.  Texts
+    that name one of the tokenizer's added tokens are encoded whole.
     """
 
     #: Letters that lower-case one by one and are composed already.
@@ -51,20 +58,24 @@ class WordIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.tokenise = self.tokenizer.model.tokenize
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.raw = [i.to_bytes(ID_BYTES, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
             ids = self._encode(part)
-        if len(self) >= RECENT:
+        self.held += ENTRY_BYTES + len(part) + len(ids)
+        if self.held > RECENT_BYTES // 2:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         self[part] = ids
         return ids
 
@@ -79,6 +90,8 @@ class WordIds(dict):
         return b"".join(map(self.raw.__getitem__, self.tokenizer.encode(part, add_special_tokens=False).ids))
 
     def ids(self, text: str) -> bytes:
+        if self.special(text):
+            return b"".join(map(self.raw.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -97,10 +110,10 @@ def tokenise(df: DataFrame, id_col: str, text_col: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
         for whole in batches:
-            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+            for batch in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
                 rows: list[tuple] = []
-                for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    raw = coder.ids(text or "") + end
+                for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    raw = coder.ids(text.as_py() or "") + end
                     rows += [(ident, k, k * sequence, len(cut) // ID_BYTES, zlib.crc32(cut), cut)
                              for k, cut in enumerate(raw[at:at + step] for at in range(0, len(raw), step))]
                 columns = list(zip(*rows))[:None if keep_ids else 5]
@@ -154,8 +167,10 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    sequence: int = SEQUENCE, open_bins: int = OPEN) -> DataFrame:
     """One row per piece: ``id, piece, start, length, crc, sequence_id, offset``.
 
-    Every document gets the end id; only those longer than ``sequence`` are
-    cut, into whole sequences and a rest.  Null texts are empty (the end id
+    Ids are those of the tokenizer's library as the file has it, so a string
+    that names one of its added tokens becomes that token's id.  Every document
+    gets the end id; only those longer than ``sequence`` are cut, into whole
+    sequences and a rest.  Null texts are empty (the end id
     alone).  Null and repeated ids are packed like others.  Offsets in a
     sequence are gapless from 0; sequence ids are unique, not dense.  An empty
     table gives no rows.  Other columns are not read.
@@ -166,11 +181,15 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(sequence, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            places = [bins.place(n) for n in batch.column(3).to_pylist()]
+            lengths = batch.column(3).to_pylist()
+            places: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+            for at in range(0, len(lengths), LOOK_AHEAD):
+                for i in sorted(range(at, min(at + LOOK_AHEAD, len(lengths))), key=lambda i: -lengths[i]):
+                    places[i] = bins.place(lengths[i])
             if places:
                 ids, offsets = zip(*places)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())],
                                                  [*batch.schema.names, "sequence_id", "offset"])
 
-    dealt = pieces.repartition(packers, F.xxhash64("id", "piece", "crc")).sortWithinPartitions(F.desc("length"), "id", "piece", "crc")
+    dealt = pieces.repartition(packers, F.xxhash64("id", "piece", "crc")).sortWithinPartitions("id", "piece", "crc")
     return dealt.mapInArrow(run, "id long, piece int, start long, length long, crc long, sequence_id long, offset long")

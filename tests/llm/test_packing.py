@@ -9,12 +9,11 @@ from tokenizers import Tokenizer
 from kbspark.llm import packing
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "Word, WORD! wörd 'll don't <|endoftext|> ÀÉ ǅ İx ΣΑΣ %%% a|b || 12,3"), (5, "one " * 5000), (6, "x" * 30_000),
-       (7, "a b c"), (7, "a b c"), (None, "no id"), (8, "e\u0301 \u00a0nbsp\x85next\x1cfs"), (9, "Straße, STRASSE. ﬁ Å Å")]
+       (7, "a b c"), (7, "a b c"), (None, "no id"), (10, "end <|endoftext|> x"), (11, "a<|startoftext|>b\n<|ENDOFTEXT|> <|endoftext|>  "), (8, "e\u0301 \u00a0nbsp\x85next\x1cfs"), (9, "Straße, STRASSE. ﬁ Å Å")]
 
 
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 0], dtype="<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -43,6 +42,20 @@ def test_pieces_places_and_odd_texts(make_docs, clash):
     assert packing.pack_documents(make_docs([])).collect() == []
 
 
+def test_names_of_added_tokens_are_those_tokens(make_docs):
+    ids = packing.word_ids(None).ids("end <|endoftext|> x")
+    assert np.frombuffer(ids, dtype="<u4").tolist() == [806, 49407, 343]
+
+
+def test_recent_parts_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "RECENT_BYTES", 20_000)
+    coder = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"w{i}x{j}" * (1 + j % 3) for j in range(60)) for i in range(30)] + ["long" * 30_000, "w1x1 w2x2"]
+    for text, raw in zip(texts, ids_of(texts)):
+        assert coder.ids(text) == raw[:-4]
+        assert sum(packing.ENTRY_BYTES + len(k) + len(v) for k, v in coder.items()) <= max(10_000, packing.ENTRY_BYTES + 4 * 120_000 * 4)
+
+
 def test_whole_documents_take_few_sequences(spark):
     from kbspark.llm.common import table
 
