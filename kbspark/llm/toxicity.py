@@ -22,15 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kbspark.llm.common import written
 from kbspark.llm.shingles import min_hashes, shingle_set
 
-#: Labelled rows from which words are mined, and documents the classifier is
-#: fitted on, about: larger tables are sampled by a hash of the id.
+#: Labelled ids whose texts are mined for words, about, and most documents the
+#: classifier is fitted on: of larger tables a random sample is taken.
 FIT_ROWS = 20_000
-#: Most mined words and word beginnings.
-MINED = 2_000
+#: Texts read from Arrow at a time.
+SLICE = 256
 BEGINNINGS = (4, 5, 6)
 #: Least share of toxic rows among the labelled rows with a mined word.
 PRECISION = 0.95
@@ -120,10 +121,20 @@ def held_out(id_col):
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(5)) == 0
 
 
-def _sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows by a hash of ``key``, or all if there are fewer."""
+def _sampled(df: DataFrame, rows: int) -> DataFrame:
+    """``rows`` random rows of a written table at most, all if there are no
+    more.  Rows are drawn one by one, whatever they hold and repeat."""
     n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+    if n <= rows:
+        return df
+    drawn = df.withColumn("__kb_draw", F.rand(17)).where(F.col("__kb_draw") < 1.1 * rows / n)
+    return drawn.orderBy("__kb_draw").limit(rows).drop("__kb_draw")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            yield whole.slice(at, SLICE)
 
 
 def without_copies(texts: DataFrame) -> DataFrame:
@@ -131,7 +142,7 @@ def without_copies(texts: DataFrame) -> DataFrame:
     their shingles: a passage copied many times is one witness for its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             hashes = [min_hashes(shingle_set(t or ""), COPY_HASHES) for t in batch.column("text").to_pylist()]
             columns = [pa.array([h[k] for h in hashes], pa.int64()) for k in range(COPY_HASHES)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f"m{k}" for k in range(COPY_HASHES))])
@@ -148,7 +159,7 @@ def mine(texts: DataFrame) -> list[str]:
 
     def counter(wanted: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches):
                 counts: tuple[Counter, Counter] = (Counter(), Counter())
                 rows = [0, 0]
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
@@ -178,7 +189,7 @@ def mine(texts: DataFrame) -> list[str]:
         return (t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1))
 
     good = [w for w in of if of[w][1] >= least and of[w][1] >= PRECISION * sum(of[w]) and lift(w) >= 20]
-    return sorted(good, key=lambda w: (-lift(w), w))[:MINED]
+    return sorted(good, key=lambda w: (-lift(w), w))
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, labelled: np.ndarray) -> np.ndarray:
@@ -249,32 +260,41 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -50.0), 50.0))))
 
 
-def _votes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+VOTE = ("__kb_bits", "__kb_hits", "__kb_capitals", "__kb_shouts")
+
+
+def _votes(docs: DataFrame, text_col: str, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each row, and its votes."""
+    at, kept = docs.columns.index(text_col), [docs.columns.index(c) for c in keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [read_text(t or "", vocabulary) for t in batch.column("text").to_pylist()]
+        for batch in _slices(batches):
+            got = [read_text(t.as_py() or "", vocabulary) for t in batch.column(at)]
             columns = list(zip(*got)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.list_(pa.int32())),
-                 pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], ["id", "bits", "hits", "capitals", "shouts"])
+                [*(batch.column(k) for k in kept), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.list_(pa.int32())),
+                 pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], [*keep, *VOTE])
 
-    return docs.mapInArrow(run, "id long, bits int, hits array<int>, capitals double, shouts double")
+    schema = T.StructType([*(T.StructField(docs.columns[k], docs.schema[k].dataType, True) for k in kept), T.StructField(VOTE[0], T.IntegerType()),
+                           T.StructField(VOTE[1], T.ArrayType(T.IntegerType())), T.StructField(VOTE[2], T.DoubleType()), T.StructField(VOTE[3], T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
-    """The model, and the votes on every document (``id, bits, hits, capitals,
-    shouts``; written).  Labels with null ids or values, and those of held-out
-    ids (crc32 of the id's text divisible by 5), are not used; without usable
-    labels the fixed voters alone make the model."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        keep: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """The model, and the votes on every document: its columns ``keep``
+    (default: the id) and those of ``VOTE``, written.  Labels with null ids or
+    values, and those of held-out ids (crc32 of the id's text divisible by 5),
+    are not used; without usable labels the fixed voters alone make the model."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
              .where("id is not null and toxic in (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic")))
     known = written(known, "labels")
     # bounded by FIT_ROWS, so it may be sent to every task
-    sample = rows.join(F.broadcast(_sampled(known, "id", FIT_ROWS)), "id").select("text", "toxic")
+    sample = rows.join(F.broadcast(_sampled(known, FIT_ROWS)), "id").select("text", "toxic")
     vocabulary = Vocabulary.of(mine(written(without_copies(sample), "sample")))
-    votes = written(_votes(rows, vocabulary), "votes")
-    seen = votes.select("id", "bits").join(known, "id", "left").groupBy("bits").agg(
+    votes = written(_votes(docs, text_col, vocabulary, [id_col] if keep is None else keep), "votes")
+    seen = votes.select(F.col(id_col).cast("long").alias("id"), F.col(VOTE[0]).alias("bits")).join(known, "id", "left").groupBy("bits").agg(
         F.sum(F.when(F.col("toxic").isNull(), 1).otherwise(0)).alias("free"),
         F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic")).collect()
     bits = np.array([r["bits"] for r in seen], dtype=np.int64)
@@ -282,43 +302,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     post = label_model(patterns, np.array([r["free"] for r in seen], dtype=float),
                        np.array([[r["clean"], r["toxic"]] for r in seen], dtype=float).reshape(len(seen), 2))
     belief = dict(zip(bits.tolist(), post.tolist()))
-    train = _sampled(votes, "id", FIT_ROWS).select("bits", "hits", "capitals", "shouts").collect()
-    weights = fit_linear([(r["hits"], r["capitals"], r["shouts"]) for r in train], np.array([belief[r["bits"]] for r in train]), vocabulary.size)
+    train = _sampled(votes.select(*VOTE), FIT_ROWS).collect()
+    weights = fit_linear([tuple(r)[1:] for r in train], np.array([belief[r[0]] for r in train]), vocabulary.size)
     return Model(vocabulary, weights), votes
 
 
 def score_votes(model: Model, votes: DataFrame) -> DataFrame:
-    """``(id, score)`` of every row of ``votes``."""
+    """``votes`` with the ``score`` of each row in place of its votes."""
+    kept = [c for c in votes.columns if c not in VOTE]
+    where = [votes.columns.index(c) for c in VOTE[1:]]
+    schema = T.StructType([*(votes.schema[c] for c in kept), T.StructField("__kb_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.score(h, c, s) for h, c, s in zip(*(batch.column(n).to_pylist() for n in ("hits", "capitals", "shouts")))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(got, pa.float64())], ["id", "score"])
+        for batch in _slices(batches):
+            got = [model.score(h, c, s) for h, c, s in zip(*(batch.column(n).to_pylist() for n in where))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(got, pa.float64())], schema.names)
 
-    return votes.select("id", "hits", "capitals", "shouts").mapInArrow(run, "id long, score double")
+    return votes.mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of ``docs``: ``id, score`` in 0..1.
 
     Only texts enter a score.  Null texts are empty; empty texts get the score
-    of a text without findings.  Null and repeated ids are scored row by row;
-    empty tables give no rows.  Other columns are not read.
+    of a text without findings.  Texts of any length are read whole.  Null and
+    repeated ids are scored row by row; empty tables give no rows.  Other
+    columns are not read.
     """
-    return score_votes(*fit(docs, labels, id_col, text_col, label_col))
+    scored = score_votes(*fit(docs.select(id_col, text_col), labels, id_col, text_col, label_col))
+    return scored.select(F.col(id_col).cast("long").alias("id"), F.col("__kb_score").alias("score"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more, all columns kept."""
-    model, _ = fit(docs, labels, id_col, text_col)
-    names = docs.columns
+    """``docs`` without the rows that score ``threshold`` or more, all columns kept.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for text in batch.column(names.index(text_col)).to_pylist():
-                _, hits, capitals, shouts = read_text(text or "", model.vocabulary)
-                keep.append(model.score(hits, capitals, shouts) < threshold)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Null texts are empty and stay, as clean texts do.  Texts are read once: the
+    rows are written with their votes.  Null and repeated ids are judged row by
+    row; an empty table gives no rows.  No column of ``docs`` may begin with
+    ``__kb_``.
+    """
+    scored = score_votes(*fit(docs, labels, id_col, text_col, keep=docs.columns))
+    return scored.where(F.col("__kb_score") < threshold).select(*docs.columns)

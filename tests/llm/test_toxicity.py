@@ -76,3 +76,17 @@ def test_label_model_discounts_voters_that_repeat_each_other():
     post = toxicity.label_model(patterns, counts, np.zeros((len(patterns), 2)))
     belief = {tuple(p): b for p, b in zip(patterns.tolist(), post)}
     assert belief[(1, 1, 1, 0, 0)] < 0.5 < belief[(0, 0, 0, 1, 1)]
+
+
+def test_samples_are_bounded_whatever_rows_repeat(spark, tmp_path):
+    rows = spark.range(100_000).selectExpr("cast(null as long) as id", "'same words' as text")
+    rows.unionByName(spark.range(50).selectExpr("id", "'you idiot, you moron' as text")).write.parquet(f"{tmp_path}/rows")
+    table = spark.read.parquet(f"{tmp_path}/rows")
+    got = toxicity._sampled(table, 20_000)
+    assert 19_000 <= got.count() <= 20_000
+    assert toxicity._sampled(table, 200_000).count() == 100_050
+    docs = table.withColumnRenamed("id", "doc_id")
+    labels = spark.createDataFrame([(i, 1, 1, "x", "x") for i in range(50)], LABELS)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == ["doc_id", "text"] and kept.where("doc_id is null").count() == 100_000
+    assert kept.where("doc_id is not null").count() == 0
