@@ -41,7 +41,12 @@ LONGEST = 8
 VERIFY_COST = 0.05
 BLOCK = 512
 STREAM_ROWS = 4096
-SLICE = 512
+#: Rows read from Arrow at a time, and tokens of a block up to which its sets are indexed together.
+SLICE = 64
+INDEXED_TOKENS = 1 << 20
+#: A token found in this many sets of one in ``COUNTED`` is counted on the map side.
+COUNTED = 64
+HOT_SETS = 1 << 11
 #: Id tables up to this many rows (8 bytes each) are sent to all tasks; longer ones are joined by a shuffle.
 SMALL_ROWS = 1_000_000
 
@@ -147,6 +152,7 @@ class Block:
         order = np.argsort(tokens, kind="stable")
         self.tokens, self.owner, self.level = tokens[order], owner[order], level[order]
         self.label = np.arange(len(rows))
+        self.indexed = sum(map(len, self.sets)) <= INDEXED_TOKENS
 
     @staticmethod
     def _hits(index: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +185,7 @@ class Block:
         return [(int(doc), int(self.doc[q])) for q in linked[first]]
 
     def _overlaps(self, candidates: np.ndarray, own: np.ndarray) -> np.ndarray:
-        if len(candidates) > 8:
+        if len(candidates) > 8 and self.indexed:
             if not hasattr(self, "all"):
                 every = np.concatenate(self.sets)
                 holder = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
@@ -207,7 +213,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 queries.append(tuple(row))
                 continue
             if block is None and queries:
-                block = Block(queries)
+                block, queries = Block(queries), []
             if block is not None:
                 edges += block.links(tuple(row))
         columns = list(zip(*edges)) or [(), ()]
@@ -231,6 +237,27 @@ def probe(queries: DataFrame, candidates: DataFrame, full: DataFrame) -> DataFra
     return written(rows.repartition(width, *key).sortWithinPartitions(*key, "role", "doc").mapInArrow(_probe, "a long, b long"), "edges")
 
 
+def shared_tokens(texts: DataFrame, counted: int = COUNTED, hot_sets: int = HOT_SETS) -> DataFrame:
+    """``(token, doc, df)`` of the tokens that two sets or more hold.
+
+    A token's sets meet in one window, but for tokens that very many hold: one
+    in ``counted`` sets tells which these may be, and they are counted on the
+    map side instead, over all sets.  The result is the same either way.
+    """
+    schema = "token long, doc long"
+    some = _per_text(texts.where(F.pmod(F.xxhash64("id"), F.lit(counted)) == 0), schema, _tokens)
+    hot = written(some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_sets).select("token"), "hot")
+    posted = _per_text(texts, schema, _tokens)
+    several = not hot.isEmpty()
+    few = posted.join(hot, "token", "left_anti") if several else posted
+    shared = few.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df >= 2")
+    if not several:
+        return shared
+    held = posted.join(hot, "token", "left_semi")
+    often = written(held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2"), "often")
+    return shared.unionByName(held.join(often, "token"))
+
+
 def link_sets(texts: DataFrame, info: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between set digests that connect just the sets that
     links connect.  ``texts(id, text)``; ``info(id, n, doc, low)`` of each row."""
@@ -239,8 +266,7 @@ def link_sets(texts: DataFrame, info: DataFrame) -> DataFrame:
     standing = sets.select(F.col("rep").alias("id")).distinct()
     copies = written(info.where("n > 0 and id is not null").select("id").distinct().join(standing, "id", "left_anti"), "copies")
     own = texts.where("id is not null").join(_sized(copies), "id", "left_anti")
-    posted = _per_text(own, "token long, doc long", _tokens)
-    shared = written(posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df >= 2"), "shared")
+    shared = written(shared_tokens(own), "shared")
     gathered = shared.groupBy("doc").agg(F.collect_set(F.struct("token", "df")).alias("shared")).join(sets.select("doc", "n", "low"), "doc")
     prefix = written(gathered.mapInArrow(_prefixes, "doc long, n long, l int, prefix array<long>, level array<int>"), "prefix")
     needed = prefix.select("doc").join(sets.select("doc", "rep"), "doc").select(F.col("rep").alias("id")).distinct()

@@ -258,15 +258,13 @@ def with_repeats(docs):
     """``(doc_id, text)`` in which documents picked by the crc32 of their id
     repeat a stretch of words to the end; null ids are not picked."""
     h = F.crc32(F.col("doc_id").cast("string"))
-    picked = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"),
-                         F.when(h % 10 == 0, F.filter(F.split("text", SPACE), lambda w: w != "")).alias("words"))
-    n = F.size("words").cast("long")
-    at = picked.where("words is null or size(words) = 0").select("doc_id", "text")
-    cut = (picked.where("size(words) > 0").withColumn("n", n).withColumn("a", F.expr("g % n"))
-           .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
-           .withColumn("period", F.expr("slice(words, cast(a + 1 as int), cast(p as int))"))
-           .withColumn("tail", F.expr("slice(flatten(array_repeat(period, cast((n - a + p - 1) div p as int))), 1, cast(n - a as int))")))
-    return at.unionByName(cut.select("doc_id", F.expr("array_join(concat(slice(words, 1, cast(a as int)), tail), ' ')").alias("text")))
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    picked = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    sized = picked.withColumn("words", F.expr("if(size(words) > 0, words, null)")).withColumn("n", F.expr("if(words is null, null, size(words))"))
+    cut = sized.withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = "slice(flatten(array_repeat(slice(words, cast(a + 1 as int), cast(p as int)), cast((n - a + p - 1) div p as int))), 1, cast(n - a as int))"
+    said = F.expr(f"array_join(concat(slice(words, 1, cast(a as int)), {tail}), ' ')")
+    return cut.select("doc_id", F.coalesce(said, F.col("text")).alias("text"))
 
 
 @register()

@@ -129,3 +129,12 @@ def test_shingles_of_the_contract():
     assert (shingle_set("a\xa0b c d e f") == shingle_set("a\xa0B c d e f")).all()
     long = "y" * 100_000
     assert len(shingle_set(f"{long} a {long} b {long} c")) == 2
+
+
+def test_hot_tokens_are_counted_alike(spark):
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(i, " ".join([common, *rng.choices("abcdefghij", k=rng.randrange(30))])) for i in range(200)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    counted = [sorted(map(tuple, jaccard_join.shared_tokens(texts, 1, hot).collect())) for hot in (150, 10_000)]
+    assert counted[0] == counted[1] and max(c[2] for c in counted[0]) == 200
