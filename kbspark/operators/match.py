@@ -3,16 +3,18 @@
 Every theta join here is planned as an equi-join on a lossless blocking key
 and then verified exactly:
 
-* containment (M2's substring branch, M1's LIKE): a literal needle that is
-  contained in a text contains, between two separators, only whole tokens of
-  that text.  A needle with such an inner token joins on its rarest one
-  (document frequency counted for question tokens only); a needle without one
-  joins the catalogue vocabulary on its rarest character gram and then the
-  rows holding a matching token.
+* containment (M2's substring branch, M1's LIKE): the literal needles of a
+  bounded question set make one multi-pattern automaton per block, which reads
+  each text once (``needles.py``).  Beyond that bound the catalogue is joined: a
+  literal needle that is contained in a text contains, between two separators,
+  only whole tokens of that text.  A needle with such an inner token joins on
+  its rarest one (document frequency counted for question tokens only); a
+  needle without one joins the catalogue vocabulary on its rarest character
+  gram and then the rows holding a matching token.
 * fuzzy (M3 at a threshold): a passing pair has length ratio >= r/(2-r) with
   r = (t - 0.5)/100, so it lies in the same or a neighbouring log-length
   bucket; an exact length test and a bound from letter counts follow in the
-  join, then the LCS UDF.
+  join, then the LCS of whole Arrow batches.
 
 Questions are deduplicated by their normalised text first.  The question
 side is broadcast only when its measured size is inside the bound: then the
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.fuzzy import ratio_at_least_udf, token_sort_key
 from kbspark.functions.text import explode_computed, normalize_text
+from kbspark.operators import needles as nd
 from kbspark.operators.joins import materialize, maybe_broadcast
 
 # Fixed defaults of the reference: fuzzy threshold, maximum results, cosine
@@ -42,7 +45,7 @@ HIT_URL_PREFIX = "/api/images/"
 
 GRAM = 3
 BUCKET_ROWS = 4096  # catalogue rows of one part of a length bucket, about
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS = "aeionrstlducm"  # letters counted apart: common ones tell texts apart best
 EMPTY_BUCKET = -(1 << 40)
 _QK = "_qk"
 
@@ -71,14 +74,24 @@ def _longest_run(needle: Column, sep: str) -> Column:
 
 
 def containment_candidates(qa: DataFrame, cat: DataFrame, c_id: str, hay: str, sep: str,
-                           verify, small: bool) -> DataFrame:
-    """Rows (_qk, c_id) where ``verify`` holds.
+                           verify, small: bool, exact: bool = False) -> DataFrame:
+    """Rows (_qk, c_id) where ``verify`` holds; ``exact`` says that containing
+    the (one) needle is all there is to verify.
 
     ``qa``: (_qk, needles array<string>, plus the columns ``verify`` reads),
     already materialised and small enough to profile.  ``cat``: (c_id, hay).
     ``verify(hay_col)`` is the exact predicate.  A question with no literal
     character (``every``) is a candidate of every row: it anchors on the empty
     token, which each catalogue row carries once."""
+    if small:
+        # the longest literal of each question, found by the automaton
+        longest = F.aggregate("needles", F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
+        asked = qa.withColumn("_needle", longest)
+        blocks = nd.needle_blocks(asked, "_needle")
+        if blocks <= nd.MAX_BLOCKS:
+            found = nd.texts_with_needles(asked, "_needle", cat, c_id, hay, blocks, keep_text=not exact)
+            hits = found.join(F.broadcast(asked.drop("needles")), "_needle")
+            return (hits if exact else hits.where(verify(F.col(hay)))).select(_QK, c_id)
     qa = qa.withColumn("_inner", F.array_distinct(F.flatten(F.transform("needles", lambda s: _inner_runs(s, sep)))))
     qa = qa.withColumn("_word", F.aggregate(F.transform("needles", lambda s: _longest_run(s, sep)), F.lit(""),
                                             lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc)))
@@ -169,9 +182,11 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
         return F.coalesce(F.when(c == 0, F.lit(EMPTY_BUCKET)).otherwise(
             F.floor(F.log(c.cast("double")) / F.lit(width)).cast("long")), F.lit(EMPTY_BUCKET))
 
-    qs, cs = qs.withColumn("hq", letter_counts(F.col("qs"))), cs.withColumn("hc", letter_counts(F.col("cs")))
+    qs = qs.select("*", *[n.alias(f"hq{i}") for i, n in enumerate(letter_counts(F.col("qs")))])
+    cs = cs.select("*", *[n.alias(f"hc{i}") for i, n in enumerate(letter_counts(F.col("cs")))])
+    counted = range(len(LETTERS) + 1)
     qb = (qs.withColumn("b0", bucket(F.col("lq")))
-            .select(_QK, "qs", "lq", "hq", F.explode(
+            .select(_QK, "qs", "lq", *[f"hq{i}" for i in counted], F.explode(
                 F.when(F.col("lq") == 0, F.array(F.col("b0")))
                  .otherwise(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1))).alias("bucket")))
     cb = cs.withColumn("bucket", bucket(F.col("lc")))
@@ -188,17 +203,16 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
         qb_side = (qb.join(parts, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
         keys = ["bucket", "salt"]
     need = F.lit(2 * threshold - 1) * (F.col("lq") + F.col("lc"))
-    shared = F.aggregate(F.zip_with("hq", "hc", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, n: acc + n)
+    shared = sum((F.least(f"hq{i}", f"hc{i}") for i in counted), F.lit(0))
     pairs = cb.join(qb_side, keys).where((F.lit(400) * F.least("lq", "lc") >= need) & (F.lit(400) * shared >= need))
     return (pairs.select(_QK, c_id, ratio_at_least_udf(threshold)(F.col("qs"), F.col("cs")).alias("match_score"))
                  .where(F.col("match_score") >= threshold))
 
 
-def letter_counts(text: Column) -> Column:
-    """How often each of a-z occurs, and all other characters together."""
-    n = [F.length(text) - F.length(F.translate(text, c, "")) for c in LETTERS]
-    rest = F.length(F.translate(text, LETTERS, ""))
-    return F.array(*n, rest)
+def letter_counts(text: Column) -> list[Column]:
+    """How often each of ``LETTERS`` occurs, and all other characters together."""
+    n = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
+    return [*n, F.length(text) - sum(n, F.lit(0))]
 
 
 def _non_null(c: Column) -> Column:
@@ -223,7 +237,7 @@ def _scores_by_key(reps: DataFrame, catalog: DataFrame, c_id: str, c_text: str,
     # read by the substring and the fuzzy branch, several times each
     cat = materialize(catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(normalize_text(c_text)).alias("_cn")))
     qa = reps.select(_QK, "_qn", F.array("_qn").alias("needles"))
-    sub = containment_candidates(qa, cat, c_id, "_cn", " ", lambda hay: hay.contains(F.col("_qn")), small)
+    sub = containment_candidates(qa, cat, c_id, "_cn", " ", lambda hay: hay.contains(F.col("_qn")), small, exact=True)
     sub = sub.withColumn("match_score", F.lit(100))
     fz = fuzzy_pairs(reps, cat, c_id, "_qn", "_cn", threshold)
     return (sub.unionByName(fz).groupBy(_QK, c_id).agg(F.max("match_score").alias("match_score"))

@@ -1,12 +1,15 @@
 """Token-sort ratio (M3) and the blocked joins of M2."""
 
+import random
 import re
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from kbspark.functions import fuzzy as fz
 from kbspark.operators import match
+from kbspark.operators import needles as nd
 
 
 def lcs_dp(a, b):
@@ -135,3 +138,52 @@ def test_hit_map_empty_for_no_hits(spark):
     top = match.top_matches(q, c.select("image_row", "description")).join(c.select("image_row", "filename"), "image_row")
     m = {r["question_id"]: r["images"] for r in match.hit_map(top, q).collect()}
     assert m[2] == {} and m[1]["image_0001"]["url"] == "/api/images/a.png"
+
+
+words = st.text(alphabet="abcde é漢😀", max_size=90)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(words, words), max_size=40), st.integers(1, 100))
+def test_batch_ratios_equal_the_textbook_lcs(pairs, t):
+    # repeated, so that groups are large enough for the bit vectors of whole batches
+    a, b = [x for x, _ in pairs] * 40, [y for _, y in pairs] * 40
+    want = []
+    for x, y in pairs:
+        want.append(100 if x == y else 0 if not x or not y else int(round(100 * ((2 * lcs_dp(x, y)) / (len(x) + len(y))))))
+    assert fz.ratios(a, b) == want * 40
+    assert fz.ratios(a, b, t) == [w if w >= t else None for w in want] * 40
+
+
+def test_batch_ratios_of_nulls_and_long_strings():
+    assert fz.ratios([None, "a", ""], ["a", None, ""]) == [None, None, 100]
+    assert fz.ratios([], []) == []
+    long = "abc " * 2000
+    assert fz.ratios([long, long], [long + "x", "z" * 8000], 90) == [fz.ratio_py(long, long + "x"), None]
+
+
+@pytest.mark.parametrize("chars", [nd.BLOCK_CHARS, 40])
+def test_needle_blocks_equal_brute_force(spark, chars, monkeypatch):
+    rnd = random.Random(chars)
+    monkeypatch.setattr(nd, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(nd, "MAX_BLOCKS", 1000)
+    needles = ["", "a", "ab", "é漢", "abcabc", None] + ["".join(rnd.choices("abcé漢 ", k=rnd.randrange(1, 6))) for _ in range(60)]
+    texts = [(i, "".join(rnd.choices("abcé漢 ", k=rnd.randrange(0, 40)))) for i in range(120)] + [(500, None), (501, "")]
+    q = spark.createDataFrame([(n,) for n in needles], "needle string")
+    t = spark.createDataFrame(texts, "id long, text string")
+    blocks = nd.needle_blocks(q, "needle", chars)
+    assert blocks == 1 or blocks > 3
+    got = [tuple(r) for r in nd.texts_with_needles(q, "needle", t, "id", "text", blocks).collect()]
+    want = {(i, n) for i, x in texts if x is not None for n in needles if n is not None and n in x}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_the_join_beyond_the_bound_gives_the_same_rows(spark, monkeypatch):
+    q = spark.createDataFrame(QS, "question_id long, question string")
+    c = spark.createDataFrame(CAT, "image_row long, description string")
+    qs = spark.createDataFrame([(1, "a_b"), (2, "50%"), (3, "tela%de"), (4, "%"), (5, "O")], "question_id long, question string")
+    seen = []
+    for most in (nd.MAX_BLOCKS, 0):
+        monkeypatch.setattr(nd, "MAX_BLOCKS", most)
+        seen.append(({tuple(r) for r in match.match_scores(q, c).collect()}, {tuple(r) for r in match.like_matches(qs, c).collect()}))
+    assert seen[0] == seen[1] and seen[0][0] == _brute(QS, CAT)
