@@ -1,13 +1,14 @@
 """Vector and TF-IDF similarity (M6-M9).
 
-Vector search (M7, M8, E2, E3) is exact and block-wise: the catalogue is
-hash-split into bounded blocks, the measured question set into bounded chunks,
-and each task scores one block with one chunk by BLAS matrix products of bounded
-size.  Rows near the best are scored again in a fixed summation order, so equal
-vectors tie exactly however the data is split, and only the per-question
-winners leave the task in the final (score desc, id asc) order.  So no pair list is ever
-materialised or shuffled: the shuffle carries k rows per question per block,
-then a partial aggregate / group-limited window merges the blocks.
+Vector search (M7, M8, E2, E3) is exact.  The measured question set is cut into
+bounded chunks; a few chunks are sent to the tasks, which read the catalogue in
+place, once per chunk, skip cells that cannot hold a better row, and send on
+their winners only (``vector_scan.py``).  More chunks are cogrouped with
+hash-split blocks of the catalogue instead.  Rows near the best are scored again
+in a fixed summation order, so equal vectors tie exactly however the data is
+split.  No pair list is ever materialised or shuffled: the shuffle carries k
+rows per question per task, then a partial aggregate / group-limited window
+merges them.
 
 TF-IDF (M9) is an equi-join on tokens with exact prefix pruning.
 """
@@ -22,8 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import explode_computed
+from kbspark.operators import vector_scan
 from kbspark.operators.joins import materialize, maybe_broadcast, measure
 from kbspark.operators.match import COSINE_THRESHOLD, MAX_RESULTS
+from kbspark.operators.vector_scan import fixed_cos
 
 
 def _col(c) -> Column:
@@ -55,6 +58,8 @@ MATRIX_BYTES = 32 * 1024 * 1024
 # A question chunk is copied into every catalogue block, so it is kept no
 # larger than a block; more questions make more chunks of the same plan.
 QUESTION_CHUNK_BYTES = 32 * 1024 * 1024
+# Chunks for which the catalogue is read in place; each goes through the driver.
+SCAN_CHUNKS = 8
 # Matrix products differ in their last bits with the block's shape.  Rows this
 # close to the best are scored again in a fixed order before they are ranked.
 MARGIN = 1e-9
@@ -83,22 +88,6 @@ def _cos(m: np.ndarray, q: np.ndarray, qn: np.ndarray) -> np.ndarray:
     return s
 
 
-def _fixed_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise dot products summed from left to right, as ``dot`` does."""
-    return np.add.accumulate(a * b, axis=1)[:, -1]
-
-
-def _fixed_cos(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosines of paired rows whose bits depend on the two vectors only."""
-    missing = np.isnan(m).any(axis=1)
-    mm = np.where(missing[:, None], 0.0, m)
-    den = np.sqrt(_fixed_dot(mm, mm)) * np.sqrt(_fixed_dot(q, q))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        s = np.where(den == 0, 0.0, _fixed_dot(mm, q) / den)
-    s[missing] = -np.inf
-    return s
-
-
 def _block_scorer(k: int, threshold: float, q_id: str, c_id: str):
     """cogroup function: one catalogue block x one question chunk -> the
     block's ``k`` best rows per question above the threshold, ordered by
@@ -123,7 +112,7 @@ def _block_scorer(k: int, threshold: float, q_id: str, c_id: str):
             if s.shape[0] > k:
                 mask &= s >= np.partition(s, s.shape[0] - k, axis=0)[s.shape[0] - k][None, :] - MARGIN
             r, c = np.nonzero(mask)
-            score = np.maximum(_fixed_cos(title[r], qv[c]), _fixed_cos(desc[r], qv[c]))
+            score = np.maximum(fixed_cos(title[r], qv[c]), fixed_cos(desc[r], qv[c]))
             keep = score > threshold
             found.append(pd.DataFrame({q_id: qids[c[keep]], c_id: cids[a:a + sub][r[keep]], "score": score[keep]}))
         out = pd.concat(found).sort_values([q_id, "score", c_id], ascending=[True, False, True], kind="stable")
@@ -131,14 +120,44 @@ def _block_scorer(k: int, threshold: float, q_id: str, c_id: str):
     return fn
 
 
+def question_chunks(q: DataFrame, q_id: str) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """Ids and vectors of ``q(q_id, _qv)`` in bounded chunks, or ``None`` if
+    there are more than ``SCAN_CHUNKS``.  A missing vector is a zero vector."""
+    n = max(1, math.ceil(measure(q).bytes / QUESTION_CHUNK_BYTES))
+    if n > SCAN_CHUNKS:
+        return None
+    out = []
+    for k in range(n):
+        rows = q.where(F.pmod(F.xxhash64(q_id), F.lit(n)) == k).toArrow()
+        sizes = [s for s in rows.column("_qv").combine_chunks().value_lengths().to_pylist() if s is not None]
+        vectors = vector_scan.vectors_of(rows.column("_qv").combine_chunks(), max(sizes, default=1))
+        out.append((rows.column(q_id).to_numpy(), np.where(np.isnan(vectors), 0.0, vectors)))
+    return out
+
+
+def visited_cells(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", q_vec: str = "q_vec", c_id: str = "image_row",
+                  title_vec: str = "title_vec", desc_vec: str = "desc_vec", k: int = MAX_RESULTS, threshold: float = COSINE_THRESHOLD) -> DataFrame:
+    """``(cells, visited)`` of an exact search: pairs of a question and a
+    catalogue cell, and those that the cells' bounds could not skip."""
+    q = materialize(questions.select(F.col(q_id).cast("long").alias(q_id), F.col(q_vec).alias("_qv")))
+    c = catalog.select(F.col(c_id).cast("long").alias(c_id), F.col(title_vec).alias("_tv"), F.col(desc_vec).alias("_dv"))
+    chunks = question_chunks(q, q_id)
+    if chunks is None:
+        raise ValueError("cells are counted for question sets of a few chunks only")
+    return vector_scan.scan(chunks, c, k, threshold, [q_id, c_id, "score"], count=True).agg(F.sum("cells").alias("cells"), F.sum("visited").alias("visited"))
+
+
 def _blocked(questions: DataFrame, catalog: DataFrame, *, q_id: str, q_vec: str, c_id: str,
              title_vec: str, desc_vec: str, k: int, threshold: float) -> DataFrame:
-    """Exact question x catalogue scoring by numpy blocks.  The catalogue is
-    hash-split into blocks of about ``BLOCK_ROWS`` rows and the measured
-    question set into chunks; every chunk is cogrouped with every block in one
-    plan.  Only each block's per-question winners leave the task."""
+    """Exact question x catalogue scoring by numpy blocks.  A question set of
+    few chunks is sent to the catalogue's tasks.  Of a larger one every chunk is
+    cogrouped with every hash-split block of about ``BLOCK_ROWS`` rows in one
+    plan.  Only each task's per-question winners leave it."""
     q = materialize(questions.select(F.col(q_id).cast("long").alias(q_id), F.col(q_vec).alias("_qv")))
     c = catalog.select(F.col(c_id).cast("long").alias(c_id), F.col(title_vec).alias("_tv"), F.col(desc_vec).alias("_dv"))
+    chunks = question_chunks(q, q_id)
+    if chunks is not None:
+        return vector_scan.scan(chunks, c, k, threshold, [q_id, c_id, "score"])
     n_rows = c.select(c_id).count()
     spark = catalog.sparkSession
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / BLOCK_ROWS))

@@ -137,6 +137,41 @@ def m8_nearest(fx: Fixtures) -> DataFrame:
     return n.select("question_id", "image_row", F.round("score", 6).alias("score"), "rank")
 
 
+@register("m8_pivot_cells", with_views("fx_vec_catalog", "fx_vec_questions", extra=_VEC_SCORES) + """
+SELECT question_id, image_row, round(score, 6) AS score, rank FROM vr WHERE rank <= 5""")
+def m8_pivot_cells(fx: Fixtures) -> DataFrame:
+    """M8 over a catalogue stored by pivot cells (written once, then searched)."""
+    from pyspark.sql import functions as F
+
+    from kbspark.operators.joins import materialize
+    from kbspark.operators.vector_scan import pivot_cells
+    from kbspark.operators.vectors import nearest
+    stored = materialize(pivot_cells(fx.vec_catalog(), "image_row", "title_vec"))
+    n = nearest(fx.vec_questions(), stored)
+    return n.select("question_id", "image_row", F.round("score", 6).alias("score"), "rank")
+
+
+def lsh_recall(fx: Fixtures) -> DataFrame:
+    """One row ``n_exact, n_found``: hits of the exact search over the whole
+    tables, and those of them that hashing finds with the same score."""
+    from pyspark.sql import functions as F
+
+    from kbspark.operators.vector_lsh import nearest_lsh
+    from kbspark.operators.vectors import nearest
+    exact = nearest(fx.vec_questions(), fx.vec_catalog()).select("question_id", "image_row", F.round("score", 6).alias("score"))
+    found = nearest_lsh(fx.vec_questions(), fx.vec_catalog()).select("question_id", "image_row", F.round("score", 6).alias("score"), F.lit(1).alias("hit"))
+    return exact.join(found, ["question_id", "image_row", "score"], "left").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+
+
+@register("m8_lsh_recall", with_views("fx_vec_catalog", "fx_vec_questions", extra=_VEC_SCORES) + """
+SELECT count(*) AS n_exact, true AS recall_reached FROM vr WHERE rank <= 5""")
+def m8_lsh_recall(fx: Fixtures) -> DataFrame:
+    """M8's candidate step by hashing, held against the exact search over the
+    whole tables: hits, and whether at least 0.9 of them were found."""
+    from pyspark.sql import functions as F
+    return lsh_recall(fx).select("n_exact", (F.col("n_found") >= 0.9 * F.col("n_exact")).alias("recall_reached"))
+
+
 def _tok_sql(x: str) -> str:
     return f"string_split({norm(x)}, ' ')"
 

@@ -3,10 +3,12 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kbspark.operators import evaluate as ev
 from kbspark.operators import threads as th
+from kbspark.operators import vector_lsh, vector_scan
 from kbspark.operators import vectors as vx
 
 
@@ -69,6 +71,100 @@ def test_ties_do_not_depend_on_the_partitions(spark):
     assert all(s == seen[0] for s in seen)
 
 
+def _vectors(rnd, n, dim, clusters=0):
+    middles = [[rnd.gauss(0, 1) for _ in range(dim)] for _ in range(clusters)]
+    return [[x + rnd.gauss(0, 0.05) for x in rnd.choice(middles)] if clusters else [rnd.gauss(0, 1) for _ in range(dim)] for _ in range(n)]
+
+
+def _brute(cat, qs, k, threshold):
+    out = set()
+    for qi, qv in qs:
+        if qv is None:
+            qv = [0.0]
+        scores = []
+        for ci, t, d in cat:
+            s = [0.0 if not any(qv) else _cos(qv, v) for v in (t, d) if v is not None]
+            if s and max(s) > threshold:
+                scores.append((-max(s), ci))
+        out |= {(qi, ci, rank) for rank, (_, ci) in enumerate(sorted(scores)[:k], 1)}
+    return out
+
+
+def test_cells_and_cogroup_equal_brute_force(spark, monkeypatch):
+    rnd = random.Random(3)
+    e = _vectors(rnd, 260, 6, clusters=9)
+    zero = [0.0] * 6
+    cat = [(i, e[i], e[(i * 7) % 260] if i % 4 else None) for i in range(260)] + [(900, None, None), (901, zero, None), (902, None, zero)]
+    qs = [(i, v) for i, v in enumerate(_vectors(rnd, 12, 6))] + [(50 + i, e[i]) for i in range(10)] + [(70, zero), (71, None)]
+    c = spark.createDataFrame(cat, "image_row long, title_vec array<double>, desc_vec array<double>")
+    q = spark.createDataFrame(qs, "question_id long, q_vec array<double>")
+    monkeypatch.setattr(vector_scan, "CELL_ROWS", 16)
+    for k, threshold in ((1, 0.6), (4, 0.95), (5, -0.2)):
+        want = _brute(cat, qs, k, threshold)
+        stored = vector_scan.pivot_cells(c, "image_row", "title_vec")
+        for frame in (c, stored):
+            got = {(r.question_id, r.image_row, r["rank"]) for r in vx.nearest(q, frame, k=k, threshold=threshold).collect()}
+            assert got == want, (k, threshold)
+        monkeypatch.setattr(vx, "SCAN_CHUNKS", 0)
+        assert {(r.question_id, r.image_row, r["rank"]) for r in vx.nearest(q, c, k=k, threshold=threshold).collect()} == want
+        monkeypatch.setattr(vx, "SCAN_CHUNKS", 8)
+
+
+def test_cells_by_pivots_are_skipped(spark, monkeypatch):
+    rnd = random.Random(4)
+    monkeypatch.setattr(vector_scan, "CELL_ROWS", 8)  # a quarter of a pivot's rows, as by default
+    monkeypatch.setattr(vector_scan, "PIVOT_ROWS", 32)
+    e = _vectors(rnd, 1200, 24, clusters=30)
+    c = spark.createDataFrame([(i, v, None) for i, v in enumerate(e)], "image_row long, title_vec array<double>, desc_vec array<double>").repartition(3)
+    q = spark.createDataFrame([(i, e[i]) for i in range(40)], "question_id long, q_vec array<double>")
+    plain = vx.visited_cells(q, c, threshold=0.6).first()
+    stored = vx.visited_cells(q, vector_scan.pivot_cells(c, "image_row", "title_vec"), threshold=0.6).first()
+    assert stored.visited < 0.3 * stored.cells and stored.visited < 0.5 * plain.visited
+
+
+def test_hashed_candidates_reach_their_recall(spark):
+    rnd = random.Random(10)
+    e = _vectors(rnd, 500, 32)
+    near = [[x + rnd.gauss(0, 0.9) for x in v] for v in e[:150]]
+    c = spark.createDataFrame([(i, v, None) for i, v in enumerate(e)] + [(600, None, None), (601, [0.0] * 32, None), (602, None, e[3])],
+                              "image_row long, title_vec array<double>, desc_vec array<double>")
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(near)] + [(900, None), (901, [0.0] * 32)], "question_id long, q_vec array<double>")
+    exact = {(r.question_id, r.image_row): r.score for r in vx.nearest(q, c, threshold=0.6).collect()}
+    got = {(r.question_id, r.image_row): r.score for r in vector_lsh.nearest_lsh(q, c, threshold=0.6).collect()}
+    assert got.items() <= exact.items() and len(exact) > 100
+    assert len(got) >= 0.9 * len(exact)
+    assert vector_lsh.nearest_lsh(q.limit(0), c).collect() == [] and vector_lsh.nearest_lsh(q, c.limit(0)).collect() == []
+
+
+def test_tables_by_recall():
+    assert vector_lsh.table_count(1, 0.99, 0.5) == 1
+    assert vector_lsh.table_count(12, 0.6, 0.95) > vector_lsh.table_count(12, 0.8, 0.95) > vector_lsh.table_count(12, 0.8, 0.5)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    from kbspark.plans.matching import lsh_recall
+    from kbspark.sources.fixtures import Fixtures
+
+    row = lsh_recall(Fixtures(spark, f"/root/testdata/{sf}")).first()
+    assert row.n_exact > 400 and row.n_found >= 0.9 * row.n_exact
+
+
+def test_sweep_of_many_thresholds(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.randrange(3), None if i % 9 == 0 else rnd.randrange(3), None if i % 9 == 0 else rnd.choice([rnd.random(), 0.25, 0.5])) for i in range(400)]
+    b = spark.createDataFrame(rows, "question_id long, expected long, got long, score double").repartition(3)
+    for thresholds in ([0.5], [0.25, 0.5, 0.5, 0.1, 2.0], [i / 1000 for i in range(1000)]):
+        got = {tuple(r) for r in ev.threshold_sweep(b, thresholds).collect()}
+        want = set()
+        for t in set(thresholds):
+            kept = [r for r in rows if r[3] is not None and r[3] > t]
+            right = sum(r[1] == r[2] for r in kept)
+            want.add((t, 400, len(kept), right, round(right / 400, 6)))
+        assert got == want
+    assert ev.threshold_sweep(b.limit(0), [0.5]).collect() == []
+
+
 def test_threshold_is_strict_and_ties_take_first(spark):
     c = spark.createDataFrame([(1, [0.6, 0.8], None), (2, [1.0, 0.0], None), (3, [1.0, 0.0], None)],
                               "image_row long, title_vec array<double>, desc_vec array<double>")
