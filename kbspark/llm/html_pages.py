@@ -29,6 +29,15 @@ FURNITURE_WORDS = frozenset(
 AMBIGUOUS = frozenset(
     """advertising banner consent cookie cookies disclaimer header login masthead menu modal navigation newsletter notice notices notification overlay
     promotion recommended related replies reply search share sharing skip social sponsor sponsored subscribe widget""".split())
+#: Of these, words that inside an article name its own parts at least as often.
+OWN_PARTS = frozenset("header masthead recommended related search skip widget".split())
+#: Words of class names that only say where or how an element stands.
+NEUTRAL = frozenset(
+    """area article bar block bottom box button buttons col column container content count desktop entry fixed form global group icon icons inline
+    inner item items large left link links list main mobile outer page panel post primary right row secondary section site small sticky story
+    top wrap wrapper""".split())
+#: With these a header is that of a piece of text, not of the page.
+TEXT_PARTS = frozenset("article block card content entry item list post section story".split())
 CONTENT = ("main", "article")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Ids of sections that are no slugs of their headings.
@@ -45,12 +54,37 @@ class Block(NamedTuple):
     content: str  # "main", "article" or ""
 
 
+def _words(name: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z]+", name) if w]
+
+
 def _clear(name: str) -> bool:
-    """Whether a whole class or id says page furniture even inside an article."""
+    """Whether a whole id says page furniture even inside an article."""
     words = name.split("-")
     return all(w in FURNITURE_WORDS for w in words) and any(w not in AMBIGUOUS for w in words)
 
 
+def _clear_class(name: str) -> bool:
+    """Whether a class says page furniture even inside an article: all that its
+    name says, besides where it stands, is furniture (``entry-comments``, not
+    ``share-price`` or ``entry-header``)."""
+    said = [w for w in _words(name) if w not in NEUTRAL]
+    return bool(said) and all(w in FURNITURE_WORDS for w in said) and any(w not in OWN_PARTS for w in said)
+
+
+def _outside(name: str) -> bool:
+    """Whether a class or id says page furniture outside an article: by a word
+    that means nothing else, or by its whole name (``site-search``, not
+    ``market-share`` or ``section-header``)."""
+    words = _words(name)
+    said = [w for w in words if w in FURNITURE_WORDS]
+    if "header" in said and TEXT_PARTS & set(words):
+        said.remove("header")
+    if any(w not in AMBIGUOUS for w in said):
+        return True
+    return bool(said) and all(w in FURNITURE_WORDS or w in NEUTRAL for w in words)
+
+
 @functools.lru_cache(maxsize=4096)
 def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """``(name in paths, furniture by itself, furniture inside content)`` of a start tag."""
@@ -62,8 +96,9 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
     # ids of headings, and of sections, are mostly slugs of their titles
     slug = tag in HEADINGS or tag == "section" and ident not in SECTION_IDS
     named = tag not in ("html", "body", *CONTENT)
-    outside = named and any(w in FURNITURE_WORDS for w in re.split(r"[^a-z]+", classes if slug else f"{classes} {ident}"))
-    inside = named and any(map(_clear, classes.split() + [ident] * (not slug)))
+    names = classes.split()
+    outside = named and any(map(_outside, names + [ident] * (not slug)))
+    inside = named and (any(map(_clear_class, names)) or not slug and _clear(ident))
     return ".".join([tag, *sorted(set(words))]), furniture or outside, furniture or inside
 
 

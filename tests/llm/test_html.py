@@ -98,6 +98,18 @@ def test_names_inside_an_article_drop_clear_furniture_only():
     assert text_of("<body><h2 id='social'>Social</h2><section id='search-engines'><p>Engines</p></section><div class='site-search'>Go</div></body>") == "Social Engines"
 
 
+def test_class_names_by_all_they_say():
+    gone = ["cookie-notice", "advertising", "sponsored", "newsletter", "share", "social", "replies", "entry-comments", "comment-list", "notice", "Main-Menu", "post_share links"]
+    stay = ["share-price", "market-share", "entry-header", "section-header", "social-history", "cookie-recipe", "research", "story", "menu-history"]
+    for name in gone + stay:
+        want = "Title kept" if name in gone else "Title kept inner"
+        assert text_of(f"<body><article><h1>Title</h1><p>kept</p><div class='{name}'><p>inner</p></div></article></body>") == want, name
+    outside = ["site-search", "cookie-notice", "advertising", "social", "site-header", "header", "left-sidebar", "comment-list", "menu"]
+    for name in outside + stay:
+        got = text_of(f"<body><div class='text'><p>The text goes on here.</p></div><div class='{name}'><p>And the rest.</p></div></body>")
+        assert got == ("The text goes on here." if name in outside else "The text goes on here. And the rest."), name
+
+
 def test_support_is_an_exact_number_of_different_pages(spark):
     def page(h, k):
         return f"<article><h1>Page {k} of {h}</h1><p>The same words.</p></article>"
