@@ -31,7 +31,7 @@ LOOK_AHEAD = 256
 #: Pieces of one packer, about; the number of packers grows with the pieces.
 PACKER_PIECES = 1 << 16
 #: Bytes of the table of recent parts of texts of one worker, about, and of an entry besides its text and ids.
-RECENT_BYTES = 24 << 20
+RECENT_BYTES = 96 << 20
 ENTRY_BYTES = 200
 #: Texts read from Arrow at a time.
 SLICE = 128
@@ -58,8 +58,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.start = os.path.commonprefix(self.added)
         self.tokenise = self.tokenizer.model.tokenize
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {c: as_bytes(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -90,7 +90,7 @@ class WordIds(dict):
         return b"".join(map(self.raw.__getitem__, self.tokenizer.encode(part, add_special_tokens=False).ids))
 
     def ids(self, text: str) -> bytes:
-        if self.special(text):
+        if self.start in text and any(name in text for name in self.added):
             return b"".join(map(self.raw.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
