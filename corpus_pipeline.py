@@ -4,6 +4,13 @@ then near copies, and what stays is packed into training sequences.
 Each stage takes ``(spark, docs, sf_dir)``; all but the last return the kept
 rows with the columns of ``docs``.  Every stage's result is written to the
 shared folder and read again, so a lost executor costs no earlier stage.
+
+Null texts count as empty and are clean; equal texts, empty ones among them,
+leave one row (the smallest id; a null id counts as larger than any), rows with
+a null id are no near copies, and every row that is left is packed, with the end
+id alone where its text is empty.  Of near copies with equal smallest ids one
+stays.  Texts of any length are read whole, rows that repeat are judged each,
+extra columns are kept up to the last stage, and an empty table gives no rows.
 """
 
 from __future__ import annotations
