@@ -27,6 +27,7 @@ join are cut into parts by their measured size).
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,9 +159,33 @@ def containment_candidates(qa: DataFrame, cat: DataFrame, c_id: str, hay: str, s
     return cand.distinct()
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """A catalogue made ready for any number of question sets: ``texts`` with
+    the normalised text ``_cn``, and ``keys`` with what fuzzy matching needs."""
+
+    texts: DataFrame
+    keys: DataFrame
+
+
+def fuzzy_keys(cat: DataFrame, c_id: str, c_norm: str) -> DataFrame:
+    """(c_id, cs, lc, hc0...): sorted tokens, their length and letter counts.
+    The length is non-nullable on purpose, see ``fuzzy_pairs``."""
+    cs = cat.select(c_id, token_sort_key(F.col(c_norm)).alias("cs")).withColumn("lc", F.coalesce(F.length("cs"), F.lit(0)))
+    return cs.select("*", *[n.alias(f"hc{i}") for i, n in enumerate(letter_counts(F.col("cs")))])
+
+
+def prepare(catalog: DataFrame, c_id: str = "image_row", c_text: str = "description") -> Prepared:
+    """Normalise and tokenise a catalogue once, into written tables that later
+    question sets read (streams: before the first micro-batch)."""
+    texts = materialize(catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(normalize_text(c_text)).alias("_cn")))
+    return Prepared(texts, materialize(fuzzy_keys(texts, c_id, "_cn")))
+
+
 def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: str,
-                threshold: int) -> DataFrame:
+                threshold: int, keys: DataFrame | None = None) -> DataFrame:
     """(_qk, c_id, match_score) with token-sort ratio >= threshold (exact).
+    ``keys`` are the catalogue's ``fuzzy_keys`` where they are at hand.
 
     Two exact bounds are checked inside the join, so that only near hits reach
     Python: the lengths' ratio, and the characters both strings can share at
@@ -174,7 +199,7 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
     # makes Spark infer an IS NOT NULL filter and push it below the scan-side
     # exchange, which would evaluate the token-sort chain twice per row
     qs = q.select(_QK, token_sort_key(F.col(q_norm)).alias("qs")).withColumn("lq", F.coalesce(F.length("qs"), F.lit(0)))
-    cs = cat.select(c_id, token_sort_key(F.col(c_norm)).alias("cs")).withColumn("lc", F.coalesce(F.length("cs"), F.lit(0)))
+    cs = fuzzy_keys(cat, c_id, c_norm) if keys is None else keys
 
     def bucket(c: Column) -> Column:
         # an empty processed string gets its own bucket: it meets only empty
@@ -183,7 +208,6 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
             F.floor(F.log(c.cast("double")) / F.lit(width)).cast("long")), F.lit(EMPTY_BUCKET))
 
     qs = qs.select("*", *[n.alias(f"hq{i}") for i, n in enumerate(letter_counts(F.col("qs")))])
-    cs = cs.select("*", *[n.alias(f"hc{i}") for i, n in enumerate(letter_counts(F.col("cs")))])
     counted = range(len(LETTERS) + 1)
     qb = (qs.withColumn("b0", bucket(F.col("lq")))
             .select(_QK, "qs", "lq", *[f"hq{i}" for i in counted], F.explode(
@@ -192,7 +216,7 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
     cb = cs.withColumn("bucket", bucket(F.col("lc")))
     qb = materialize(qb)
     qb_side, small = maybe_broadcast(qb)
-    keys = ["bucket"]
+    on = ["bucket"]
     if not small:
         # texts of one kind share a few buckets: each is cut into as many parts
         # as its rows need (at most one row per length bucket here: broadcast)
@@ -201,10 +225,10 @@ def fuzzy_pairs(q: DataFrame, cat: DataFrame, c_id: str, q_norm: str, c_norm: st
         parts = F.broadcast(materialize(parts))
         cb = cb.join(parts, "bucket").withColumn("salt", F.pmod(F.xxhash64(F.col(c_id)), F.col("parts")).cast("int")).drop("parts")
         qb_side = (qb.join(parts, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
-        keys = ["bucket", "salt"]
+        on = ["bucket", "salt"]
     need = F.lit(2 * threshold - 1) * (F.col("lq") + F.col("lc"))
     shared = sum((F.least(f"hq{i}", f"hc{i}") for i in counted), F.lit(0))
-    pairs = cb.join(qb_side, keys).where((F.lit(400) * F.least("lq", "lc") >= need) & (F.lit(400) * shared >= need))
+    pairs = cb.join(qb_side, on).where((F.lit(400) * F.least("lq", "lc") >= need) & (F.lit(400) * shared >= need))
     return (pairs.select(_QK, c_id, ratio_at_least_udf(threshold)(F.col("qs"), F.col("cs")).alias("match_score"))
                  .where(F.col("match_score") >= threshold))
 
@@ -233,18 +257,20 @@ def _question_keys(questions: DataFrame, q_id: str, q_text: str):
     return mapping, reps, small
 
 
-def _scores_by_key(reps: DataFrame, catalog: DataFrame, c_id: str, c_text: str, threshold: int, small: bool) -> DataFrame:
-    # read by the substring and the fuzzy branch, several times each
-    cat = materialize(catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(normalize_text(c_text)).alias("_cn")))
+def _scores_by_key(reps: DataFrame, catalog: DataFrame | Prepared, c_id: str, c_text: str, threshold: int, small: bool) -> DataFrame:
+    if isinstance(catalog, Prepared):
+        cat, keys = catalog.texts, catalog.keys
+    else:  # read by the substring and the fuzzy branch, several times each
+        cat, keys = materialize(catalog.where(F.col(c_text).isNotNull()).select(c_id, _non_null(normalize_text(c_text)).alias("_cn"))), None
     qa = reps.select(_QK, "_qn", F.array("_qn").alias("needles"))
     sub = containment_candidates(qa, cat, c_id, "_cn", " ", lambda hay: hay.contains(F.col("_qn")), small, exact=True)
     sub = sub.withColumn("match_score", F.lit(100))
-    fz = fuzzy_pairs(reps, cat, c_id, "_qn", "_cn", threshold)
+    fz = fuzzy_pairs(reps, cat, c_id, "_qn", "_cn", threshold, keys)
     return (sub.unionByName(fz).groupBy(_QK, c_id).agg(F.max("match_score").alias("match_score"))
                .where(F.col("match_score") >= threshold))
 
 
-def match_scores(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", q_text: str = "question",
+def match_scores(questions: DataFrame, catalog: DataFrame | Prepared, *, q_id: str = "question_id", q_text: str = "question",
                  c_id: str = "image_row", c_text: str = "description", threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """M2 at a threshold: (q_id, c_id, match_score) for every pair scoring
     >= threshold; NULL descriptions are skipped."""
@@ -253,7 +279,7 @@ def match_scores(questions: DataFrame, catalog: DataFrame, *, q_id: str = "quest
     return mapping.join(s, _QK).select(q_id, c_id, "match_score")
 
 
-def top_matches(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", q_text: str = "question",
+def top_matches(questions: DataFrame, catalog: DataFrame | Prepared, *, q_id: str = "question_id", q_text: str = "question",
                 c_id: str = "image_row", c_text: str = "description", threshold: int = FUZZY_THRESHOLD,
                 k: int = MAX_RESULTS) -> DataFrame:
     """M4: best k per question (score desc, ties in catalogue order), ``rank`` 1..k."""

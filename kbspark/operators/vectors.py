@@ -10,7 +10,7 @@ split.  No pair list is ever materialised or shuffled: the shuffle carries k
 rows per question per task, then a partial aggregate / group-limited window
 merges them.
 
-TF-IDF (M9) is an equi-join on tokens with exact prefix pruning.
+TF-IDF (M9) scores in full only documents that an upper bound lets through.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import explode_computed
-from kbspark.operators import vector_scan
+from kbspark.operators import tfidf_scan, vector_scan
 from kbspark.operators.joins import materialize, maybe_broadcast, measure
 from kbspark.operators.match import COSINE_THRESHOLD, MAX_RESULTS
 from kbspark.operators.vector_scan import fixed_cos
@@ -231,17 +231,17 @@ def tfidf_best_match(questions: DataFrame, corpus: DataFrame, *, q_id: str, q_to
     """M9: TF-IDF cosine best match per question (> threshold), exact.
 
     idf = ln((1+N)/(1+df)) + 1 over the corpus, tf = raw count, vectors
-    L2-normalised.  Candidates come from the question's prefix tokens only:
-    its highest-weight tokens up to the point where the remaining weights'
-    norm drops below the threshold; a document sharing none of them cannot
-    exceed the threshold (Cauchy-Schwarz).  The prefix holds the rare,
-    high-idf tokens, so the postings it probes are short."""
+    L2-normalised.  A bounded question set goes to the corpus' tasks, which
+    pass on the documents whose upper bound can reach a question's best score
+    so far (``tfidf_scan.py``).  Beyond that bound candidates come from the
+    question's prefix tokens: its highest-weight tokens up to the point where
+    the remaining weights' norm drops below the threshold; a document sharing
+    none of them cannot exceed the threshold (Cauchy-Schwarz).  Candidates are
+    scored exactly in either case.  The threshold must be positive."""
     n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
-    # the corpus is tokenised once: vocabulary, candidates and weights all read
-    # the written counts.  The vocabulary table grows with the vocabulary, not
-    # the corpus (partial aggregation absorbs hot tokens before the shuffle)
-    dtf = materialize(term_counts(corpus, d_id, d_tokens))
-    dtok = dtf.select(d_id, "token")
+    # distinct tokens of each document, counted on the map side first: the
+    # shuffle and the written table grow with the vocabulary
+    dtok = corpus.select(d_id, explode_computed(F.array_distinct(d_tokens)).alias("token")).where(F.col("token") != "")
     df = materialize(dtok.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
 
     def idf(c: Column) -> Column:
@@ -250,17 +250,28 @@ def tfidf_best_match(questions: DataFrame, corpus: DataFrame, *, q_id: str, q_to
     qtf = term_counts(questions, q_id, q_tokens)
     q_idf = materialize(qtf.select("token").distinct().join(df, "token", "left").select("token", idf(F.col("df")).alias("idf")))
     qw = materialize(tfidf(qtf, q_id, maybe_broadcast(q_idf)[0]))
-    # prefix: by weight desc; token i stays while the norm of (w_i, w_i+1, ...) >= threshold
-    w = Window.partitionBy(q_id).orderBy(F.col("w").desc(), F.col("token"))
-    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    prefix = qw.withColumn("_tail", tail).where(F.col("_tail") >= F.lit(threshold)).select(q_id, "token")
-    qw_side, _ = maybe_broadcast(qw)
-    prefix_side, _ = maybe_broadcast(prefix)
-    cand = dtok.join(prefix_side, "token").select(q_id, d_id).distinct()
-    cand = materialize(cand)
+    qw_side, small = maybe_broadcast(qw)
+    cand = None
+    if small:
+        size = qw.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(q_id).alias("q")).first()
+        if size["n"] <= tfidf_scan.MAX_WEIGHTS and size["q"] <= tfidf_scan.MAX_QUESTIONS:
+            top = df.orderBy(F.col("df").desc(), "token").limit(tfidf_scan.FREQUENT).select("token", "df", idf(F.col("df")).alias("idf")).toArrow()
+            frequent = dict(zip(top.column("token").to_pylist(), top.column("idf").to_pylist()))
+            # the next token's df is at most the least one in the table
+            rare = max(frequent.values(), default=1.0)
+            passed = materialize(tfidf_scan.candidates(qw.join(maybe_broadcast(q_idf)[0], "token"), frequent, rare, corpus, q_id, d_id, d_tokens, threshold))
+            cand, found = passed.select(q_id, d_id).distinct(), passed.select(d_id, d_tokens).dropDuplicates([d_id])
+    if cand is None:
+        # prefix: by weight desc; token i stays while the norm of (w_i, w_i+1, ...) >= threshold
+        w = Window.partitionBy(q_id).orderBy(F.col("w").desc(), F.col("token"))
+        tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        prefix = qw.withColumn("_tail", tail).where(F.col("_tail") >= F.lit(threshold)).select(q_id, "token")
+        cand = materialize(dtok.join(maybe_broadcast(prefix)[0], "token").select(q_id, d_id).distinct())
+        cand_docs, _ = maybe_broadcast(cand.select(d_id).distinct())
+        found = corpus.join(cand_docs, d_id, "left_semi")
     # exact dot product of the candidates over all shared tokens
-    cand_docs, _ = maybe_broadcast(cand.select(d_id).distinct())
-    dw = tfidf(dtf.join(cand_docs, d_id, "left_semi"), d_id, df.select("token", idf(F.col("df")).alias("idf")))
+    dtf = term_counts(found, d_id, d_tokens)
+    dw = tfidf(dtf, d_id, df.select("token", idf(F.col("df")).alias("idf")))
     scores = (cand.join(qw_side, q_id)
                   .join(dw.withColumnRenamed("w", "_dw"), [d_id, "token"])
                   .groupBy(q_id, d_id).agg(F.round(F.sum(F.col("w") * F.col("_dw")), SCORE_DIGITS).alias("score"))

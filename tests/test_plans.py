@@ -68,3 +68,28 @@ def test_tables_keep_the_scans_splits_unless_the_session_asks(spark):
         assert "RoundRobinPartitioning(4)" in plan(ks.read_table(spark, SF_SMALL, "documents"))
     finally:
         spark.conf.set(ks.READ_PARTITIONS, old) if old else spark.conf.unset(ks.READ_PARTITIONS)
+
+
+def test_a_prepared_catalogue_is_not_read_again(spark):
+    """Question sets against a prepared catalogue read its written tables only."""
+    from kbspark.operators import match
+    from kbspark.sources.fixtures import Fixtures
+
+    fx = Fixtures(spark, SF_SMALL)
+    prepared = match.prepare(fx.catalog())
+    top = match.top_matches(fx.questions(), prepared)
+    assert "documents.parquet" not in plan(top)
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, match.top_matches(fx.questions(), fx.catalog()).collect()))
+
+
+def test_vector_search_shuffles_no_catalogue(spark):
+    """The catalogue is scored where it is read: one Python pass per question
+    chunk, and the only exchange behind it carries the winners."""
+    from kbspark.operators.vectors import nearest
+    from kbspark.sources.fixtures import Fixtures
+
+    fx = Fixtures(spark, SF_SMALL)
+    catalog = fx.table("embeddings").selectExpr("vec_id AS image_row", "embedding AS title_vec", "embedding AS desc_vec")
+    questions = fx.table("embeddings").selectExpr("vec_id AS question_id", "embedding AS q_vec")
+    p = plan(nearest(questions, catalog))
+    assert "FlatMapCoGroups" not in p and "MapInArrow" in p and "WindowGroupLimit" in p

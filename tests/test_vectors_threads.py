@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import evaluate as ev
 from kbspark.operators import threads as th
-from kbspark.operators import vector_lsh, vector_scan
+from kbspark.operators import tfidf_scan, vector_lsh, vector_scan
 from kbspark.operators import vectors as vx
 
 
@@ -213,6 +213,33 @@ def test_tfidf_prefix_pruning_is_exact(spark):
         assert got[qi] == want
 
 
+@pytest.mark.parametrize("frequent, most", [(200_000, 50_000), (5, 50_000), (0, 50_000), (5, 0)])
+def test_tfidf_bounds_are_exact(spark, monkeypatch, frequent, most):
+    """Whatever the table of frequent tokens holds, and by the join beyond the
+    bound, the best document is that of a full comparison."""
+    monkeypatch.setattr(tfidf_scan, "FREQUENT", frequent)
+    monkeypatch.setattr(tfidf_scan, "MAX_QUESTIONS", most)
+    rnd = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = [[rnd.choice(vocabulary[:rnd.choice((8, 60))]) for _ in range(rnd.randrange(0, 25))] for _ in range(120)]
+    qs = [t[: rnd.randrange(1, 12)] for t in text[:30] if t] + [["nowhere"], [], ["w1"]]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(text)] + [(500, None), (501, [""])], "doc_id long, toks array<string>").repartition(3)
+    q = spark.createDataFrame(list(enumerate(qs)), "question_id long, toks array<string>")
+    got = {r.question_id: (r.doc_id, r.score) for r in vx.tfidf_best_match(q, d, q_id="question_id", q_tokens="toks", d_id="doc_id", d_tokens="toks", threshold=0.4).collect()}
+    n = len(text) + 2
+    df = {w: sum(w in t for t in text) for w in [*vocabulary, "nowhere"]}
+
+    def vec(t):
+        v = {w: t.count(w) * (math.log((1 + n) / (1 + df[w])) + 1) for w in set(t)}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+    docs = [vec(t) for t in text]
+    for i, t in enumerate(qs):
+        v = vec(t)
+        scores = sorted((-round(sum(x * other.get(w, 0) for w, x in v.items()), 9), k) for k, other in enumerate(docs))
+        assert got[i] == ((scores[0][1], -scores[0][0]) if -scores[0][0] > 0.4 else (None, None))
+
+
 def test_t1_case_sensitive(spark):
     lines = spark.createDataFrame([(1, '"assistantName": "SMART",  "assistantID": asst_1')], "line_no long, line string")
     rq = spark.createDataFrame([("smart",), ("SMART",)], "assistant_name string")
