@@ -109,13 +109,14 @@ UNION ALL SELECT true, true, * FROM ({appended.format(base='kept', desc='c.descr
 def c6_reingest_matrix(fx: Fixtures) -> DataFrame:
     """The stored catalogue after re-ingesting every manual, for all four (cleanup, captions) flag pairs, read back."""
     req = fx.new_images().select("assistant_key", "filepath").distinct()
+    root, schema = _stored(fx, "c6")
     out = None
     for cleanup in (False, True):
         for captions in (False, True):
-            root, schema = _stored(fx, "c6")
-            store.replace_folders(fx.spark, root, schema, req, lambda c, cleanup=cleanup, captions=captions: cat.reingest(
-                c, fx.new_images(), fx.assistants(), req, cleanup, fx.captions() if captions else None))
-            c = store.load_catalog(fx.spark, root, schema).select(F.lit(cleanup).alias("cleanup"), F.lit(captions).alias("captions"),
+            # four branches of one stored catalogue
+            version = store.replace_folders(fx.spark, root, schema, req, lambda c, cleanup=cleanup, captions=captions: cat.reingest(
+                c, fx.new_images(), fx.assistants(), req, cleanup, fx.captions() if captions else None), publish=False)
+            c = store.load_catalog(fx.spark, root, schema, version).select(F.lit(cleanup).alias("cleanup"), F.lit(captions).alias("captions"),
                          "image_row", "filepath", "filename", "description")
             out = c if out is None else out.unionByName(c)
     return out

@@ -25,7 +25,8 @@ def store_images(images: DataFrame, root: str, order: tuple[str, ...] = ("doc_id
     path = F.concat(F.col("filepath"), F.lit("/"), F.col("filepath"), F.lit("_"), F.col("filename")).alias("path")
     rows = (images.select("filepath", path, "content", F.struct(*order).alias("_order"))
             .groupBy("filepath", "path").agg(F.max_by("content", "_order").alias("content")))
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # by folder, so that a task writes few folders; a large one takes several tasks
+    (rows.hint("rebalance", "filepath").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("filepath").parquet(root))
     return rows.sparkSession.read.parquet(root)
 

@@ -41,6 +41,52 @@ def test_only_touched_folders_are_rewritten(spark):
     assert files["b"] == before["b"] and files["007"] == before["007"] and files["a"] != before["a"]
 
 
+def test_a_failed_change_leaves_the_old_version(spark, monkeypatch):
+    catalog = _catalog(spark, [(1, "a", 1), (2, "b", 1), (3, None, 1)])
+    root = shared_folder(spark, "t-store")
+    store.save_catalog(catalog, root)
+    schema = catalog.select(*store.COLUMNS).schema
+    touched = spark.createDataFrame([("a",), ("n",)], "filepath string")
+
+    def rows():
+        return sorted((r["image_row"], r["filepath"] or "") for r in store.load_catalog(spark, root, schema).collect())
+
+    def fail(*_):
+        raise OSError("lost between write and switch")
+
+    def change(c):
+        return c.where("filepath <> 'a' or filepath is null").unionByName(c.where("image_row = 1").withColumn("filepath", F.lit("n")).select(*c.columns))
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "switch", fail)
+        with pytest.raises(OSError):
+            store.replace_folders(spark, root, schema, touched, change)
+    assert rows() == [(1, "a"), (2, "b"), (3, "")]
+    branch = store.replace_folders(spark, root, schema, touched, lambda c: c.where("filepath = 'b'"), publish=False)
+    assert rows() == [(1, "a"), (2, "b"), (3, "")]
+    assert sorted(r["image_row"] for r in store.load_catalog(spark, root, schema, branch).collect()) == [2, 3]
+    store.replace_folders(spark, root, schema, touched, change)
+    assert rows() == [(1, "n"), (2, "b"), (3, "")]
+    assert store.remove_unused(spark, root, schema) == [1, 2]
+    assert rows() == [(1, "n"), (2, "b"), (3, "")]
+
+
+def test_a_change_published_meanwhile_is_not_lost(spark):
+    catalog = _catalog(spark, [(1, "a", 1), (2, "b", 1)])
+    root = shared_folder(spark, "t-store")
+    store.save_catalog(catalog, root)
+    schema = catalog.select(*store.COLUMNS).schema
+    a, b = (spark.createDataFrame([(f,)], "filepath string") for f in "ab")
+
+    def change(c):
+        store.replace_folders(spark, root, schema, b, lambda d: d.where("filepath <> 'b'"))
+        return c.where("filepath <> 'a'")
+
+    with pytest.raises(RuntimeError):
+        store.replace_folders(spark, root, schema, a, change)
+    assert [r["image_row"] for r in store.load_catalog(spark, root, schema).collect()] == [1]
+
+
 def test_the_last_image_of_a_path_stays(spark):
     images = spark.createDataFrame([(1, 1, "m", "x.png", b"old"), (2, 1, "m", "x.png", b"new"), (1, 2, "m", "y.png", b"y")],
                                    "doc_id long, img_idx int, filepath string, filename string, content binary")
