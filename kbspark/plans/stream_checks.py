@@ -4,10 +4,12 @@ runs to the end with ``availableNow`` and must equal its batch twin."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kbspark.operators import match
+from kbspark.operators.joins import materialize
 from kbspark.plans.matching import _SCORES
 from kbspark.plans.oracle import topk_sql
 from kbspark.plans.oracle_views import with_views
@@ -81,6 +83,46 @@ def s2_latest_reply(fx: Fixtures) -> DataFrame:
     return jobs.latest_versions(fx.spark, out, ["thread_id"], m.schema)
 
 
+DELAYED_TURN = "thread_id % 10 = 3 AND seq = 1"
+DELAY = "2 hours"
+
+
+@register("s2_event_time", with_views("fx_messages", extra=f"""
+width AS (SELECT greatest(1, ceil((max(thread_id) + 1) / {SLICES}.0))::BIGINT AS w FROM fx_messages),
+arr AS (SELECT m.*, CASE WHEN {DELAYED_TURN} THEN {SLICES} ELSE thread_id // w END AS b FROM fx_messages m, width),
+marks AS (SELECT k, (SELECT max(created_at) FROM arr WHERE b < k) - INTERVAL 2 HOUR AS mark FROM (SELECT unnest(range(0, {SLICES + 1})) AS k)),
+cut AS (SELECT arr.*, coalesce(created_at < mark, false) AS late FROM arr JOIN marks ON marks.k = arr.b),
+best AS (SELECT thread_id, max(seq) AS seq FROM cut WHERE NOT late GROUP BY thread_id)""") + """
+SELECT thread_id, seq, role, text, late FROM cut WHERE late
+UNION ALL SELECT thread_id, seq, role, text, late FROM cut JOIN best USING (thread_id, seq) WHERE NOT late""")
+def s2_event_time(fx: Fixtures) -> DataFrame:
+    """S2 by event time: threads arrive slice by slice in time order, but one
+    turn of every tenth thread only at the end.  Rows later than the delay go to
+    an error output; the others keep each thread's latest reply in state that
+    expires a day after its last message."""
+    m = fx.messages().select("thread_id", "seq", "role", "text", "created_at")
+    n = m.agg(F.max("thread_id")).first()[0] + 1
+    width = max(1, -(-n // SLICES))
+    arrivals, in_time, late, marks, out = (shared_folder(fx.spark, f"s2e-{name}") for name in ("in", "ok", "late", "marks", "out"))
+    slot = F.when(F.expr(DELAYED_TURN), F.lit(SLICES)).otherwise(F.floor(F.col("thread_id") / width))
+    for k in range(SLICES + 1):
+        m.where(slot == k).coalesce(1).write.mode("append").parquet(arrivals)
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        ok, bad = jobs.split_late(batch, batch_id, marks, "created_at", DELAY)
+        jobs.replace_batch(ok, in_time, batch_id)
+        jobs.replace_batch(bad, late, batch_id)
+
+    jobs.run_batches(jobs.read_stream(fx.spark, arrivals, m.schema, 1), split, shared_folder(fx.spark, "s2e-ckpt"))
+    split_schema = T.StructType([*m.schema.fields, T.StructField("mark", T.TimestampType())])
+    replies = jobs.latest_reply_expiring(jobs.read_stream(fx.spark, f"{in_time}/batch_id=*", split_schema, FILES), 24 * 3600)
+    jobs.run_batches(replies, lambda batch, batch_id: jobs.replace_batch(batch, out, batch_id), shared_folder(fx.spark, "s2e-ckpt2"), mode="update")
+    said = T.StructType([f for f in m.schema.fields if f.name != "created_at"])
+    kept = jobs.latest_versions(fx.spark, out, ["thread_id"], said).select("thread_id", "seq", "role", "text", F.lit(False).alias("late"))
+    lost = fx.spark.read.schema(m.schema).parquet(late).select("thread_id", "seq", "role", "text", F.lit(True).alias("late"))
+    return kept.unionByName(lost)
+
+
 @register("s3_postprocess", with_views("fx_messages", extra=f"""
 x AS (SELECT thread_id, seq, text, regexp_extract_all(text, '{_F7_SQL}') AS names FROM fx_messages)""") + f"""
 SELECT thread_id, seq, list_reduce(list_prepend(text, names), lambda acc, f: replace(acc, f, '')) AS clean_text,
@@ -113,8 +155,9 @@ def s4_assemble_chunks(fx: Fixtures) -> DataFrame:
     ch = _chunks(fx).withColumn("_k", F.concat_ws(":", "response_id", "seq"))
     stream = _stream_of(fx, ch, "_k", "chunks").drop("_k")
     out = shared_folder(fx.spark, "s4-out")
-    jobs.run_append(jobs.assemble_chunks(stream), out, shared_folder(fx.spark, "s4-ckpt"))
-    return fx.spark.read.parquet(out)
+    received = stream.withColumn("arrived", F.current_timestamp())
+    jobs.run_append(jobs.assemble_pieces(received), out, shared_folder(fx.spark, "s4-ckpt"))
+    return jobs.whole_answers(fx.spark.read.parquet(out))
 
 
 @register("i6_ndjson_sink", "WITH " + _CHUNKS_SQL + """
@@ -172,11 +215,13 @@ def s6_image_lookup(fx: Fixtures) -> DataFrame:
     ``foreachBatch`` (ranking windows run per micro-batch)."""
     stream = _stream_of(fx, fx.questions(), "question_id", "questions")
     out = shared_folder(fx.spark, "s6-out")
-    catalog = fx.catalog()
+    # the catalogue is normalised and tokenised once, before the first micro-batch
+    names = materialize(fx.catalog().select("image_row", "filename"))
+    catalog = match.prepare(fx.catalog())
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         top = match.top_matches(batch, catalog)
-        jobs.replace_batch(top.join(catalog.select("image_row", "filename"), "image_row"), out, batch_id)
+        jobs.replace_batch(top.join(names, "image_row"), out, batch_id)
 
     jobs.run_batches(stream, sink, shared_folder(fx.spark, "s6-ckpt"))
     return fx.spark.read.parquet(out).drop("batch_id")

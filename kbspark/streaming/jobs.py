@@ -13,6 +13,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from kbspark.functions import text as tx
@@ -48,7 +49,8 @@ def replace_batch(batch: DataFrame, folder: str, batch_id: int) -> None:
 def latest_versions(spark: SparkSession, folder: str, keys: list[str], schema) -> DataFrame:
     """The newest version of each key among the batches written by
     ``replace_batch``: an upsert without rewriting earlier rows."""
-    rows = spark.read.schema(schema.add("batch_id", "long") if "batch_id" not in schema.names else schema).parquet(folder)
+    with_id = schema if "batch_id" in schema.names else T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(with_id).parquet(folder)
     cols = [c for c in rows.columns if c not in (*keys, "batch_id")]
     newest = F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v")
     return rows.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_v.`{c}`").alias(c) for c in cols])
@@ -110,6 +112,56 @@ def latest_reply_ttl(messages: DataFrame, ttl_ms: int) -> DataFrame:
         fn, out, st, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def split_late(batch: DataFrame, batch_id: int, marks: str, time_col: str, delay: str) -> tuple[DataFrame, DataFrame]:
+    """(in time, late) rows of a micro-batch, for use in ``foreachBatch``.
+
+    A row is late if its event time is more than ``delay`` before the latest one
+    of the earlier micro-batches, whose latest times are kept below ``marks`` by
+    batch id; so a replayed batch is split as before.  Rows in time carry that
+    mark (the watermark they met; null in the first batch), rows without an
+    event time are late."""
+    spark = batch.sparkSession
+    latest = batch.agg(F.max(time_col).alias("latest"))
+    replace_batch(latest, marks, batch_id)
+    kept = spark.read.schema("latest timestamp, batch_id long").parquet(marks).where(F.col("batch_id") < batch_id)
+    mark = kept.select((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("m")).first()["m"]
+    bound = F.lit(mark).cast("timestamp")
+    in_time = F.col(time_col).isNotNull() & (bound.isNull() | (F.col(time_col) >= bound))
+    return batch.where(in_time).withColumn("mark", bound), batch.where(~in_time)
+
+
+def latest_reply_expiring(messages: DataFrame, ttl_seconds: int) -> DataFrame:
+    """S2 with an event-time limit: the latest message per thread of the rows
+    that ``split_late`` let through.  A thread's state is dropped when the
+    watermark (their ``mark``) passes its last message by ``ttl_seconds``; a
+    later message starts it anew.  Emits the threads a micro-batch touched
+    (update mode), with the number of messages since the start."""
+    out = "thread_id long, seq long, role string, text string, n_messages long"
+    st = "seq long, role string, text string, n_messages long, last_ms long"
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seq, role, text, n, last = state.get if state.exists else (-1, None, None, 0, 0)
+        if n and state.getCurrentWatermarkMs() > last + 1000 * ttl_seconds:  # expired, but not timed out yet
+            seq, role, text, n, last = -1, None, None, 0, 0
+        for pdf in pdfs:
+            i = pdf["seq"].idxmax()
+            if int(pdf.at[i, "seq"]) > seq:
+                seq, role, text = int(pdf.at[i, "seq"]), pdf.at[i, "role"], pdf.at[i, "text"]
+            n += len(pdf)
+            last = max(last, int(pdf["at_ms"].max()))
+        state.update((seq, role, text, n, last))
+        state.setTimeoutTimestamp(max(last + 1000 * ttl_seconds, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([{"thread_id": key[0], "seq": seq, "role": role, "text": text, "n_messages": n}])
+
+    # rows at the watermark itself count as late, so it stays a second behind
+    timed = (messages.withColumn("mark", F.coalesce("mark", F.lit(1).cast("timestamp"))).withWatermark("mark", "1 second")
+             .withColumn("at_ms", F.unix_millis("created_at")))
+    return timed.groupBy("thread_id").applyInPandasWithState(fn, out, st, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 # ---------------------------------------------------------------- S3
 def postprocess_messages(messages: DataFrame, base_url: str) -> DataFrame:
     """S3: reply post-processing per arriving message (F7 -> F9 -> F10); stateless."""
@@ -175,6 +227,57 @@ def assemble_chunks(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return chunks.groupBy("response_id").applyInPandasWithState(fn, out, st, "append", timeout)
 
 
+def assemble_pieces(chunks: DataFrame, ttl: str = "1 hour") -> DataFrame:
+    """S4 with small state: per response the chunks that follow on without a gap
+    leave at once, as a piece ``(response_id, first_seq, n_chunks, text,
+    done)``; only chunks behind a gap are kept, and the next number expected.
+    Replayed chunks are dropped by their number.  ``ttl`` is event time of the
+    column ``arrived`` (when a chunk was received): a response without news for
+    that long is dropped, and a finished one leaves a mark that long, so that
+    late replays start no new state.  ``whole_answers`` puts the pieces
+    together."""
+    out = "response_id long, first_seq int, n_chunks int, text string, done boolean"
+    st = "next_seq int, seqs array<int>, deltas array<string>, done_seq int"
+    length = pd.Timedelta(ttl).value // 1_000_000
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, seqs, deltas, done = state.get if state.exists else (0, [], [], -1)
+        waiting = dict(zip(seqs, deltas))
+        newest = 0
+        for pdf in pdfs:
+            newest = max(newest, int(pdf["arrived_ms"].max()))
+            for s, d, fin in zip(pdf["seq"], pdf["delta"], pdf["done"]):
+                if s >= at:
+                    waiting[int(s)] = d
+                if fin:
+                    done = int(s)
+        first, text = at, []
+        while at in waiting:
+            text.append(waiting.pop(at) or "")
+            at += 1
+        finished = 0 <= done < at
+        if finished:
+            waiting = {}
+        state.update((at, list(waiting), list(waiting.values()), done))
+        state.setTimeoutTimestamp(max(newest + length, state.getCurrentWatermarkMs() + 1))
+        if text:
+            yield pd.DataFrame([{"response_id": key[0], "first_seq": first, "n_chunks": len(text), "text": "".join(text), "done": finished}])
+
+    timed = chunks.withWatermark("arrived", "1 minute").withColumn("arrived_ms", F.unix_millis("arrived"))
+    return timed.groupBy("response_id").applyInPandasWithState(fn, out, st, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def whole_answers(pieces: DataFrame) -> DataFrame:
+    """Finished responses from the pieces of ``assemble_pieces``."""
+    parts = F.array_sort(F.collect_list(F.struct("first_seq", "text")))
+    whole = pieces.groupBy("response_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
+                                              F.sum("n_chunks").cast("int").alias("n_chunks"), F.max("done").alias("finished"))
+    return whole.where("finished").drop("finished")
+
+
 def assemble_chunks_batch(chunks: DataFrame) -> DataFrame:
     """S4's batch twin: ordered concatenation per response."""
     items = F.array_sort(F.collect_list(F.struct("seq", "delta")))
