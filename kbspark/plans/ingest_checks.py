@@ -8,25 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import to_base64
+from kbspark.operators.joins import materialize
 from kbspark.plans.oracle_views import with_views
 from kbspark.plans.registry import register
 from kbspark.plans.rewrite_checks import _D1_SQL, _PARAS_SQL
 from kbspark.plans import manual_files
+from kbspark.session import derived_once
 from kbspark.sources import docx, manuals
 from kbspark.sources.fixtures import Fixtures
 
 
-_MANUALS: dict[tuple[str, str], str] = {}
+def _written(fx: Fixtures) -> tuple[str, DataFrame]:
+    def build() -> tuple[str, DataFrame]:
+        folder = manuals.shared_folder(fx.spark, "manuals")
+        files = manual_files.write_manuals(manual_files.manual_runs(fx.doc_runs(), fx.doc_images()), folder)
+        return folder, materialize(files.select("doc_id", "n_bytes"))
+    return derived_once(fx.spark, fx.sf_dir, "written manuals", build)
 
 
 def written_manuals(fx: Fixtures) -> str:
     """Folder with every document as a manual, written once per application and table folder."""
-    key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
-    if key not in _MANUALS:
-        folder = manuals.shared_folder(fx.spark, "manuals")
-        manual_files.write_manuals(manual_files.manual_runs(fx.doc_runs(), fx.doc_images()), folder).count()
-        _MANUALS[key] = folder
-    return _MANUALS[key]
+    return _written(fx)[0]
 
 
 def _doc_id(path_col: str = "path"):
@@ -35,9 +37,12 @@ def _doc_id(path_col: str = "path"):
 
 @register("i1_scan_manuals", "SELECT doc_id, true AS has_content FROM documents")
 def i1_scan_manuals(fx: Fixtures) -> DataFrame:
-    """The written manuals scanned as binary files (one row per file)."""
-    files = docx.scan_manuals(fx.spark, written_manuals(fx))
-    return files.select(_doc_id().alias("doc_id"), (F.col("length") == F.length("content")).alias("has_content"))
+    """The written manuals scanned as binary files (one row per file), each
+    with as many bytes as its writer counted."""
+    folder, sizes = _written(fx)
+    files = docx.scan_manuals(fx.spark, folder).select(_doc_id().alias("doc_id"), "length", F.length("content").alias("n_content"))
+    whole = (F.col("length") == F.col("n_bytes")) & (F.col("n_content") == F.col("n_bytes"))
+    return files.join(sizes, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("has_content"))
 
 
 @register("i2_parse_runs", with_views("fx_doc_runs") + """

@@ -20,7 +20,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "kbspark") -> SparkSession:
     """Local session for tests and the bench. On a cluster the session comes
     from the platform; nothing here assumes local mode."""
-    spark = (
+    builder = (
         SparkSession.builder.master(master).appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,8 +31,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("KBSPARK_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
     )
+    if SparkSession.getActiveSession() is None:  # a static setting: named before the session starts
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kbspark-ckpt-"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -53,9 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="kbspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-        spark.sparkContext.setCheckpointDir(current)
-    else:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
 
@@ -70,9 +70,33 @@ def intermediate_path(spark: SparkSession, what: str) -> str:
     return f"{intermediate_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+# Tables and folders derived from a table folder once per application:
+# (application, state of the table folder, name) -> what was built.
+_DERIVED: dict[tuple, object] = {}
+
+
+def folder_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and change times of what a folder holds: differs once a
+    table in it has been changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return (folder, *sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in entries))
+
+
+def derived_once(spark: SparkSession, folder: str, name: str, build):
+    """``build()``, kept for this application as long as the tables in
+    ``folder`` stay as they are and the intermediates are not cleared."""
+    key = (spark.sparkContext.applicationId, folder_state(spark, folder), name)
+    if key not in _DERIVED:
+        _DERIVED[key] = build()
+    return _DERIVED[key]
+
+
 def clear_intermediates(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; frames that read them are
-    of no use afterwards."""
+    of no use afterwards, and what was derived once is built anew."""
+    for key in [k for k in _DERIVED if k[0] == spark.sparkContext.applicationId]:
+        del _DERIVED[key]
     path = spark._jvm.org.apache.hadoop.fs.Path(intermediate_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -12,10 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.operators.joins import materialize
-from kbspark.session import read_table
-
-
-_INGESTED: dict[tuple[str, str, str], DataFrame] = {}
+from kbspark.session import derived_once, read_table
 
 
 class Fixtures:
@@ -37,10 +34,7 @@ class Fixtures:
     def _ingested(self, name, build):
         """As ``_get``, but written once per application and table folder, as an
         ingest would: every later query reads the written table."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _INGESTED:
-            _INGESTED[key] = materialize(build())
-        return _INGESTED[key]
+        return derived_once(self.spark, self.sf_dir, name, lambda: materialize(build()))
 
     # ------------------------------------------------------------ catalogue
     def assistants(self) -> DataFrame:
