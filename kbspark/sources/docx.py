@@ -1,6 +1,11 @@
 """Manuals as ``.docx`` files (I1, I2): scan with ``binaryFile``, explode each
-file into ordered runs and inline images with ``mapInPandas`` (stdlib
-``zipfile`` + ``ElementTree`` per file); everything after is native columns.
+file into ordered runs and inline images in tasks (stdlib ``zipfile`` and one
+incremental ``ElementTree`` pass per file); everything after is native columns.
+
+The pass yields runs and images as one stream of tagged rows and forgets each
+run, and each other part of the body, once its rows are out; rows leave in
+batches of bounded size.  So memory is bounded by the file, its largest run and
+its largest image, however many runs it has.
 
 Parsing rules (python-docx behaviour the reference relies on):
 * paragraphs are the body-level ``w:p``; runs are their direct ``w:r``; a run
@@ -19,10 +24,10 @@ import io
 import re
 import zipfile
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # The Office Open XML namespaces and relationship type.
 NS = {
@@ -40,114 +45,137 @@ RUNS_SCHEMA = ("path string, para_idx int, run_idx int, kind string, text string
                "n_drawings int, error string")
 IMAGES_SCHEMA = ("path string, img_idx int, para_idx int, run_idx int, descr string, name string, embed_id string, "
                  "ext string, content_type string, content binary, error string")
+PARTS_SCHEMA = ("part string, path string, para_idx int, run_idx int, kind string, text string, embed_id string, n_drawings int, "
+                "img_idx int, descr string, name string, ext string, content_type string, content binary, error string")
+# Rows of one batch, and bytes of images after which a batch is closed.
+BATCH_ROWS = 4096
+BATCH_BYTES = 8 << 20
 
 
 def _q(prefix: str, tag: str) -> str:
     return f"{{{NS[prefix]}}}{tag}"
 
 
+P, R, BODY, T_, DRAWING = (_q("w", t) for t in ("p", "r", "body", "t", "drawing"))
+TEXT_OF = {_q("w", "tab"): "\t", _q("w", "br"): "\n", _q("w", "cr"): "\n"}
+
+
 def _run_text(r) -> str:
-    out = []
-    for el in r.iter():
-        if el.tag == _q("w", "t"):
-            out.append(el.text or "")
-        elif el.tag == _q("w", "tab"):
-            out.append("\t")
-        elif el.tag in (_q("w", "br"), _q("w", "cr")):
-            out.append("\n")
-    return "".join(out)
-
-
-def _open(content: bytes):
-    z = zipfile.ZipFile(io.BytesIO(content))
-    doc = ET.fromstring(z.read("word/document.xml"))
-    rels = {}
-    try:
-        for rel in ET.fromstring(z.read("word/_rels/document.xml.rels")):
-            rels[rel.get("Id")] = (rel.get("Type"), rel.get("Target"), rel.get("TargetMode"))
-    except KeyError:
-        pass
-    types = {"default": {}, "override": {}}
-    try:
-        for el in ET.fromstring(z.read("[Content_Types].xml")):
-            if el.tag == _q("ct", "Default"):
-                types["default"][el.get("Extension", "").lower()] = el.get("ContentType")
-            elif el.tag == _q("ct", "Override"):
-                types["override"][el.get("PartName")] = el.get("ContentType")
-    except KeyError:
-        pass
-    return z, doc, rels, types
+    return "".join([(el.text or "") if el.tag == T_ else TEXT_OF[el.tag] for el in r.iter() if el.tag == T_ or el.tag in TEXT_OF])
+
+
+class _Unread:
+    """A parser target that keeps nothing."""
+
+    def close(self) -> None:
+        return None
+
 
+class _Package:
+    """The parts of a readable docx: its body as a stream, relations and images."""
 
-def parse_runs_one(path: str, content: bytes) -> list[dict]:
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        # read through once, so that a broken document gives no rows at all
+        checked = ET.XMLParser(target=_Unread())
+        with self.zip.open("word/document.xml") as xml:
+            while piece := xml.read(1 << 16):
+                checked.feed(piece)
+        checked.close()
+        self.rels = {}
+        for rel in self._part("word/_rels/document.xml.rels"):
+            self.rels[rel.get("Id")] = (rel.get("Type"), rel.get("Target"), rel.get("TargetMode"))
+        self.default, self.override = {}, {}
+        for el in self._part("[Content_Types].xml"):
+            if el.tag == _q("ct", "Default"):
+                self.default[el.get("Extension", "").lower()] = el.get("ContentType")
+            elif el.tag == _q("ct", "Override"):
+                self.override[el.get("PartName")] = el.get("ContentType")
+
+    def _part(self, name: str):
+        try:
+            return ET.fromstring(self.zip.read(name))
+        except KeyError:
+            return ()
+
+    def body_parts(self) -> Iterator[tuple[str, int | None, int | None, ET.Element]]:
+        """The body bit by bit: ``("run", para, run, element)``, ``("other",
+        None, None, element)`` for what else a body holds, and ``("empty",
+        para, None, paragraph)`` for paragraphs without runs.  An element is
+        forgotten when the next one is asked for."""
+        stack: list[ET.Element] = []
+        body = None
+        para, runs = -1, 0
+        with self.zip.open("word/document.xml") as xml:
+            for event, el in ET.iterparse(xml, events=("start", "end")):
+                if event == "start":
+                    stack.append(el)
+                    if len(stack) == 2 and el.tag == BODY and body is None:
+                        body = el
+                    elif len(stack) == 3 and stack[1] is body and el.tag == P:
+                        para, runs = para + 1, 0
+                    continue
+                stack.pop()
+                if body is None or len(stack) < 2 or stack[1] is not body:
+                    continue
+                if len(stack) == 2:
+                    if el.tag != P:
+                        yield "other", None, None, el
+                    elif not runs:
+                        yield "empty", para, None, el
+                    body.remove(el)
+                elif len(stack) == 3 and stack[2].tag == P:
+                    if el.tag == R:
+                        yield "run", para, runs, el
+                        runs += 1
+                    else:
+                        yield "other", None, None, el
+                    stack[2].remove(el)
+
+    def image(self, inline: ET.Element) -> tuple | None:
+        """``(descr, name, embed id, ext, content type, content)`` of an inline
+        picture whose relation resolves."""
+        c, blip = inline.find(f".//{_q('pic', 'cNvPr')}"), inline.find(f".//{_q('a', 'blip')}")
+        if c is None or blip is None:
+            return None
+        emb = blip.get(_q("r", "embed"))
+        rel = self.rels.get(emb)
+        if rel is None or rel[0] != IMAGE_REL or rel[2] == "External":
+            return None
+        part = "word/" + rel[1] if not rel[1].startswith("/") else rel[1][1:]
+        part = re.sub(r"/[^/]+/\.\./", "/", part)
+        try:
+            blob = self.zip.read(part)
+        except KeyError:
+            return None
+        m = re.search(r"\.([^./]+)$", part)
+        ext = m.group(1).lower() if m else ""
+        return c.get("descr"), c.get("name"), emb, ext, self.override.get("/" + part) or self.default.get(ext), blob
+
+
+def parse_manual(path: str, content: bytes, parts: tuple[str, ...] = ("run", "image")) -> Iterator[dict]:
+    """Tagged rows of one file in document order: ``part`` is ``run``,
+    ``image`` or, for an unreadable file, ``error``."""
     try:
-        _z, doc, _rels, _types = _open(content)
+        package = _Package(content)
     except Exception as e:  # corrupt or not a docx: error row, job goes on
-        return [dict(path=path, para_idx=None, run_idx=None, kind=None, text=None, embed_id=None, n_drawings=0,
-                     error=f"{type(e).__name__}: {e}")]
-    body = doc.find(_q("w", "body"))
-    rows = []
-    paras = [] if body is None else [p for p in body if p.tag == _q("w", "p")]
-    for pi, p in enumerate(paras):
-        runs = [r for r in p if r.tag == _q("w", "r")]
-        if not runs:
-            rows.append(dict(path=path, para_idx=pi, run_idx=None, kind="empty", text="", embed_id=None, n_drawings=0,
-                             error=None))
-        for ri, r in enumerate(runs):
-            drawings = r.findall(f".//{_q('w', 'drawing')}")
-            if drawings:
-                blip = drawings[0].find(f".//{_q('a', 'blip')}")
-                emb = None if blip is None else blip.get(_q("r", "embed"))
-                rows.append(dict(path=path, para_idx=pi, run_idx=ri, kind="drawing", text="", embed_id=emb,
-                                 n_drawings=len(drawings), error=None))
-            else:
-                rows.append(dict(path=path, para_idx=pi, run_idx=ri, kind="text", text=_run_text(r), embed_id=None,
-                                 n_drawings=0, error=None))
-    return rows
-
-
-def parse_images_one(path: str, content: bytes) -> list[dict]:
-    try:
-        z, doc, rels, types = _open(content)
-    except Exception as e:
-        return [dict(path=path, img_idx=None, para_idx=None, run_idx=None, descr=None, name=None, embed_id=None, ext=None,
-                     content_type=None, content=None, error=f"{type(e).__name__}: {e}")]
-    body = doc.find(_q("w", "body"))
-    # position of each body-level run, to report where an image sits
-    where = {}
-    if body is not None:
-        for pi, p in enumerate(x for x in body if x.tag == _q("w", "p")):
-            for ri, r in enumerate(x for x in p if x.tag == _q("w", "r")):
-                for d in r.iter(_q("w", "drawing")):
-                    where[id(d)] = (pi, ri)
-    rows = []
-    if body is None:
-        return rows
-    for d in body.iter(_q("w", "drawing")):
-        for inline in d.findall(_q("wp", "inline")):
-            c = inline.find(f".//{_q('pic', 'cNvPr')}")
-            if c is None:
-                continue
-            blip = inline.find(f".//{_q('a', 'blip')}")
-            if blip is None:
-                continue
-            emb = blip.get(_q("r", "embed"))
-            rel = rels.get(emb)
-            if rel is None or rel[0] != IMAGE_REL or rel[2] == "External":
-                continue
-            part = "word/" + rel[1] if not rel[1].startswith("/") else rel[1][1:]
-            part = re.sub(r"/[^/]+/\.\./", "/", part)
-            try:
-                blob = z.read(part)
-            except KeyError:
-                continue
-            m = re.search(r"\.([^./]+)$", part)
-            ext = m.group(1).lower() if m else ""
-            ctype = types["override"].get("/" + part) or types["default"].get(ext)
-            pi, ri = where.get(id(d), (None, None))
-            rows.append(dict(path=path, img_idx=len(rows) + 1, para_idx=pi, run_idx=ri, descr=c.get("descr"),
-                             name=c.get("name"), embed_id=emb, ext=ext, content_type=ctype, content=blob, error=None))
-    return rows
+        yield dict(part="error", path=path, n_drawings=0, error=f"{type(e).__name__}: {e}")
+        return
+    images = 0
+    for what, para, run, el in package.body_parts():
+        if what != "other" and "run" in parts:
+            drawings = list(el.iter(DRAWING)) if what == "run" else []
+            blip = drawings[0].find(f".//{_q('a', 'blip')}") if drawings else None
+            kind = "empty" if what == "empty" else "drawing" if drawings else "text"
+            yield dict(part="run", path=path, para_idx=para, run_idx=run, kind=kind, text=_run_text(el) if kind == "text" else "",
+                       embed_id=None if blip is None else blip.get(_q("r", "embed")), n_drawings=len(drawings))
+        if what != "empty" and "image" in parts:
+            for drawing in el.iter(DRAWING):
+                for inline in drawing.findall(_q("wp", "inline")):
+                    if found := package.image(inline):
+                        images += 1
+                        yield dict(zip(("descr", "name", "embed_id", "ext", "content_type", "content"), found),
+                                   part="image", path=path, img_idx=images, para_idx=para, run_idx=run)
 
 
 def scan_manuals(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,22 +184,48 @@ def scan_manuals(spark: SparkSession, folder: str) -> DataFrame:
                  .load(folder).select("path", "length", "content"))
 
 
-def _map(fn, cols):
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):  # a file's rows at a time
-                if rows := fn(path, bytes(content)):
-                    yield pd.DataFrame(rows, columns=cols)
-    return run
+def explode_parts(files: DataFrame, parts: tuple[str, ...] = ("run", "image")) -> DataFrame:
+    """Every manual's runs and images from one parse, as tagged rows
+    (``PARTS_SCHEMA``); an unreadable file has one ``error`` row."""
+    names = [c.split()[0] for c in PARTS_SCHEMA.split(", ")]
+    kinds = [{"int": pa.int32(), "binary": pa.binary()}.get(c.split()[1], pa.string()) for c in PARTS_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds)], names)
+
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                for row in parse_manual(path.as_py(), content.as_py(), parts):
+                    rows.append(row)
+                    held += len(row.get("content") or b"")
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield out()
+                        rows, held = [], 0
+        if rows:
+            yield out()
+
+    return files.select("path", "content").mapInArrow(run, PARTS_SCHEMA)
+
+
+def runs_of(parts: DataFrame) -> DataFrame:
+    """The runs among tagged rows, and the files that could not be read."""
+    return parts.where("part in ('run', 'error')").select(*[c.split()[0] for c in RUNS_SCHEMA.split(", ")])
+
+
+def images_of(parts: DataFrame) -> DataFrame:
+    """The inline images among tagged rows, and the files that could not be read."""
+    return parts.where("part in ('image', 'error')").select(*[c.split()[0] for c in IMAGES_SCHEMA.split(", ")])
 
 
 def explode_runs(files: DataFrame) -> DataFrame:
     """One row per paragraph run (paragraphs without runs keep one ``empty`` row)."""
-    cols = [c.split()[0] for c in RUNS_SCHEMA.split(", ")]
-    return files.select("path", "content").mapInPandas(_map(parse_runs_one, cols), RUNS_SCHEMA)
+    return runs_of(explode_parts(files, ("run",)))
 
 
 def explode_images(files: DataFrame) -> DataFrame:
     """One row per extracted inline image."""
-    cols = [c.split()[0] for c in IMAGES_SCHEMA.split(", ")]
-    return files.select("path", "content").mapInPandas(_map(parse_images_one, cols), IMAGES_SCHEMA)
+    return images_of(explode_parts(files, ("image",)))

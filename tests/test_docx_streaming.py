@@ -1,10 +1,11 @@
 """docx parser cases (I2) and streaming = batch."""
 
+import datetime
 import io
 import os
 import zipfile
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from kbspark.plans import manual_files
@@ -88,6 +89,97 @@ def test_chunks_out_of_order_emit_once(spark):
     assert sorted(tuple(r) for r in jobs.assemble_chunks_batch(df.dropDuplicates()).collect()) == got
 
 
+def test_one_parse_gives_runs_and_images_in_bounded_memory(spark, tmp_path):
+    import tracemalloc
+
+    many = [[dict(text=f"run {i} {j}") for j in range(50)] for i in range(2000)]
+    blob = manual_files.build_docx(many)
+    tracemalloc.start()
+    n = sum(1 for _ in docx.parse_manual("p", blob))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 100_000 and peak < 8 << 20
+    picture = dict(drawing=True, descr="d", name="n", embed="rId1", media=b"x" * 1000, ext="png")
+    _write(str(tmp_path), "many.docx", blob)
+    _write(str(tmp_path), "mixed.docx", manual_files.build_docx([[dict(text="a"), picture], [], [picture]]))
+    _write(str(tmp_path), "broken.docx", b"no zip")
+    parts = docx.explode_parts(docx.scan_manuals(spark, str(tmp_path))).cache()
+    try:
+        counts = {(r.path.rsplit("/", 1)[1], r.part): r["count"] for r in parts.groupBy("path", "part").count().collect()}
+        assert counts == {("many.docx", "run"): 100_000, ("mixed.docx", "run"): 4, ("mixed.docx", "image"): 2, ("broken.docx", "error"): 1}
+        assert docx.runs_of(parts).where("path like '%mixed%'").count() == 4
+        images = docx.images_of(parts).where("error is null").orderBy("img_idx").collect()
+        assert [(r.img_idx, r.para_idx, r.run_idx, len(r.content)) for r in images] == [(1, 0, 1, 1000), (2, 2, 0, 1000)]
+    finally:
+        parts.unpersist()
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1]])
+def test_pieces_in_any_order_with_state_bounded_by_gaps(spark, order):
+    answers = spark.createDataFrame([(i, "".join(chr(97 + (i + k) % 26) for k in range(16 * i + i % 5))) for i in range(1, 12)], "id long, t string")
+    chunks = jobs.answer_chunks(answers, "id", "t")
+    folder, out, ck = (shared_folder(spark, f"t-pieces-{n}") for n in ("in", "out", "ck"))
+    jobs.write_slices(chunks.withColumn("_k", F.concat_ws(":", "response_id", "seq")), folder, "_k", 4, order, files=1)
+    chunks.where("response_id = 5").withColumn("_k", F.lit("x")).coalesce(1).write.mode("append").parquet(folder)  # a late replay of all
+    stream = jobs.read_stream(spark, folder, chunks.withColumn("_k", F.lit("")).schema, 1).withColumn("arrived", F.current_timestamp())
+    jobs.run_append(jobs.assemble_pieces(stream), out, ck)
+    got = sorted(tuple(r) for r in jobs.whole_answers(spark.read.parquet(out)).select("response_id", "text", "n_chunks").collect())
+    assert got == sorted(tuple(r) for r in jobs.assemble_chunks_batch(chunks).select("response_id", "text", "n_chunks").collect())
+    # every chunk left once, however often it came
+    assert spark.read.parquet(out).agg(F.sum("n_chunks")).first()[0] == chunks.count()
+
+
+def test_pieces_keep_only_what_is_behind_a_gap(spark):
+    rows = [(1, s, f"<{s}>", False) for s in (0, 1, 2, 3, 5, 6, 8)]
+    df = spark.createDataFrame(rows, "response_id long, seq int, delta string, done boolean")
+    folder, out, ck = (shared_folder(spark, f"t-gap-{n}") for n in ("in", "out", "ck"))
+    df.coalesce(1).write.parquet(folder)
+    stream = jobs.read_stream(spark, folder, df.schema).withColumn("arrived", F.current_timestamp())
+    jobs.run_append(jobs.assemble_pieces(stream), out, ck)
+    assert [(r.first_seq, r.n_chunks, r.done) for r in spark.read.parquet(out).collect()] == [(0, 4, False)]
+    state = spark.read.format("statestore").load(ck).select("value.*").collect()
+    assert len(state) == 1 and "5" in str(state[0]) and "<0>" not in str(state[0])
+    assert jobs.whole_answers(spark.read.parquet(out)).collect() == []
+
+
+def _at(minutes):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+
+
+def test_late_rows_and_expired_threads(spark):
+    folder, ok_dir, late_dir, marks, out = (shared_folder(spark, f"t-late-{n}") for n in ("in", "ok", "late", "marks", "out"))
+    schema = "thread_id long, seq long, role string, text string, created_at timestamp"
+    batches = [[(1, 0, "user", "a", _at(0)), (2, 0, "user", "b", _at(5))],
+               [(2, 1, "user", "c", _at(300))],
+               [(1, 1, "user", "late", _at(10)), (3, 0, "user", "in time", _at(200)), (4, 0, "user", "no time", None)],
+               [(2, 2, "user", "d", _at(900))],
+               [(5, 0, "user", "x", _at(905))],
+               [(1, 2, "user", "anew", _at(906)), (2, 3, "user", "e", _at(907))]]
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    for f in frames:
+        f.coalesce(1).write.mode("append").parquet(folder)
+
+    def split(batch, batch_id):
+        ok, late = jobs.split_late(batch, batch_id, marks, "created_at", "2 hours")
+        jobs.replace_batch(ok, ok_dir, batch_id)
+        jobs.replace_batch(late, late_dir, batch_id)
+
+    jobs.run_batches(jobs.read_stream(spark, folder, frames[0].schema, 1), split, shared_folder(spark, "t-late-ck"))
+    assert sorted(r["text"] for r in spark.read.parquet(late_dir).collect()) == ["late", "no time"]
+    split(frames[2], 2)  # a replayed batch is split as before
+    assert sorted(r["text"] for r in spark.read.parquet(late_dir).collect()) == ["late", "no time"]
+    passed = spark.read.parquet(f"{ok_dir}/batch_id=0").schema
+    folder2 = shared_folder(spark, "t-late-in2")
+    for k in range(len(batches)):
+        spark.read.parquet(f"{ok_dir}/batch_id={k}").coalesce(1).write.mode("append").parquet(folder2)
+    replies = jobs.latest_reply_expiring(jobs.read_stream(spark, folder2, passed, 1), 6 * 3600)
+    jobs.run_batches(replies, lambda b, i: jobs.replace_batch(b, out, i), shared_folder(spark, "t-late-ck2"), mode="update")
+    rows = spark.read.parquet(out).orderBy("batch_id").collect()
+    last = {r["thread_id"]: (r["text"], r["n_messages"]) for r in rows}
+    # thread 1 was idle for longer than six hours: it starts anew; thread 2 was not
+    assert last == {1: ("anew", 1), 2: ("e", 4), 3: ("in time", 1), 5: ("x", 1)}
+
+
 def test_replayed_batches_replace_their_rows(spark):
     out = shared_folder(spark, "t-replay")
     first = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
