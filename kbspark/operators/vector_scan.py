@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows of one cell, and bytes of one matrix of scores.
+# Rows of one cell, and bytes of one matrix of scores (questions by the rows of
+# a cell): it stays near the processor.
 CELL_ROWS = 1024
-MATRIX_BYTES = 32 * 1024 * 1024
+MATRIX_BYTES = 4 << 20
 # Products in single precision are this near the exact cosine.
 NEAR = 1e-4
 # Catalogue vectors that pivots are drawn from, at most, and rows of a pivot.
@@ -73,30 +74,48 @@ def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Best:
-    """The k best rows of each question so far."""
+    """The k best rows of each question so far; scores are above -inf."""
 
     def __init__(self, n: int, k: int, threshold: float):
         self.k, self.limit = k, np.full(n, threshold)
-        self.rows = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+        self.row, self.score = np.zeros((n, k), dtype=np.int64), np.full((n, k), -np.inf)
 
     def add(self, question: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
-        q, r, s = (np.concatenate(pair) for pair in zip(self.rows, (question, row, score)))
+        """Sorts the rows of the questions named, no others."""
+        if not len(question):
+            return
+        named, at = np.unique(question, return_inverse=True)
+        had = np.flatnonzero(self.score[named].ravel() > -np.inf)
+        q = np.concatenate([had // self.k, at])
+        r, s = np.concatenate([self.row[named].ravel()[had], row]), np.concatenate([self.score[named].ravel()[had], score])
         order = np.lexsort((r, -s, q))
         q, r, s = q[order], r[order], s[order]
-        first = np.searchsorted(q, q, side="left")
-        place = np.arange(len(q)) - first
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         keep = place < self.k
-        self.rows = (q[keep], r[keep], s[keep])
+        q, r, s, place = named[q[keep]], r[keep], s[keep], place[keep]
+        self.row[q, place], self.score[q, place] = r, s
         last = place == self.k - 1
         self.limit[q[last]] = np.maximum(self.limit[q[last]], s[last])
 
+    @property
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, place = np.nonzero(self.score > -np.inf)
+        return q, self.row[q, place], self.score[q, place]
 
-def _scan(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, names: list[str], count: bool):
+
+def units(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``unit`` of many rows, a slice at a time."""
+    parts = [unit(m[a:a + CELL_ROWS].astype(np.float64)) for a in range(0, max(1, len(m)), CELL_ROWS)]
+    return np.concatenate([u for u, _ in parts]), np.concatenate([g for _, g in parts])
+
+
+def task(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, names: list[str], count: bool = False, matrix_bytes: int = MATRIX_BYTES):
     """Task function over ``(id, title vector, description vector)``."""
     dim = questions.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, directed = unit(questions)
+        asked, directed = units(questions)
+        step = max(1, matrix_bytes // (4 * CELL_ROWS))
         best = Best(len(ids), k, threshold)
         seen = met = 0
         for whole in batches:
@@ -104,9 +123,9 @@ def _scan(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, name
                 batch = whole.slice(at, CELL_ROWS)
                 row = batch.column(0).to_numpy(zero_copy_only=False)
                 sides = [vectors_of(batch.column(c), dim) for c in (1, 2)]
-                units, good = zip(*(unit(m) for m in sides))
+                sided, good = zip(*(unit(m) for m in sides))
                 present = [~np.isnan(m).any(axis=1) for m in sides]
-                known = np.concatenate([u[g] for u, g in zip(units, good)])
+                known = np.concatenate([u[g] for u, g in zip(sided, good)])
                 reach = np.full(len(ids), -np.inf)
                 if len(known):
                     centre = known.mean(axis=0, dtype=np.float64)
@@ -123,21 +142,28 @@ def _scan(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, name
                 met += len(visit)
                 if not len(visit):
                     continue
-                step = max(1, MATRIX_BYTES // (8 * len(visit)))
-                for lo in range(0, len(row), step):
-                    part = slice(lo, lo + step)
-                    s = np.full((len(row[part]), len(visit)), -np.inf, dtype=np.float32)
-                    for u, p in zip(units, present):
-                        s[p[part]] = np.maximum(s[p[part]], u[part][p[part]] @ asked[visit].T)
-                    least = np.maximum(best.limit[visit], -np.inf)
-                    if len(s) > k:
-                        own = s.max(axis=0) if k == 1 else np.partition(s, len(s) - k, axis=0)[len(s) - k]
-                        least = np.maximum(least, own - NEAR)
-                    r, c = np.nonzero((s >= (least - NEAR)[None, :]) & (s > -np.inf))
-                    question = visit[c]
-                    score = np.maximum(*(fixed_cos(m[part][r], questions[question]) for m in sides))
+                for lo in range(0, len(visit), step):
+                    some = visit[lo:lo + step]
+                    s = np.full((len(some), len(row)), -np.inf, dtype=np.float32)
+                    for u, p in zip(sided, present):
+                        if p.all():
+                            np.maximum(s, asked[some] @ u.T, out=s)
+                        elif p.any():
+                            s[:, p] = np.maximum(s[:, p], asked[some] @ u[p].T)
+                    least = best.limit[some] - NEAR
+                    # a pair counts if it can reach the k-th best so far and of this cell
+                    if k == 1:
+                        least = np.maximum(least, s.max(axis=1) - 2 * NEAR)
+                    elif len(row) > k:
+                        many = np.flatnonzero((s >= least.astype(np.float32)[:, None]).sum(axis=1) > k)
+                        if len(many):
+                            own = np.partition(s[many], len(row) - k, axis=1)[:, len(row) - k]
+                            least[many] = np.maximum(least[many], own - 2 * NEAR)
+                    c, r = np.nonzero((s >= least.astype(np.float32)[:, None]) & (s > -np.inf))
+                    question = some[c]
+                    score = np.maximum(*(fixed_cos(m[r], questions[question].astype(np.float64)) for m in sides))
                     keep = score > threshold
-                    best.add(question[keep], row[part][r[keep]], score[keep])
+                    best.add(question[keep], row[r[keep]], score[keep])
         if count:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([met], pa.int64())], ["cells", "visited"])
         else:
@@ -147,7 +173,8 @@ def _scan(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, name
     return run
 
 
-def scan(questions: list[tuple[np.ndarray, np.ndarray]], catalog: DataFrame, k: int, threshold: float, names: list[str], count: bool = False) -> DataFrame:
+def scan(questions: list[tuple[np.ndarray, np.ndarray]], catalog: DataFrame, k: int, threshold: float, names: list[str], count: bool = False,
+         matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
     """Per task and question the ``k`` best rows above the threshold (score
     descending, id ascending), as ``(question id, row id, score)``; with
     ``count`` instead how many cells there were for questions to visit and how
@@ -157,7 +184,7 @@ def scan(questions: list[tuple[np.ndarray, np.ndarray]], catalog: DataFrame, k:
                           [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.DoubleType())])
     out = None
     for ids, vectors in questions:
-        part = catalog.mapInArrow(_scan(ids, vectors, k, threshold, names, count), schema)
+        part = catalog.mapInArrow(task(ids, vectors, k, threshold, names, count, matrix_bytes), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

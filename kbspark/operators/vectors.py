@@ -18,7 +18,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,6 @@ from kbspark.functions.text import explode_computed
 from kbspark.operators import tfidf_scan, vector_scan
 from kbspark.operators.joins import materialize, maybe_broadcast, measure
 from kbspark.operators.match import COSINE_THRESHOLD, MAX_RESULTS
-from kbspark.operators.vector_scan import fixed_cos
 
 
 def _col(c) -> Column:
@@ -51,73 +51,15 @@ def cosine(a, b, na=None, nb=None) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
 
 
-# Catalogue rows per cogroup block (bounds the pandas frame of one task).
+# Catalogue rows per cogroup block (bounds the table of one task).
 BLOCK_ROWS = 65536
-# Bytes of one score matrix: sub-blocks have as many catalogue rows as fit.
-MATRIX_BYTES = 32 * 1024 * 1024
+# Bytes of one score matrix.
+MATRIX_BYTES = vector_scan.MATRIX_BYTES
 # A question chunk is copied into every catalogue block, so it is kept no
 # larger than a block; more questions make more chunks of the same plan.
 QUESTION_CHUNK_BYTES = 32 * 1024 * 1024
 # Chunks for which the catalogue is read in place; each goes through the driver.
 SCAN_CHUNKS = 8
-# Matrix products differ in their last bits with the block's shape.  Rows this
-# close to the best are scored again in a fixed order before they are ranked.
-MARGIN = 1e-9
-
-
-def _stack(values, dim: int) -> np.ndarray:
-    """Vectors as rows; a missing vector is a row of NaN."""
-    present = np.array([v is not None for v in values], dtype=bool)
-    out = np.full((len(present), dim), np.nan)
-    if present.any():
-        out[present] = np.stack([v for v in values if v is not None])
-    return out
-
-
-def _cos(m: np.ndarray, q: np.ndarray, qn: np.ndarray) -> np.ndarray:
-    """Cosine of every row of ``m`` with every question; a zero norm gives 0,
-    a missing vector -inf (it never wins)."""
-    missing = np.isnan(m).any(axis=1)
-    mm = np.where(missing[:, None], 0.0, m)
-    mn = np.linalg.norm(mm, axis=1)
-    dots = mm @ q.T
-    den = mn[:, None] * qn[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        s = np.where(den == 0, 0.0, dots / den)
-    s[missing, :] = -np.inf
-    return s
-
-
-def _block_scorer(k: int, threshold: float, q_id: str, c_id: str):
-    """cogroup function: one catalogue block x one question chunk -> the
-    block's ``k`` best rows per question above the threshold, ordered by
-    (score desc, id asc) as the final result is."""
-    def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [q_id, c_id, "score"]
-        empty = pd.DataFrame({c: pd.Series(dtype="int64" if c != "score" else "float64") for c in cols})
-        if cpdf.empty or qpdf.empty or qpdf["_qv"].isna().all():
-            return empty
-        dim = len(next(v for v in qpdf["_qv"] if v is not None))
-        qv = _stack(qpdf["_qv"].tolist(), dim)
-        qv = np.where(np.isnan(qv), 0.0, qv)
-        qn = np.linalg.norm(qv, axis=1)
-        qids, cids = qpdf[q_id].to_numpy(), cpdf[c_id].to_numpy()
-        sub = max(1, MATRIX_BYTES // (8 * len(qids)))
-        found = []
-        for a in range(0, len(cpdf), sub):
-            part = cpdf.iloc[a:a + sub]
-            title, desc = _stack(part["_tv"].tolist(), dim), _stack(part["_dv"].tolist(), dim)
-            s = np.maximum(_cos(title, qv, qn), _cos(desc, qv, qn))
-            mask = s > threshold - MARGIN
-            if s.shape[0] > k:
-                mask &= s >= np.partition(s, s.shape[0] - k, axis=0)[s.shape[0] - k][None, :] - MARGIN
-            r, c = np.nonzero(mask)
-            score = np.maximum(fixed_cos(title[r], qv[c]), fixed_cos(desc[r], qv[c]))
-            keep = score > threshold
-            found.append(pd.DataFrame({q_id: qids[c[keep]], c_id: cids[a:a + sub][r[keep]], "score": score[keep]}))
-        out = pd.concat(found).sort_values([q_id, "score", c_id], ascending=[True, False, True], kind="stable")
-        return out.groupby(q_id, sort=False).head(k)[cols]
-    return fn
 
 
 def question_chunks(q: DataFrame, q_id: str) -> list[tuple[np.ndarray, np.ndarray]] | None:
@@ -126,13 +68,34 @@ def question_chunks(q: DataFrame, q_id: str) -> list[tuple[np.ndarray, np.ndarra
     n = max(1, math.ceil(measure(q).bytes / QUESTION_CHUNK_BYTES))
     if n > SCAN_CHUNKS:
         return None
-    out = []
-    for k in range(n):
-        rows = q.where(F.pmod(F.xxhash64(q_id), F.lit(n)) == k).toArrow()
-        sizes = [s for s in rows.column("_qv").combine_chunks().value_lengths().to_pylist() if s is not None]
-        vectors = vector_scan.vectors_of(rows.column("_qv").combine_chunks(), max(sizes, default=1))
-        out.append((rows.column(q_id).to_numpy(), np.where(np.isnan(vectors), 0.0, vectors)))
-    return out
+    return [_ids_and_vectors(q.where(F.pmod(F.xxhash64(q_id), F.lit(n)) == k).toArrow(), q_id) for k in range(n)]
+
+
+def _ids_and_vectors(rows: pa.Table, q_id: str) -> tuple[np.ndarray, np.ndarray]:
+    column = rows.column("_qv").combine_chunks()
+    vectors = vector_scan.vectors_of(column, pc.max(column.value_lengths()).as_py() or 1)
+    vectors = np.where(np.isnan(vectors), 0.0, vectors)
+    # single precision is sent as such
+    return rows.column(q_id).to_numpy(), vectors.astype(np.float32) if column.type.value_type == pa.float32() else vectors
+
+
+def catalog_grid(q: DataFrame, c: DataFrame, n_rows: int, q_id: str, c_id: str, task, schema: str) -> DataFrame:
+    """``task(ids, vectors)`` of every chunk of ``q(q_id, _qv)`` over every
+    block of the catalogue ``c``, cogrouped in one plan.  There are as many
+    blocks as bound their rows and keep all cores busy, not more: each copies
+    the questions once, each chunk the catalogue."""
+    n_chunks = max(1, math.ceil(measure(q).bytes / QUESTION_CHUNK_BYTES))
+    n_blocks = max(1, math.ceil(n_rows / BLOCK_ROWS), math.ceil(2 * c.sparkSession.sparkContext.defaultParallelism / n_chunks))
+    cb = (c.withColumn("_blk", F.pmod(F.xxhash64(F.col(c_id)), F.lit(n_blocks)))
+           .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
+    qb = (q.withColumn("_chunk", F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_chunks)).cast("int"))
+           .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, vectors = _ids_and_vectors(asked, q_id)
+        return pa.Table.from_batches(task(ids, vectors)(iter(rows.select([c_id, "_tv", "_dv"]).combine_chunks().to_batches())))
+
+    return cb.groupBy("_blk", "_chunk").cogroup(qb.groupBy("_blk", "_chunk")).applyInArrow(meet, schema)
 
 
 def visited_cells(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", q_vec: str = "q_vec", c_id: str = "image_row",
@@ -150,24 +113,16 @@ def visited_cells(questions: DataFrame, catalog: DataFrame, *, q_id: str = "ques
 def _blocked(questions: DataFrame, catalog: DataFrame, *, q_id: str, q_vec: str, c_id: str,
              title_vec: str, desc_vec: str, k: int, threshold: float) -> DataFrame:
     """Exact question x catalogue scoring by numpy blocks.  A question set of
-    few chunks is sent to the catalogue's tasks.  Of a larger one every chunk is
-    cogrouped with every hash-split block of about ``BLOCK_ROWS`` rows in one
-    plan.  Only each task's per-question winners leave it."""
+    few chunks is sent to the catalogue's tasks, of a larger one every chunk is
+    cogrouped with every catalogue block.  Only each task's per-question winners
+    leave it."""
     q = materialize(questions.select(F.col(q_id).cast("long").alias(q_id), F.col(q_vec).alias("_qv")))
     c = catalog.select(F.col(c_id).cast("long").alias(c_id), F.col(title_vec).alias("_tv"), F.col(desc_vec).alias("_dv"))
     chunks = question_chunks(q, q_id)
     if chunks is not None:
-        return vector_scan.scan(chunks, c, k, threshold, [q_id, c_id, "score"])
-    n_rows = c.select(c_id).count()
-    spark = catalog.sparkSession
-    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / BLOCK_ROWS))
-    n_chunks = max(1, math.ceil(measure(q).bytes / QUESTION_CHUNK_BYTES))
-    cb = (c.withColumn("_blk", F.pmod(F.xxhash64(F.col(c_id)), F.lit(n_blocks)))
-           .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))))
-    qb = (q.withColumn("_chunk", F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_chunks)).cast("int"))
-           .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
-    return (cb.groupBy("_blk", "_chunk").cogroup(qb.groupBy("_blk", "_chunk"))
-              .applyInPandas(_block_scorer(k, threshold, q_id, c_id), f"{q_id} long, {c_id} long, score double"))
+        return vector_scan.scan(chunks, c, k, threshold, [q_id, c_id, "score"], matrix_bytes=MATRIX_BYTES)
+    schema = f"{q_id} long, {c_id} long, score double"
+    return catalog_grid(q, c, c.select(c_id).count(), q_id, c_id, lambda ids, vectors: vector_scan.task(ids, vectors, k, threshold, [q_id, c_id, "score"], matrix_bytes=MATRIX_BYTES), schema)
 
 
 _VEC_COLS = dict(q_vec="q_vec", title_vec="title_vec", desc_vec="desc_vec")

@@ -266,3 +266,12 @@ def test_t3_latest_and_t7_gate(spark):
     st = spark.createDataFrame([(1, "completed"), (2, "failed")], "thread_id long, status string")
     g = {r["thread_id"]: r["reply"] for r in th.completed_gate(th.latest_message(m, ["text"]), st, F.col("text")).collect()}
     assert g == {1: "a", 2: None}
+
+
+def test_best_keeps_order_and_ties():
+    import numpy as np
+    best = vector_scan.Best(3, 2, -1.0)
+    best.add(np.array([0, 2, 0]), np.array([7, 1, 5]), np.array([0.5, 0.2, 0.5]))
+    best.add(np.array([0, 0]), np.array([4, 9]), np.array([0.5, 0.9]))
+    assert [tuple(x) for x in zip(*best.rows)] == [(0, 9, 0.9), (0, 4, 0.5), (2, 1, 0.2)]
+    assert list(best.limit) == [0.5, -1.0, -1.0]
