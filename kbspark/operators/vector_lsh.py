@@ -5,9 +5,11 @@ Hyperplanes through the origin cut the space; the sides on which a vector lies
 are its bits.  Two vectors at angle a agree in one bit with chance 1 - a/pi.
 ``bits`` of them make one table's key, so few strangers share it, and there
 are as many tables as make a pair at the threshold share a key with chance
-``recall``; nearer pairs share one more often.  Vectors meet by equal keys in
-an ordinary join, which Spark may split where a key is hot, and every pair that
-meets is scored exactly.
+``recall``; nearer pairs share one more often.  The keys are not shuffled: they
+would be hundreds of rows per vector.  A bounded chunk of questions meets a
+bounded buffer of catalogue rows inside a task, which sorts the buffer's keys,
+looks up those of the questions, scores every pair that meets exactly and sends
+on its winners only.
 """
 
 from __future__ import annotations
@@ -19,16 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kbspark.operators.joins import materialize, maybe_broadcast
+from kbspark.operators.joins import materialize
 from kbspark.operators.match import COSINE_THRESHOLD, MAX_RESULTS
-from kbspark.operators.vector_scan import unit, vectors_of
-from kbspark.operators.vectors import cosine
+from kbspark.operators.vector_scan import NEAR, Best, fixed_cos, unit, units, vectors_of
+from kbspark.operators.vectors import catalog_grid, question_chunks
 
 RECALL = 0.95
-# Rows hashed at a time.
-SLICE = 256
+# Catalogue rows whose keys a task holds, and questions that look them up at a time.
+BUFFER_ROWS = 8192
+ASKED_ROWS = 1024
+# Bits from which a buffer's rows seldom share a key by chance; more bits would
+# only ask for more tables.
+MAX_BITS = 12
+# Pairs expanded or scored at a time.
+PAIRS = 1 << 18
 
 
 def table_count(bits: int, threshold: float, recall: float = RECALL) -> int:
@@ -38,28 +45,81 @@ def table_count(bits: int, threshold: float, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log1p(-agree)))
 
 
-def hashed(df: DataFrame, row_id: str, vectors: list[str], dim: int, bits: int, tables: int, seed: int) -> DataFrame:
-    """``(row_id, key)`` once for every key of any of the row's vectors; null,
-    zero and non-finite vectors and those of another length have none."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits)).astype(np.float32)
-    weight = (1 << np.arange(bits, dtype=np.int64))
-    table = np.arange(tables, dtype=np.int64) << bits
+def _keys(u: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """Key of every table (rows) for every unit vector (columns)."""
+    weight = (1 << np.arange(bits)).astype(np.float32)  # sums below 2^24 are exact
+    sides = (u @ planes > 0).reshape(len(u), -1, bits)
+    return np.ascontiguousarray((sides @ weight).astype(np.int32).T)
+
+
+def _met(asked: np.ndarray, offered: np.ndarray, order: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """Which question (row) shares a key with which of ``rows`` buffer rows;
+    ``offered`` has each table's keys sorted, ``order`` their vectors and
+    ``owner`` the row of a vector."""
+    met = np.zeros((asked.shape[1], rows), dtype=bool)
+    for table in range(len(asked)):
+        lo = np.searchsorted(offered[table], asked[table], side="left")
+        n = np.searchsorted(offered[table], asked[table], side="right") - lo
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):  # as many questions as make a bounded number of pairs
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            m = n[at:to]
+            within = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            met[np.repeat(np.arange(at, to), m), owner[order[table][np.repeat(lo[at:to], m) + within]]] = True
+            at = to
+    return met
+
+
+def _hash_scan(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, names: list[str], bits: int, tables: int, seed: int):
+    """Task function over ``(id, title vector, description vector)``: per
+    question the ``k`` best of the rows that share a key with it."""
+    dim = questions.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, directed = units(questions)
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits)).astype(np.float32)
+        best = Best(len(ids), k, threshold)
+        able = np.flatnonzero(directed)
+
+        def search(held: list[pa.RecordBatch]) -> None:
+            row = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
+            sides = [np.concatenate([vectors_of(b.column(c), dim) for b in held]) for c in (1, 2)]
+            sided, good = zip(*(unit(m) for m in sides))
+            owner = np.concatenate([np.flatnonzero(g) for g in good])
+            if not len(owner):
+                return
+            known = np.concatenate([u[g] for u, g in zip(sided, good)])
+            offered = np.concatenate([_keys(known[a:a + ASKED_ROWS], planes, bits) for a in range(0, len(known), ASKED_ROWS)], axis=1)
+            order = np.argsort(offered, axis=1, kind="stable").astype(np.int32)
+            offered = np.take_along_axis(offered, order, axis=1)
+            for a in range(0, len(able), ASKED_ROWS):
+                some = able[a:a + ASKED_ROWS]
+                q, r = np.nonzero(_met(_keys(asked[some], planes, bits), offered, order, owner, len(row)))
+                q = some[q]
+                for lo in range(0, len(q), PAIRS):
+                    qq, rr = q[lo:lo + PAIRS], r[lo:lo + PAIRS]
+                    near = np.maximum(*(np.where(g[rr], np.einsum("ij,ij->i", u[rr], asked[qq]), -np.inf) for u, g in zip(sided, good)))
+                    hit = near >= best.limit[qq] - NEAR
+                    qq, rr = qq[hit], rr[hit]
+                    score = np.maximum(*(fixed_cos(m[rr], questions[qq].astype(np.float64)) for m in sides))
+                    keep = score > threshold
+                    best.add(qq[keep], row[rr[keep]], score[keep])
+
+        held, n = [], 0
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                rows, keys = [], []
-                for k in range(len(vectors)):
-                    u, good = unit(vectors_of(batch.column(k + 1), dim))
-                    sides = (u[good] @ planes > 0).reshape(-1, tables, bits)
-                    keys.append((sides @ weight + table[None, :]).ravel())
-                    rows.append(np.repeat(np.flatnonzero(good), tables))
-                pairs = np.unique(np.stack([np.concatenate(rows), np.concatenate(keys)]), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0])), pa.array(pairs[1])], [row_id, "key"])
+            for at in range(0, whole.num_rows, BUFFER_ROWS):
+                held.append(whole.slice(at, BUFFER_ROWS))
+                n += held[-1].num_rows
+                if n >= BUFFER_ROWS:
+                    search(held)
+                    held, n = [], 0
+        if n:
+            search(held)
+        q, r, s = best.rows
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.float64())], names)
 
-    rows = df.select(row_id, *vectors)
-    return rows.mapInArrow(run, T.StructType([rows.schema[row_id], T.StructField("key", T.LongType())]))
+    return run
 
 
 def nearest_lsh(questions: DataFrame, catalog: DataFrame, *, q_id: str = "question_id", q_vec: str = "q_vec", c_id: str = "image_row",
@@ -67,21 +127,25 @@ def nearest_lsh(questions: DataFrame, catalog: DataFrame, *, q_id: str = "questi
                 bits: int | None = None, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """M8 with candidates by hashing: the ``k`` best of the rows that share a
     key with the question, as ``nearest`` ranks them.  ``bits`` grows with the
-    catalogue (default: its base-2 logarithm), so that a key's rows do not.
-    Rows found have their exact scores; a row above the threshold may be missed
-    with chance ``1 - recall`` at most.  The threshold must be positive."""
+    catalogue (default: its base-2 logarithm) up to ``MAX_BITS``.  Rows found
+    have their exact scores; a row above the threshold may be missed with chance
+    ``1 - recall`` at most.  The threshold must be positive.  What is shuffled
+    are the ``k`` best rows per question and task."""
     if threshold <= 0:
         raise ValueError("hashing needs a positive threshold")
-    n = catalog.count()
-    first = questions.where(F.col(q_vec).isNotNull()).select(F.size(q_vec)).first()
-    dim = int(first[0]) if first else 1
-    bits = bits or max(4, math.ceil(math.log2(max(2, n))))
-    tables = table_count(bits, threshold, recall)
-    asked = hashed(questions, q_id, [q_vec], dim, bits, tables, seed)
-    offered = hashed(catalog, c_id, [title_vec, desc_vec], dim, bits, tables, seed)
-    met = materialize(asked.join(offered, "key").select(q_id, c_id).distinct())
-    qs, _ = maybe_broadcast(materialize(questions.select(q_id, F.col(q_vec).alias("_qv"))))
-    pairs = met.join(qs, q_id).join(catalog.select(c_id, F.col(title_vec).alias("_tv"), F.col(desc_vec).alias("_dv")), c_id)
-    scored = (pairs.select(q_id, c_id, F.greatest(cosine("_qv", "_tv"), cosine("_qv", "_dv")).alias("score")).where(F.col("score") > F.lit(threshold)))
+    c = catalog.select(F.col(c_id).cast("long").alias(c_id), F.col(title_vec).alias("_tv"), F.col(desc_vec).alias("_dv")).where(F.col(c_id).isNotNull())
+    q = materialize(questions.select(F.col(q_id).cast("long").alias(q_id), F.col(q_vec).alias("_qv")).where(F.col(q_id).isNotNull()))
+    n = c.count()
+    bits = bits or max(4, min(MAX_BITS, math.ceil(math.log2(max(2, n)))))
+    names, tables = [q_id, c_id, "score"], table_count(bits, threshold, recall)
+    schema = f"{q_id} long, {c_id} long, score double"
+    chunks = question_chunks(q, q_id)
+    if chunks is None:
+        pairs = catalog_grid(q, c, n, q_id, c_id, lambda ids, vectors: _hash_scan(ids, vectors, k, threshold, names, bits, tables, seed), schema)
+    else:
+        pairs = None
+        for ids, vectors in chunks:
+            part = c.mapInArrow(_hash_scan(ids, vectors, k, threshold, names, bits, tables, seed), schema)
+            pairs = part if pairs is None else pairs.unionByName(part)
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(c_id).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -275,3 +275,19 @@ def test_best_keeps_order_and_ties():
     best.add(np.array([0, 0]), np.array([4, 9]), np.array([0.5, 0.9]))
     assert [tuple(x) for x in zip(*best.rows)] == [(0, 9, 0.9), (0, 4, 0.5), (2, 1, 0.2)]
     assert list(best.limit) == [0.5, -1.0, -1.0]
+
+
+@pytest.mark.parametrize("scan_chunks", [8, 0])
+def test_hashing_shuffles_winners_only(spark, monkeypatch, scan_chunks):
+    """Equal vectors share every key: each task sends on k rows a question."""
+    monkeypatch.setattr(vx, "SCAN_CHUNKS", scan_chunks)
+    monkeypatch.setattr(vector_lsh, "BUFFER_ROWS", 64)
+    monkeypatch.setattr(vector_lsh, "PAIRS", 100)
+    e = [1.0, 2.0, 3.0, 4.0]
+    c = spark.createDataFrame([(i, e, None) for i in range(300)], "image_row long, title_vec array<float>, desc_vec array<float>").repartition(2)
+    q = spark.createDataFrame([(i, e) for i in range(50)], "question_id long, q_vec array<float>")
+    found = vector_lsh.nearest_lsh(q, c)
+    rows = found.collect()
+    assert sorted((r.question_id, r["rank"], r.image_row) for r in rows) == [(i, k + 1, k) for i in range(50) for k in range(5)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
