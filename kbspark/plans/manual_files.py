@@ -6,9 +6,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,48 +71,77 @@ def build_docx(paragraphs: list[list[dict]]) -> bytes:
              + "".join(f'<Relationship Id="{i}" Type="{IMAGE_REL}" Target="{p}"/>' for i, p, _ in rels)
              + "</Relationships>")
     buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+    # the body is packed; small parts and pictures are stored as they are
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED) as z:
         z.writestr("[Content_Types].xml", _CT.format(over="".join(over)))
         z.writestr("_rels/.rels", _ROOT_RELS)
-        z.writestr("word/document.xml", doc)
+        z.writestr("word/document.xml", doc, zipfile.ZIP_DEFLATED, 1)
         z.writestr("word/_rels/document.xml.rels", drels)
         for _i, p, blob in rels:
             z.writestr("word/" + p, blob)
     return buf.getvalue()
 
 
+# Files of one subfolder.
+FOLDER_FILES = 1000
 MANUAL_RESULT = "doc_id long, path string, n_bytes long"
 
 
 def write_manuals(runs: DataFrame, folder: str) -> DataFrame:
     """One ``manual_<doc_id>.docx`` per document from run rows
-    (doc_id, para_idx, run_idx, kind, text, descr, name, embed, media, ext);
-    one group = one manual.  Returns (doc_id, path, n_bytes) lazily."""
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["para_idx", "run_idx"])
-        paras: list[list[dict]] = []
-        last = None
-        for r in pdf.itertuples(index=False):
-            if r.para_idx != last:
-                paras.append([])
-                last = r.para_idx
-            if r.kind == "drawing":
-                media = None if r.media is None or (isinstance(r.media, float)) else bytes(r.media)
-                paras[-1].append(dict(drawing=True, descr=r.descr or "", name=r.name or "", embed=r.embed,
-                                      media=media, ext=r.ext or ""))
-            else:
-                paras[-1].append(dict(text=r.text or ""))
-        doc_id = int(pdf["doc_id"].iloc[0])
-        name = f"manual_{doc_id}.docx"
-        blob = build_docx(paras)
+    (doc_id, para_idx, run_idx, kind, text, descr, name, embed, media, ext),
+    in subfolders of a bounded number of files.  Returns (doc_id, path, n_bytes)
+    lazily.  A task reads its runs in order and holds one manual at a time."""
+    names = ["doc_id", "para_idx", "run_idx", "kind", "text", "descr", "name", "embed", "media", "ext"]
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # through the folder's own file system (local, file:, hdfs:, s3: ...),
         # so executors write to the shared folder wherever it lives
         fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base.rstrip('/')}/{name}") as out:
-            out.write(blob)
-        return pd.DataFrame([{"doc_id": doc_id, "path": f"{folder.rstrip('/')}/{name}", "n_bytes": len(blob)}])
-    return runs.groupBy("doc_id").applyInPandas(write, MANUAL_RESULT)
+        part, n = f"part-{TaskContext.get().partitionId():05d}", 0  # a task run again writes the same files
+        done: list[tuple[int, str, int]] = []
+
+        def close(doc_id: int, paras: list[list[dict]]) -> None:
+            nonlocal n
+            sub = f"{part}-{n // FOLDER_FILES}"
+            if n % FOLDER_FILES == 0:
+                fs.create_dir(f"{base.rstrip('/')}/{sub}", recursive=True)
+            n += 1
+            doc_id, blob = int(doc_id), build_docx(paras)
+            with fs.open_output_stream(f"{base.rstrip('/')}/{sub}/manual_{doc_id}.docx") as out:
+                out.write(blob)
+            done.append((doc_id, f"{folder.rstrip('/')}/{sub}/manual_{doc_id}.docx", len(blob)))
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done) if done else ((), (), ()), (pa.int64(), pa.string(), pa.int64()))],
+                                             ["doc_id", "path", "n_bytes"])
+            done.clear()
+            return out
+
+        none = object()
+        at, last, paras = none, None, []
+        for batch in batches:
+            for doc_id, para, _, kind, text, descr, name, embed, media, ext in zip(*(c.to_pylist() for c in batch.columns)):
+                if at is not none and doc_id != at:
+                    close(at, paras)
+                    paras, last = [], None
+                at = doc_id
+                if para != last or not paras:
+                    paras.append([])
+                    last = para
+                if kind == "drawing":
+                    paras[-1].append(dict(drawing=True, descr=descr or "", name=name or "", embed=embed, media=media, ext=ext or ""))
+                else:
+                    paras[-1].append(dict(text=text or ""))
+            if len(done) >= FOLDER_FILES:
+                yield rows()
+        if at is not none:
+            close(at, paras)
+        yield rows()
+
+    ordered = runs.select(*names).repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "para_idx", "run_idx")
+    return ordered.mapInArrow(write, MANUAL_RESULT)
 
 
 def manual_runs(doc_runs: DataFrame, doc_images: DataFrame) -> DataFrame:

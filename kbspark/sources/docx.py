@@ -179,9 +179,12 @@ def parse_manual(path: str, content: bytes, parts: tuple[str, ...] = ("run", "im
 
 
 def scan_manuals(spark: SparkSession, folder: str) -> DataFrame:
-    """Every ``.docx`` under ``folder`` as (path, length, content)."""
+    """Every ``.docx`` under ``folder`` as (path, length, content).  The reader
+    counts megabytes for opening a file, so it plans a task for every few small
+    ones; they are joined to a number of tasks that follows the cluster."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true")
-                 .load(folder).select("path", "length", "content"))
+                 .load(folder).select("path", "length", "content").coalesce(tasks))
 
 
 def explode_parts(files: DataFrame, parts: tuple[str, ...] = ("run", "image")) -> DataFrame:

@@ -232,3 +232,28 @@ def test_ingest_errors(spark):
     ok, bad = jobs.ingest_requests(r)
     assert sorted(x["request_id"] for x in ok.collect()) == [1, 3]
     assert [tuple(x) for x in bad.collect()] == [(2, "missing threadId")]
+
+
+def test_many_manuals_take_few_tasks_and_bounded_folders(spark, monkeypatch):
+    monkeypatch.setattr(manual_files, "FOLDER_FILES", 10)
+    runs = spark.range(1500).selectExpr("id as doc_id", "explode(array(1, 0)) as para_idx").selectExpr(
+        "doc_id", "para_idx", "0 as run_idx", "'text' as kind", "concat('t', doc_id, '-', para_idx) as text", "string(null) as descr",
+        "string(null) as name", "string(null) as embed", "binary(null) as media", "string(null) as ext")
+    folder = shared_folder(spark, "t-many")
+    written = {r.path.removeprefix("file:"): r.n_bytes for r in manual_files.write_manuals(runs, folder).collect()}
+    assert len(written) == 1500
+    folders = [os.path.dirname(p) for p in written]
+    assert max(folders.count(f) for f in set(folders)) <= 10
+    files = docx.scan_manuals(spark, folder)
+    assert files.rdd.getNumPartitions() <= 16  # 47 by the reader's own plan
+    assert {r.path.removeprefix("file:"): r.length for r in files.select("path", "length").collect()} == written
+    got = docx.explode_runs(files).select(F.regexp_extract("path", r"manual_(\d+)", 1).alias("d"), "para_idx", "text").collect()
+    # paragraphs in order, numbered anew
+    assert sorted((int(r.d), r.para_idx, r.text) for r in got) == [(d, p, f"t{d}-{p}") for d in range(1500) for p in (0, 1)]
+
+
+def test_a_manual_without_id_is_refused(spark):
+    runs = spark.createDataFrame([(None, 0, 0, "text", "a")], "doc_id long, para_idx int, run_idx int, kind string, text string").selectExpr(
+        "*", "string(null) as descr", "string(null) as name", "string(null) as embed", "binary(null) as media", "string(null) as ext")
+    with pytest.raises(Exception, match="int"):
+        manual_files.write_manuals(runs, shared_folder(spark, "t-noid")).collect()
