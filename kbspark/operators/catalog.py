@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from kbspark.operators.joins import materialize, maybe_broadcast
 
+# Bytes of captions up to which they are broadcast.
+CAPTION_BYTES = 16 * 1024 * 1024
 # Fixed values of the reference: lookup defaults.
 DEFAULT_TITLE = "sem titulo"
 DEFAULT_DESCRIPTION = "sem descricao"
@@ -69,7 +71,8 @@ def append_images(catalog: DataFrame, new_images: DataFrame, assistants: DataFra
     description) when supplied, else NULL."""
     rows = new_images.withColumn("filename", F.concat(F.col("filepath"), F.lit("_"), F.col("filename")))
     if captions is not None:
-        cap, _ = maybe_broadcast(captions.select("filename", F.col("description").alias("_cap")))
+        # captions grow with the images: only a small set passes through the driver
+        cap, _ = maybe_broadcast(captions.select("filename", F.col("description").alias("_cap")), max_bytes=CAPTION_BYTES)
         rows = rows.join(cap, "filename", "left").withColumn("description", F.col("_cap")).drop("_cap")
     else:
         rows = rows.withColumn("description", F.lit(None).cast("string"))

@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as tx
 from kbspark.operators.catalog import DEFAULT_DESCRIPTION, DEFAULT_TITLE, first_by
+from kbspark.operators.joins import materialize, maybe_broadcast
 
+# Bytes of distinct names up to which the catalogue is reduced to them first.
+LOOKUP_BYTES = 16 * 1024 * 1024
 # Fixed output templates of the reference.
 URI_TEMPLATE = '%s IMAGE_URI: "%s".'
 FILENAME_TITLE_TEMPLATE = "%s IMAGE_FILENAME: (%s), Descrição: "
 FILENAME_DESC_TEMPLATE = "%s IMAGE_FILENAME: (%s)"
 DROPPED_PREFIXES = ("Figura", "Fonte: Aplicativo")
+DEFAULTS = {"title": DEFAULT_TITLE, "description": DEFAULT_DESCRIPTION}
 GRAPHIC_URI = "http://schemas.openxmlformats.org/drawingml/2006/picture"
 
 
@@ -36,17 +40,15 @@ def image_filename(images: DataFrame) -> Column:
     return tx.filename_from_alt_text(alt, tx.extension_default("ext"))
 
 
-def _lookup(keys: DataFrame, catalog: DataFrame, key: str, null_as: str | None) -> DataFrame:
-    """C9 on a key column: (title, description) of the first catalogue row,
-    defaults when no row; a found NULL becomes ``null_as``."""
-    first = first_by(catalog, "filename", ["title", "description"]).withColumnRenamed("filename", key)
-    first = first.withColumn("_hit", F.lit(True))
-    j = keys.join(first, key, "left")
-    found_desc = F.col("description") if null_as is None else F.coalesce(F.col("description"), F.lit(null_as))
-    found_title = F.col("title") if null_as is None else F.coalesce(F.col("title"), F.lit(null_as))
-    return (j.withColumn("title", F.when(F.col("_hit"), found_title).otherwise(F.lit(DEFAULT_TITLE)))
-             .withColumn("description", F.when(F.col("_hit"), found_desc).otherwise(F.lit(DEFAULT_DESCRIPTION)))
-             .drop("_hit"))
+def _lookup(keys: DataFrame, catalog: DataFrame, key: str, null_as: str | None, cols: tuple[str, ...] = ("description",)) -> DataFrame:
+    """C9 on a key column: ``cols`` of the first catalogue row, defaults when no
+    row; a found NULL becomes ``null_as``."""
+    first = first_by(catalog, "filename", list(cols)).withColumnRenamed("filename", key)
+    out = keys.join(first.withColumn("_hit", F.lit(True)), key, "left")
+    for c in cols:
+        found = F.col(c) if null_as is None else F.coalesce(F.col(c), F.lit(null_as))
+        out = out.withColumn(c, F.when(F.col("_hit"), found).otherwise(F.lit(DEFAULTS[c])))
+    return out.drop("_hit")
 
 
 def replace_by_position(runs: DataFrame, images: DataFrame, catalog: DataFrame, filepaths: DataFrame) -> DataFrame:
@@ -80,7 +82,13 @@ def replace_by_embed(runs: DataFrame, catalog: DataFrame, filepaths: DataFrame,
              .join(filepaths, "doc_id")
              .withColumn("complete", F.concat(F.col("filepath"), F.lit("_"), _embed_filename(F.col("embed_id"))))
              .withColumn("key", F.col("complete") if prefixed_lookup else _embed_filename(F.col("embed_id"))))
-    d = _lookup(d, catalog, "key", "")
+    # few names are asked for often: only their rows of the catalogue are sorted
+    # and sent, and the drawings are not dealt by name
+    asked = materialize(d.select("key").distinct())
+    few, small = maybe_broadcast(asked, max_bytes=LOOKUP_BYTES)
+    if small:
+        catalog = catalog.join(few.withColumnRenamed("key", "filename"), "filename", "left_semi")
+    d = _lookup(d, catalog, "key", "", ("title", "description"))
     seg0 = d.select("doc_id", "para_idx", "run_idx", F.lit(0).alias("seg"),
                     F.format_string(FILENAME_TITLE_TEMPLATE, F.col("title"), F.col("complete")).alias("out_text"))
     seg1 = d.select("doc_id", "para_idx", "run_idx", F.lit(1).alias("seg"),
@@ -113,12 +121,17 @@ def paragraph_texts(rows: DataFrame, text_col: str = "out_text", order=("run_idx
     ``all_paragraphs`` (doc_id, para_idx) keeps paragraphs whose runs all
     vanished, as empty text."""
     items = F.struct(*[F.col(c) for c in order], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    p = (rows.groupBy("doc_id", "para_idx")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda x: x["_t"]), "").alias("text")))
+    own = rows.select("doc_id", "para_idx", items.alias("_i"), F.lit(False).alias("_listed"))
+    if all_paragraphs is not None:
+        listed = all_paragraphs.select("doc_id", "para_idx").distinct()
+        own = own.unionByName(listed.select("doc_id", "para_idx", F.lit(None).cast(own.schema["_i"].dataType).alias("_i"), F.lit(True).alias("_listed")))
+    # dealt by document once: its paragraphs and its whole text come from the same tasks
+    p = (own.repartition("doc_id").groupBy("doc_id", "para_idx")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list("_i")), lambda x: x["_t"]), "").alias("text"), F.max("_listed").alias("_listed")))
     if all_paragraphs is not None:
-        p = (all_paragraphs.select("doc_id", "para_idx").distinct().join(p, ["doc_id", "para_idx"], "left")
-                           .withColumn("text", F.coalesce(F.col("text"), F.lit(""))))
-    return p
+        known = F.col("doc_id").isNotNull() & F.col("para_idx").isNotNull()
+        p = p.where("_listed").withColumn("text", F.when(known, F.col("text")).otherwise(F.lit("")))
+    return p.drop("_listed")
 
 
 def document_text(paragraphs: DataFrame, text_col: str = "text", order=("para_idx",)) -> DataFrame:

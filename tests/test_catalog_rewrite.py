@@ -112,3 +112,48 @@ def test_d3_drops_caption_lines(spark):
     out = rw.replace_by_embed(runs, catalog, fp, prefixed_lookup=False, drop_caption_lines=True)
     texts = [r["out_text"] for r in out.orderBy("para_idx", "run_idx", "seg").collect()]
     assert texts == ["keep", "T IMAGE_FILENAME: (m_image_rId8.png), Descrição: ", "D IMAGE_FILENAME: (m_image_rId8.png)"]
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_document_texts_are_dealt_once(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "b"), (1, 1, 0, "a"), (1, 0, 0, None), (2, 0, 0, "x"), (3, 9, 0, "not listed")],
+                                 "doc_id long, para_idx int, run_idx int, out_text string")
+    assert _exchanges(rw.document_text(rw.paragraph_texts(rows))) == 1
+    listed = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (1, 2), (2, 0), (None, 4)], "doc_id long, para_idx int")
+    paras = rw.paragraph_texts(rows, all_paragraphs=listed)
+    assert sorted(map(tuple, paras.collect()), key=str) == [(1, 0, ""), (1, 1, "ab"), (1, 2, ""), (2, 0, "x"), (None, 4, "")]
+    assert sorted(tuple(r) for r in rw.document_text(paras).where("doc_id is not null").collect()) == [(1, "\nab\n"), (2, "x")]
+
+
+def test_few_asked_names_reduce_the_catalogue(spark):
+    runs = spark.createDataFrame([(1, 0, i, "drawing", "t", "rId1") for i in range(5)], "doc_id long, para_idx int, run_idx int, kind string, text string, embed_id string")
+    catalog = spark.createDataFrame([(i, f"image_rId{i}.png", f"title {i}", None) for i in range(1, 30)],
+                                    "image_row long, filename string, title string, description string")
+    paths = spark.createDataFrame([(1, "f")], "doc_id long, filepath string")
+    out = rw.replace_by_embed(runs, catalog, paths, prefixed_lookup=False)
+    assert {r.out_text for r in out.collect()} == {"title 1 IMAGE_FILENAME: (f_image_rId1.png), Descrição: ", " IMAGE_FILENAME: (f_image_rId1.png)"}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_captions_do_not_pass_through_the_driver(spark, monkeypatch):
+    from kbspark.operators import catalog as cat
+    sent = []
+    real = cat.maybe_broadcast
+
+    def seen(df, *args, **kw):
+        out = real(df, *args, **kw)
+        sent.append((df.columns, out[1]))
+        return out
+
+    monkeypatch.setattr(cat, "maybe_broadcast", seen)
+    base = spark.createDataFrame([(1, "f", "f_a", "png", "t", "d", 1)], "image_row long, filepath string, filename string, content_type string, title string, description string, assistant_id long")
+    new = spark.createDataFrame([("f", "a", "png", "t", "k", 1, 1), ("f", "b", "png", "t", "k", 1, 2)],
+                                "filepath string, filename string, content_type string, title string, assistant_key string, doc_id long, img_idx int")
+    captions = spark.createDataFrame([("f_a", 1), ("f_c", 2)], "filename string, n int").selectExpr("filename", "repeat('x', 12000000) as description")
+    assistants = spark.createDataFrame([(1, "n", "k")], "id long, name string, assistant_key string")
+    got = cat.append_images(base, new, assistants, captions).selectExpr("image_row", "filename", "length(description) as n").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "f_a", 1), (2, "f_a", 12_000_000), (3, "f_b", None)]
+    assert (["filename", "_cap"], False) in sent
