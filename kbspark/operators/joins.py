@@ -56,7 +56,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing a table in the session's shared folder and reading
     it back: later plans prune its columns and know its true size."""
     path = intermediate_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -58,7 +58,7 @@ def _write_version(rows: DataFrame, kept: DataFrame | None, root: str, version:
     """Rows of some folders as ``version``, and its manifest with the folders
     ``kept(filepath, at)`` beside them.  Large folders take several tasks."""
     data = f"{root}/data/version={version}"
-    rows.select(*COLUMNS).hint("rebalance", "filepath").write.mode("errorifexists").partitionBy("filepath").parquet(data)
+    rows.select(*COLUMNS).hint("rebalance", "filepath").write.mode("errorifexists").option("compression", "zstd").partitionBy("filepath").parquet(data)
     stored = rows.sparkSession.read.schema(rows.select(*COLUMNS).schema).parquet(data)
     manifest = stored.select("filepath").distinct().select("filepath", F.lit(version).cast("long").alias("at"))
     if kept is not None:
