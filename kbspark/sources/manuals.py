@@ -37,7 +37,7 @@ def write_rewritten(paragraphs: DataFrame, names: DataFrame, root: str) -> DataF
     manual read back whole."""
     rows = (paragraphs.join(names, "doc_id").select("out_name", "para_idx", "text")
                       .repartition("out_name").sortWithinPartitions("out_name", "para_idx"))
-    rows.write.mode("overwrite").parquet(root)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(root)
     lines = F.array_sort(F.collect_list(F.struct("para_idx", "text")))
     return (rows.sparkSession.read.schema(rows.schema).parquet(root).groupBy("out_name")
             .agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text")))
