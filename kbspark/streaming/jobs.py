@@ -248,8 +248,8 @@ def assemble_pieces(chunks: DataFrame, ttl: str = "1 hour") -> DataFrame:
         waiting = dict(zip(seqs, deltas))
         newest = 0
         for pdf in pdfs:
-            newest = max(newest, int(pdf["arrived_ms"].max()))
-            for s, d, fin in zip(pdf["seq"], pdf["delta"], pdf["done"]):
+            newest = max(newest, int(pdf["arrived_ms"].to_numpy().max()))
+            for s, d, fin in zip(*(pdf[c].tolist() for c in ("seq", "delta", "done"))):
                 if s >= at:
                     waiting[int(s)] = d
                 if fin:
@@ -264,7 +264,7 @@ def assemble_pieces(chunks: DataFrame, ttl: str = "1 hour") -> DataFrame:
         state.update((at, list(waiting), list(waiting.values()), done))
         state.setTimeoutTimestamp(max(newest + length, state.getCurrentWatermarkMs() + 1))
         if text:
-            yield pd.DataFrame([{"response_id": key[0], "first_seq": first, "n_chunks": len(text), "text": "".join(text), "done": finished}])
+            yield pd.DataFrame({"response_id": [key[0]], "first_seq": [first], "n_chunks": [len(text)], "text": ["".join(text)], "done": [finished]})
 
     timed = chunks.withWatermark("arrived", "1 minute").withColumn("arrived_ms", F.unix_millis("arrived"))
     return timed.groupBy("response_id").applyInPandasWithState(fn, out, st, "append", GroupStateTimeout.EventTimeTimeout)
