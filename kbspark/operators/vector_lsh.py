@@ -6,10 +6,11 @@ are its bits.  Two vectors at angle a agree in one bit with chance 1 - a/pi.
 ``bits`` of them make one table's key, so few strangers share it, and there
 are as many tables as make a pair at the threshold share a key with chance
 ``recall``; nearer pairs share one more often.  The keys are not shuffled: they
-would be hundreds of rows per vector.  A bounded chunk of questions meets a
-bounded buffer of catalogue rows inside a task, which sorts the buffer's keys,
-looks up those of the questions, scores every pair that meets exactly and sends
-on its winners only.
+would be many rows per vector.  A bounded chunk of questions meets a bounded
+buffer of catalogue rows inside a task.  Table by table both are sorted by key;
+the questions and vectors of one key meet in one matrix product, which names the
+pairs that can reach a place among the best.  These are scored exactly, each
+once however many tables it meets in, and a task sends on its winners only.
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ from kbspark.operators.vector_scan import NEAR, Best, fixed_cos, unit, units, ve
 from kbspark.operators.vectors import catalog_grid, question_chunks
 
 RECALL = 0.95
-# Catalogue rows whose keys a task holds, and questions that look them up at a time.
-BUFFER_ROWS = 8192
+# Catalogue rows whose keys a task holds, and vectors that are hashed at a time.
+BUFFER_ROWS = 32768
 ASKED_ROWS = 1024
-# Bits from which a buffer's rows seldom share a key by chance; more bits would
-# only ask for more tables.
-MAX_BITS = 12
-# Pairs expanded or scored at a time.
+# A key is met by a product of all its questions and vectors of the buffer, so a
+# bit more saves less than the tables it asks for from here on.
+MAX_BITS = 8
+# Pairs of one matrix product, pairs that met and wait for their exact score, and
+# pairs scored exactly at a time.
 PAIRS = 1 << 18
+WAITING = 1 << 19
+SCORED = 1 << 13
 
 
 def table_count(bits: int, threshold: float, recall: float = RECALL) -> int:
@@ -47,28 +51,107 @@ def table_count(bits: int, threshold: float, recall: float = RECALL) -> int:
 
 def _keys(u: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
     """Key of every table (rows) for every unit vector (columns)."""
+    out = np.empty((planes.shape[1] // bits, len(u)), dtype=np.uint16 if bits <= 16 else np.int32)
     weight = (1 << np.arange(bits)).astype(np.float32)  # sums below 2^24 are exact
-    sides = (u @ planes > 0).reshape(len(u), -1, bits)
-    return np.ascontiguousarray((sides @ weight).astype(np.int32).T)
-
-
-def _met(asked: np.ndarray, offered: np.ndarray, order: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """Which question (row) shares a key with which of ``rows`` buffer rows;
-    ``offered`` has each table's keys sorted, ``order`` their vectors and
-    ``owner`` the row of a vector."""
-    met = np.zeros((asked.shape[1], rows), dtype=bool)
-    for table in range(len(asked)):
-        lo = np.searchsorted(offered[table], asked[table], side="left")
-        n = np.searchsorted(offered[table], asked[table], side="right") - lo
-        ends = np.cumsum(n)
-        at = 0
-        while at < len(n):  # as many questions as make a bounded number of pairs
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
-            m = n[at:to]
-            within = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            met[np.repeat(np.arange(at, to), m), owner[order[table][np.repeat(lo[at:to], m) + within]]] = True
-            at = to
-    return met
+    for a in range(0, len(u), ASKED_ROWS):
+        sides = (u[a:a + ASKED_ROWS] @ planes > 0).astype(np.float32)
+        out[:, a:a + ASKED_ROWS] = (sides.reshape(-1, bits) @ weight).reshape(len(sides), -1).T
+    return out
+
+
+def _groups(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of each group of equal rows, and the group of every row."""
+    m = np.ascontiguousarray(m)
+    _, first, group = np.unique(m.view(np.dtype((np.void, m.dtype.itemsize * m.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return first, group
+
+
+def _first_of_equal(m: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Which vectors to look up: of equal ones the ``k`` with the smallest ids,
+    as the others tie with them and come later."""
+    _, group = _groups(m)
+    order = np.lexsort((row, group))
+    group = group[order]
+    return np.sort(order[np.arange(len(group)) - np.searchsorted(group, group, side="left") < k])
+
+
+class _Hits:
+    """The best rows of each question among the pairs that met in one buffer.
+    A pair may meet in many tables; it is scored once and counts once."""
+
+    def __init__(self, questions: np.ndarray, row: np.ndarray, sides: list[np.ndarray], best: Best, threshold: float):
+        self.questions, self.row, self.sides, self.best, self.threshold, self.limit = questions, row, sides, best, threshold, best.limit.copy()
+        self.code, self.score = np.empty(0, dtype=np.int64), np.empty(0)
+        self.waiting: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, question: np.ndarray, at: np.ndarray) -> None:
+        self.waiting.append(question * len(self.row) + at)
+        self.n += len(at)
+        if self.n >= WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.n:
+            return
+        code = np.setdiff1d(np.concatenate(self.waiting), self.code)
+        self.waiting, self.n = [], 0
+        q, r = np.divmod(code, len(self.row))
+        score = [np.maximum(*(fixed_cos(m[r[a:a + SCORED]], self.questions[q[a:a + SCORED]].astype(np.float64)) for m in self.sides))
+                 for a in range(0, len(q), SCORED)]
+        code, score = np.concatenate([self.code, code]), np.concatenate([self.score, *score])
+        q, r = np.divmod(code, len(self.row))
+        # a row that is no better than the k-th best is never needed again
+        keep = np.flatnonzero((score >= self.limit[q]) & (score > self.threshold))
+        keep = keep[np.lexsort((r[keep], self.row[r[keep]], -score[keep], q[keep]))]
+        q = q[keep]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        last = place == self.best.k - 1
+        self.limit[q[last]] = np.maximum(self.limit[q[last]], score[keep][last])
+        keep = keep[place < self.best.k]
+        self.code, self.score = code[keep], score[keep]
+
+    def close(self) -> None:
+        self.settle()
+        q, r = np.divmod(self.code, len(self.row))
+        self.best.add(q, self.row[r], self.score)
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by key, the keys, and where each begins in the order (and the end)."""
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
+    return by, key[begins], np.append(begins, len(key))
+
+
+def _meet(asked: np.ndarray, asked_keys: np.ndarray, known: np.ndarray, known_keys: np.ndarray, owner: np.ndarray, hits: _Hits) -> None:
+    """Adds the pairs of questions and buffer rows (``owner`` of a known vector)
+    that share a key and can reach a place among the best.  The questions and
+    vectors of one key meet in matrix products of bounded size."""
+    k, wide = hits.best.k, max(1, math.isqrt(PAIRS))
+    for of_q, of_v in zip(asked_keys, known_keys):
+        (by_q, key_q, q_lo), (by_v, key_v, v_lo) = _runs(of_q), _runs(of_v)
+        _, in_q, in_v = np.intersect1d(key_q, key_v, assume_unique=True, return_indices=True)
+        for q_at, q_to, v_at, v_to in zip(q_lo[in_q].tolist(), q_lo[in_q + 1].tolist(), v_lo[in_v].tolist(), v_lo[in_v + 1].tolist()):
+            rows = max(wide, PAIRS // (v_to - v_at))
+            for a in range(q_at, q_to, rows):
+                qs = by_q[a:min(a + rows, q_to)]
+                some = asked[qs]
+                columns = max(1, PAIRS // len(qs))
+                for b in range(v_at, v_to, columns):
+                    vs = by_v[b:min(b + columns, v_to)]
+                    s = some @ known[vs].T
+                    least = (hits.limit[qs] - NEAR).astype(np.float32)
+                    met = s >= least[:, None]
+                    n = np.count_nonzero(met)
+                    if not n:
+                        continue
+                    if n > 2 * k * len(qs) and len(vs) > 2 * k:  # 2k vectors are those of k rows at least
+                        own = np.partition(s, len(vs) - 2 * k, axis=1)[:, len(vs) - 2 * k]
+                        met &= s >= (own - 2 * NEAR)[:, None]
+                    x, y = np.divmod(np.flatnonzero(met), len(vs))
+                    hits.add(qs[x], owner[vs[y]])
 
 
 def _hash_scan(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, names: list[str], bits: int, tables: int, seed: int):
@@ -77,34 +160,31 @@ def _hash_scan(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float,
     dim = questions.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, directed = units(questions)
-        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits)).astype(np.float32)
-        best = Best(len(ids), k, threshold)
+        # equal questions have equal answers
+        first, group = _groups(questions)
+        unlike = questions[first]
+        asked, directed = units(unlike)
         able = np.flatnonzero(directed)
+        asked, unlike = asked[able], unlike[able]
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits)).astype(np.float32)
+        asked_keys = _keys(asked, planes, bits)
+        best = Best(len(able), k, threshold)
 
         def search(held: list[pa.RecordBatch]) -> None:
             row = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
             sides = [np.concatenate([vectors_of(b.column(c), dim) for b in held]) for c in (1, 2)]
-            sided, good = zip(*(unit(m) for m in sides))
-            owner = np.concatenate([np.flatnonzero(g) for g in good])
-            if not len(owner):
-                return
-            known = np.concatenate([u[g] for u, g in zip(sided, good)])
-            offered = np.concatenate([_keys(known[a:a + ASKED_ROWS], planes, bits) for a in range(0, len(known), ASKED_ROWS)], axis=1)
-            order = np.argsort(offered, axis=1, kind="stable").astype(np.int32)
-            offered = np.take_along_axis(offered, order, axis=1)
-            for a in range(0, len(able), ASKED_ROWS):
-                some = able[a:a + ASKED_ROWS]
-                q, r = np.nonzero(_met(_keys(asked[some], planes, bits), offered, order, owner, len(row)))
-                q = some[q]
-                for lo in range(0, len(q), PAIRS):
-                    qq, rr = q[lo:lo + PAIRS], r[lo:lo + PAIRS]
-                    near = np.maximum(*(np.where(g[rr], np.einsum("ij,ij->i", u[rr], asked[qq]), -np.inf) for u, g in zip(sided, good)))
-                    hit = near >= best.limit[qq] - NEAR
-                    qq, rr = qq[hit], rr[hit]
-                    score = np.maximum(*(fixed_cos(m[rr], questions[qq].astype(np.float64)) for m in sides))
-                    keep = score > threshold
-                    best.add(qq[keep], row[rr[keep]], score[keep])
+            known, owner = [], []
+            for m in sides:
+                u, good = unit(m)
+                good = np.flatnonzero(good)
+                if len(good):
+                    good = good[_first_of_equal(m[good], row[good], k)]
+                known.append(u[good])
+                owner.append(good)
+            known, owner = np.concatenate(known), np.concatenate(owner)
+            hits = _Hits(unlike, row, sides, best, threshold)
+            _meet(asked, asked_keys, known, _keys(known, planes, bits), owner, hits)
+            hits.close()
 
         held, n = [], 0
         for whole in batches:
@@ -116,8 +196,12 @@ def _hash_scan(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float,
                     held, n = [], 0
         if n:
             search(held)
-        q, r, s = best.rows
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.float64())], names)
+        place = np.full(len(first), -1)
+        place[able] = np.arange(len(able))
+        q = np.flatnonzero(place[group] >= 0)
+        at = place[group[q]]
+        x, y = np.nonzero(best.score[at] > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q[x]], pa.int64()), pa.array(best.row[at[x], y], pa.int64()), pa.array(best.score[at[x], y], pa.float64())], names)
 
     return run
 

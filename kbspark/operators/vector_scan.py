@@ -117,6 +117,8 @@ def task(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, names
         asked, directed = units(questions)
         step = max(1, matrix_bytes // (4 * CELL_ROWS))
         best = Best(len(ids), k, threshold)
+        # scores are written to the same place for every cell
+        room = np.empty((2, min(step, max(1, len(ids))) * CELL_ROWS), dtype=np.float32)
         seen = met = 0
         for whole in batches:
             for at in range(0, whole.num_rows, CELL_ROWS):
@@ -144,22 +146,30 @@ def task(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, names
                     continue
                 for lo in range(0, len(visit), step):
                     some = visit[lo:lo + step]
-                    s = np.full((len(some), len(row)), -np.inf, dtype=np.float32)
+                    s, product = (r[:len(some) * len(row)].reshape(len(some), len(row)) for r in room)
+                    if present[0].all():
+                        np.matmul(asked[some], sided[0].T, out=s)
+                    else:
+                        s[:] = -np.inf
                     for u, p in zip(sided, present):
-                        if p.all():
-                            np.maximum(s, asked[some] @ u.T, out=s)
-                        elif p.any():
+                        if not p.all():
                             s[:, p] = np.maximum(s[:, p], asked[some] @ u[p].T)
+                        elif u is not sided[0]:
+                            np.maximum(s, np.matmul(asked[some], u.T, out=product), out=s)
                     least = best.limit[some] - NEAR
                     # a pair counts if it can reach the k-th best so far and of this cell
                     if k == 1:
                         least = np.maximum(least, s.max(axis=1) - 2 * NEAR)
-                    elif len(row) > k:
-                        many = np.flatnonzero((s >= least.astype(np.float32)[:, None]).sum(axis=1) > k)
+                    hit = s >= least.astype(np.float32)[:, None]
+                    if k > 1 and len(row) > k and np.count_nonzero(hit) > k:
+                        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
                         if len(many):
                             own = np.partition(s[many], len(row) - k, axis=1)[:, len(row) - k]
                             least[many] = np.maximum(least[many], own - 2 * NEAR)
-                    c, r = np.nonzero((s >= least.astype(np.float32)[:, None]) & (s > -np.inf))
+                            hit[many] = s[many] >= least[many].astype(np.float32)[:, None]
+                    if least.min() == -np.inf:
+                        hit &= s > -np.inf
+                    c, r = np.divmod(np.flatnonzero(hit), len(row))
                     question = some[c]
                     score = np.maximum(*(fixed_cos(m[r], questions[question].astype(np.float64)) for m in sides))
                     keep = score > threshold

@@ -1,5 +1,6 @@
 """Vector search (M6-M8, E2, E3), TF-IDF (M9) and threads."""
 
+import collections
 import math
 import random
 
@@ -291,3 +292,39 @@ def test_hashing_shuffles_winners_only(spark, monkeypatch, scan_chunks):
     assert sorted((r.question_id, r["rank"], r.image_row) for r in rows) == [(i, k + 1, k) for i in range(50) for k in range(5)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_questions_are_hashed_once_however_many_buffers(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector_lsh, "BUFFER_ROWS", 50)
+    monkeypatch.setattr(vector_lsh, "PAIRS", 200)
+    hashed, keys = [], vector_lsh._keys
+    monkeypatch.setattr(vector_lsh, "_keys", lambda u, *a: (hashed.append(len(u)), keys(u, *a))[1])
+    e = np.random.default_rng(3).standard_normal((500, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(e.tolist()), pa.array([None] * 500, pa.list_(pa.float64()))], ["i", "t", "d"])
+    # every question twice
+    ids, questions = np.arange(400), np.concatenate([e[:200], e[:200]])
+    task = vector_lsh._hash_scan(ids, questions, 1, 0.6, ["q", "i", "score"], 6, 40, 1)
+    (got,) = task(iter([batch]))
+    assert sum(hashed) <= 200 + 500  # 4,000 for the questions alone where each buffer hashes them
+    assert sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == [(i, i % 200) for i in range(400)]
+
+
+def test_pairs_that_meet_in_many_tables_count_once(spark, monkeypatch):
+    monkeypatch.setattr(vector_lsh, "BUFFER_ROWS", 90)
+    monkeypatch.setattr(vector_lsh, "PAIRS", 64)
+    monkeypatch.setattr(vector_lsh, "WAITING", 100)
+    rnd = random.Random(12)
+    e = _vectors(rnd, 30, 12)
+    near = lambda v: [x + rnd.gauss(0, 0.2) for x in v]
+    # groups of near copies, of equal titles with other descriptions, and of equal rows; some ids twice
+    rows = [(i, near(e[i % 10]), near(e[(i * 7) % 30])) for i in range(150)] + [(150 + i, e[10 + i % 5], near(e[i % 30])) for i in range(100)]
+    rows += [(250 + i, e[20], e[21]) for i in range(60)] + rows[:20]
+    c = spark.createDataFrame(rows, "image_row long, title_vec array<double>, desc_vec array<double>").repartition(2)
+    q = spark.createDataFrame([(i, near(e[i % 30])) for i in range(60)] + [(60 + i, e[20]) for i in range(5)], "question_id long, q_vec array<double>")
+    for k in (1, 5):
+        exact = collections.Counter((r.question_id, r.image_row, r.score, r["rank"]) for r in vx.nearest(q, c, k=k, threshold=0.8).collect())
+        found = collections.Counter((r.question_id, r.image_row, r.score, r["rank"]) for r in vector_lsh.nearest_lsh(q, c, k=k, threshold=0.8, recall=0.9999).collect())
+        assert len(exact) > 50 and found == exact
