@@ -1,5 +1,5 @@
-"""Manuals as ``.docx`` files (I1, I2): scan with ``binaryFile``, explode each
-file into ordered runs and inline images in tasks (stdlib ``zipfile`` and one
+"""Manuals as ``.docx`` files (I1, I2): list folders and read files in tasks, so
+that the driver holds no list of files, and explode each file into ordered runs and inline images in tasks (stdlib ``zipfile`` and one
 incremental ``ElementTree`` pass per file); everything after is native columns.
 
 The pass yields runs and images as one stream of tagged rows and forgets each
@@ -27,8 +27,11 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from kbspark.operators.joins import materialize
+
 # The Office Open XML namespaces and relationship type.
 NS = {
     "w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main",
@@ -178,13 +181,91 @@ def parse_manual(path: str, content: bytes, parts: tuple[str, ...] = ("run", "im
                                    part="image", path=path, img_idx=images, para_idx=para, run_idx=run)
 
 
+def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder named as Spark names it, and its path there."""
+    if root.startswith("file:/"):  # not percent-encoded
+        return pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(root)
+
+
+def _wanted(entry: pafs.FileInfo) -> bool:
+    """Folders and manuals, without what Spark's readers leave out: what is
+    hidden or still being copied, and empty files."""
+    name = entry.base_name
+    hidden = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+    if entry.type == pafs.FileType.Directory:
+        return not hidden or name.startswith(("_common_metadata", "_metadata"))
+    return entry.type == pafs.FileType.File and not hidden and name.endswith(".docx") and entry.size > 0
+
+
+def _folders(spark: SparkSession, folder: str) -> list[str]:
+    """Full names of the folders meant by ``folder`` (which may be a pattern) if
+    tasks can open them without Spark's readers, else none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(store.makeQualified(path))
+    roots = [(f.getPath().toString().rstrip("/"), f.isDirectory()) for f in found or []]
+    try:
+        reached = [fs.get_file_info(at).type == pafs.FileType.Directory for fs, at in (_file_system(root) for root, _ in roots)]
+    except (OSError, ValueError, NotImplementedError):
+        return []
+    return [root for root, _ in roots] if all(reached) and all(is_folder for _, is_folder in roots) else []
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function over ``(root, path)`` of folders: their manuals, and their
+    folders with a null length."""
+    for batch in batches:
+        for root, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            fs, base = _file_system(root)
+            base = base.rstrip("/")
+            found = [(root, root + i.path[len(base):], i.size if i.type == pafs.FileType.File else None)
+                     for i in fs.get_file_info(pafs.FileSelector(base + folder[len(root):] or "/")) if _wanted(i)]
+            for a in range(0, len(found), BATCH_ROWS):
+                columns = zip(*found[a:a + BATCH_ROWS])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["root", "path", "length"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function over ``(root, path, length)`` of files: each with its content."""
+    rows: list[tuple[str, int, bytes]] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["path", "length", "content"])
+
+    for batch in batches:
+        for root, path, length in zip(*(c.to_pylist() for c in batch.columns)):
+            fs, base = _file_system(root)
+            with fs.open_input_stream(base.rstrip("/") + path[len(root):], compression=None) as file:
+                rows.append((path, length, file.read()))
+            held += len(rows[-1][2])
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield out()
+                rows, held = [], 0
+    if rows:
+        yield out()
+
+
 def scan_manuals(spark: SparkSession, folder: str) -> DataFrame:
-    """Every ``.docx`` under ``folder`` as (path, length, content).  The reader
-    counts megabytes for opening a file, so it plans a task for every few small
-    ones; they are joined to a number of tasks that follows the cluster."""
+    """Every ``.docx`` under ``folder`` as (path, length, content).  Folders
+    are listed level by level in tasks, the list is a written table, and the
+    files are read in a number of tasks that follows the cluster: Spark's reader
+    would keep each file's status and place in a task on the driver.  It remains
+    for stores that only it can open, single files and folders that are missing.
+    A task holds the names in one folder at a time."""
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true")
-                 .load(folder).select("path", "length", "content").coalesce(tasks))
+    roots = _folders(spark, folder)
+    if not roots:
+        return (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true")
+                     .load(folder).select("path", "length", "content").coalesce(tasks))
+    level = spark.createDataFrame([(root, root) for root in roots], "root string, path string")
+    files = None
+    while files is None or not level.isEmpty():
+        found = materialize((level if files is None else level.repartition(tasks, "path")).mapInArrow(_list, "root string, path string, length long"))
+        level, here = found.where("length is null").select("root", "path"), found.where("length is not null")
+        files = here if files is None else files.unionByName(here)
+    return files.repartition(tasks, "path").mapInArrow(_read, "path string, length long, content binary")
 
 
 def explode_parts(files: DataFrame, parts: tuple[str, ...] = ("run", "image")) -> DataFrame:

@@ -257,3 +257,27 @@ def test_a_manual_without_id_is_refused(spark):
         "*", "string(null) as descr", "string(null) as name", "string(null) as embed", "binary(null) as media", "string(null) as ext")
     with pytest.raises(Exception, match="int"):
         manual_files.write_manuals(runs, shared_folder(spark, "t-noid")).collect()
+
+
+def test_manuals_are_listed_in_tasks_as_the_reader_lists_them(spark, tmp_path):
+    names = ["a.docx", "b c#%20é.docx", "UPPER.DOCX", "x.txt", ".hidden.docx", "_off.docx", "_k=1.docx", "_metadata.docx", "z.docx._COPYING_",
+             "s/1.docx", "s/t/u/2.docx", "_d/3.docx", ".e/4.docx", "p=1/5.docx", "dir.docx/6.docx", "sp ace/7.docx", "b[1]/8.docx"]
+    names += [f"many/{i // 40}/{i}.docx" for i in range(200)]
+    for n in names:
+        _write(str(tmp_path / os.path.dirname(n)), os.path.basename(n), n.encode())
+    _write(str(tmp_path), "empty.docx", b"")
+    (tmp_path / "none").mkdir()
+
+    def of(df):
+        return sorted((r.path, r.length, bytes(r.content)) for r in df.collect())
+
+    def reader(p):
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(p).select("path", "length", "content")
+
+    found = docx.scan_manuals(spark, str(tmp_path))
+    assert found.schema == reader(str(tmp_path)).schema and len(found.inputFiles()) < 100  # 209 on the driver by the reader
+    for p in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/s*", f"{tmp_path}/none", f"{tmp_path}/a.docx", f"{tmp_path}/_d"):
+        assert of(docx.scan_manuals(spark, p)) == of(reader(p))
+    assert len(of(found)) == 209
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        docx.scan_manuals(spark, f"{tmp_path}/missing")
