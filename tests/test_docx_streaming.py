@@ -281,3 +281,13 @@ def test_manuals_are_listed_in_tasks_as_the_reader_lists_them(spark, tmp_path):
     assert len(of(found)) == 209
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         docx.scan_manuals(spark, f"{tmp_path}/missing")
+
+
+def test_images_of_many_manuals_need_no_list_of_files_on_the_driver(spark, tmp_path):
+    for i in range(120):
+        picture = dict(drawing=True, descr=f"d{i}", name="n", embed="rId1", media=f"blob {i}".encode(), ext="png")
+        _write(str(tmp_path / str(i % 6)), f"manual_{i}.docx", manual_files.build_docx([[dict(text="a"), picture], [picture]]))
+    images = docx.explode_images(docx.scan_manuals(spark, str(tmp_path)))
+    assert len(images.inputFiles()) < 60  # 120 by Spark's reader
+    got = sorted((r.descr, r.img_idx, r.para_idx, r.run_idx, bytes(r.content)) for r in images.collect())
+    assert got == sorted((f"d{i}", k + 1, k, 1 - k, f"blob {i}".encode()) for i in range(120) for k in (0, 1))
