@@ -158,18 +158,17 @@ def task(ids: np.ndarray, questions: np.ndarray, k: int, threshold: float, names
                             np.maximum(s, np.matmul(asked[some], u.T, out=product), out=s)
                     least = best.limit[some] - NEAR
                     # a pair counts if it can reach the k-th best so far and of this cell
-                    if k == 1:
-                        least = np.maximum(least, s.max(axis=1) - 2 * NEAR)
-                    hit = s >= least.astype(np.float32)[:, None]
-                    if k > 1 and len(row) > k and np.count_nonzero(hit) > k:
-                        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+                    c, r = np.divmod(np.flatnonzero(s >= least.astype(np.float32)[:, None]), len(row))
+                    if len(c) > k and len(row) > k:
+                        many = np.flatnonzero(np.bincount(c, minlength=len(some)) > k)
                         if len(many):
                             own = np.partition(s[many], len(row) - k, axis=1)[:, len(row) - k]
                             least[many] = np.maximum(least[many], own - 2 * NEAR)
-                            hit[many] = s[many] >= least[many].astype(np.float32)[:, None]
+                            reached = s[c, r] >= least.astype(np.float32)[c]
+                            c, r = c[reached], r[reached]
                     if least.min() == -np.inf:
-                        hit &= s > -np.inf
-                    c, r = np.divmod(np.flatnonzero(hit), len(row))
+                        reached = s[c, r] > -np.inf
+                        c, r = c[reached], r[reached]
                     question = some[c]
                     score = np.maximum(*(fixed_cos(m[r], questions[question].astype(np.float64)) for m in sides))
                     keep = score > threshold
